@@ -1,0 +1,6 @@
+"""No streaming operators of our own.
+
+Rule columns (``functions.rules.rule_column``) hold no actions and no shuffles unless a
+rule asks for uniqueness, so ``operators.evaluate.rule_flags`` and ``evaluate`` accept a
+frame from ``spark.readStream`` as they are.
+"""
