@@ -91,7 +91,10 @@ def preview_rules(
     table_id: str = "table_id",
     column_id: str = "column_id",
 ) -> DataFrame:
-    """Add rule_name, conditions_summary, target_scope and expected_behavior."""
+    """Add rule_name, conditions_summary, target_scope and expected_behavior.
+
+    Without a definition only the scope is described.
+    """
     d = F.col(definition)
     fields, conditions = d["targetFields"], d["conditions"]
     title = F.concat(F.initcap(F.replace(d["type"], F.lit("_"), F.lit(" "))), F.lit(" Rule"))
@@ -123,7 +126,9 @@ def preview_rules(
     return df.withColumns(
         {
             "rule_name": name,
-            "conditions_summary": F.concat(summary, _and_more(F.size(conditions), 5, " more conditions)")),
+            "conditions_summary": F.when(
+                d.isNotNull(), F.concat(summary, _and_more(F.size(conditions), 5, " more conditions)"))
+            ),
             "target_scope": target,
             "expected_behavior": d["expectedBehavior"],
         }
