@@ -41,9 +41,9 @@ def find_json(text: Column) -> Column:
     return F.coalesce(*[_object_or_null(c) for c in (text, fenced, braces)])
 
 
-def normalize_definition(json_text: Column) -> Column:
-    """JSON text to the rule-definition STRUCT with every part coerced to its type."""
-    raw = F.from_json(json_text, _RAW, _STRICT)
+def normalize_definition(raw: Column) -> Column:
+    """A loosely parsed definition (all parts text) to the rule-definition STRUCT, every part
+    coerced to its type."""
     conditions = F.from_json(raw["conditions"], _CONDITIONS, _STRICT)
     conditions = F.filter(conditions, lambda c: c.isNotNull())
     conditions = F.transform(
@@ -69,13 +69,15 @@ def normalize_definition(json_text: Column) -> Column:
         F.coalesce(raw["expectedBehavior"], F.lit("")).alias("expectedBehavior"),
         F.coalesce(parameters, F.create_map().cast("map<string,string>")).alias("parameters"),
     )
-    return F.when(json_text.isNotNull(), normalized)
+    return F.when(raw.isNotNull(), normalized)
 
 
 def parse_rule_text(df: DataFrame, text: str, out: str = "definition") -> DataFrame:
     """Add the normalised definition found in the text column, null where there is none."""
+    # one projection per step, so that the text is searched and parsed once per row
     found = df.withColumn("__json", find_json(F.col(f"`{text}`")))
-    return found.withColumn(out, normalize_definition(F.col("__json"))).drop("__json")
+    loose = found.withColumn("__raw", F.from_json("__json", _RAW, _STRICT))
+    return loose.withColumn(out, normalize_definition(F.col("__raw"))).drop("__json", "__raw")
 
 
 def _and_more(total: Column, shown: int, suffix: str) -> Column:

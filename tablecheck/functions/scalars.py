@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "0", "1")
 SEVERITIES = ("critical", "high", "medium", "low", "normal")
 PASS_SCORE = 80
+# every character Unicode counts as whitespace, plus the four ASCII separators
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # -------------------------------------------------------------------------------------
 
-# Unicode whitespace plus the four ASCII separators, the set a Python strip removes.
-_SPACE = r"[\s\x1c-\x1f]"
 _INT = r"^[+-]?[0-9]+$"
 _FLOAT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
 _ISO = (
@@ -37,11 +40,11 @@ DATE_LAYOUTS = (
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def not_blank(c: Column) -> Column:
-    return c.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return F.length(strip(c)) > 0
 
 
 def has_column(df: DataFrame, name: str) -> bool:

@@ -31,15 +31,16 @@ PERCENTILE, TRAIN_SHARE, DEFAULT_THRESHOLD = 95.0, 0.8, 0.5
 # -------------------------------------------------------------------------------------
 
 FAN_IN = 32
-_STATE = "n bigint, loss double, state array<double>"
+_STATE = "n bigint, loss double, state array<float>"
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+    columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    return np.column_stack(columns).astype(np.float32)
 
 
 def _state_batch(n: int, loss: float, state: np.ndarray) -> pa.RecordBatch:
-    column = pa.array([state], type=pa.list_(pa.float64()))
+    column = pa.array([state], type=pa.list_(pa.float32()))
     return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), column], ["n", "loss", "state"])
 
 
@@ -52,7 +53,8 @@ def _epoch(train: DataFrame, state: np.ndarray, step0: int, shape: tuple[int, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, m, v = (part.copy() for part in np.split(state, 3))
-        layers = unpack(w, n_features, k)
+        g, buf = np.empty_like(w), np.empty_like(w)
+        layers, grads = unpack(w, n_features, k), unpack(g, n_features, k)
         rng, t, rows, loss = np.random.default_rng(seed), step0, 0, 0.0
         for b in batches:
             x = _matrix(b)
@@ -60,24 +62,32 @@ def _epoch(train: DataFrame, state: np.ndarray, step0: int, shape: tuple[int, in
             for i in range(0, len(x), batch):
                 part = x[i : i + batch]
                 t += 1
-                l, g = loss_and_gradient(layers, part)
-                m += (1 - BETA1) * (g - m)
-                v += (1 - BETA2) * (g * g - v)
-                w -= lr * (m / (1 - BETA1**t)) / (np.sqrt(v / (1 - BETA2**t)) + EPSILON)
-                loss += l * len(part)
+                loss += loss_and_gradient(layers, part, grads) * len(part)
                 rows += len(part)
+                m *= BETA1
+                m += np.multiply(g, 1 - BETA1, out=buf)
+                v *= BETA2
+                np.multiply(g, g, out=buf)
+                buf *= 1 - BETA2
+                v += buf
+                np.sqrt(v, out=buf)
+                buf /= math.sqrt(1 - BETA2**t)
+                buf += EPSILON
+                np.divide(m, buf, out=buf)
+                buf *= lr / (1 - BETA1**t)
+                w -= buf
         if rows:
-            yield _state_batch(rows, loss, np.concatenate([w, m, v]) * rows)
+            yield _state_batch(rows, loss, np.concatenate([w, m, v]) * np.float32(rows))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, loss, total = 0, 0.0, np.zeros(len(state))
+        rows, loss, total = 0, 0.0, np.zeros(len(state), np.float64)
         for b in batches:
             rows += sum(b.column(0).to_pylist())
             loss += sum(b.column(1).to_pylist())
             for s in b.column(2):
                 total += s.values.to_numpy()
         if rows:
-            yield _state_batch(rows, loss, total)
+            yield _state_batch(rows, loss, total.astype(np.float32))
 
     sums = train.mapInArrow(run, _STATE)
     parts = train.rdd.getNumPartitions()
@@ -86,8 +96,8 @@ def _epoch(train: DataFrame, state: np.ndarray, step0: int, shape: tuple[int, in
         sums = sums.repartition(parts).mapInArrow(add, _STATE)
     got = sums.collect()  # at most FAN_IN rows of fixed width
     rows = sum(r["n"] for r in got)
-    total = np.sum([np.asarray(r["state"]) for r in got], axis=0)
-    return rows, sum(r["loss"] for r in got) / rows, total / rows
+    total = np.sum([np.asarray(r["state"], np.float64) for r in got], axis=0)
+    return rows, sum(r["loss"] for r in got) / rows, (total / rows).astype(np.float32)
 
 
 def _mean_loss(data: DataFrame, weights: np.ndarray, shape: tuple[int, int]) -> float | None:
@@ -177,11 +187,13 @@ def fit_threshold(errors_df: DataFrame, column: str, percentile: float = PERCENT
 
 
 def _error_udf(model: Model):
-    weights, shape = np.asarray(model.weights), (len(model.feature_names), model.encoding_dim)
+    weights = np.asarray(model.weights, np.float32)
+    shape = (len(model.feature_names), model.encoding_dim)
 
     @F.pandas_udf("double")
     def error(*features: pd.Series) -> pd.Series:
-        return pd.Series(errors(unpack(weights, *shape), np.column_stack(features)))
+        x = np.column_stack(features).astype(np.float32)
+        return pd.Series(errors(unpack(weights, *shape), x).astype(np.float64))
 
     return error
 

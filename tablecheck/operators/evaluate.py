@@ -98,19 +98,29 @@ def evaluate(
 
 
 def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Per rule: rule_id, total, passed. One scan, partial aggregation before the shuffle."""
-    counted = with_counts(df, rules)
-    tests = _predicates(df, counted, rules)
+    """Per rule: rule_id, total, passed. Row rules share one scan and one aggregate; a uniqueness
+    rule is one grouping by its key, without the join that per-row flags need."""
+    plain = [r for r in rules if not r.needs_count]
+    parts = [_plain_counts(df, plain)] if plain else []
+    parts += [_unique_counts(df, r) for r in rules if r.needs_count]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _plain_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    tests = {r.id: rule_column(df, r) for r in rules}
     if len(rules) > WIDE_LIMIT:
         pairs = F.array(
             *[F.struct(F.lit(r.id).alias("rule_id"), tests[r.id].alias("ok")) for r in rules]
         )
         return (
-            counted.select(F.inline(pairs))
+            df.select(F.inline(pairs))
             .groupBy("rule_id")
             .agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("passed"))
         )
-    one = counted.agg(
+    one = df.agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(tests[r.id]).alias(f"p{i}") for i, r in enumerate(rules)],
     )
@@ -125,6 +135,15 @@ def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return one.select(F.inline(unpivoted))
 
 
+def _unique_counts(df: DataFrame, rule: Rule) -> DataFrame:
+    fields = [f for f in rule.target_fields if f in df.columns]
+    groups = df.groupBy(*fields).agg(F.count(F.lit(1)).alias("__n"))
+    ok = rule_column(groups, rule) & (F.col("__n") == 1)
+    return groups.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("total"), F.count_if(ok).alias("passed")
+    ).select(F.lit(rule.id).alias("rule_id"), "total", "passed")
+
+
 def score_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Per rule: total, passed, failed and score (percentage passed, two digits)."""
     failed = F.col("total") - F.col("passed")

@@ -66,7 +66,7 @@ def init_weights(n: int, k: int, seed: int) -> np.ndarray:
     for a, b in zip(sizes, sizes[1:]):
         limit = np.sqrt(6.0 / (a + b))
         parts += [rng.uniform(-limit, limit, a * b), np.zeros(b)]
-    return np.concatenate(parts)
+    return np.concatenate(parts).astype(np.float32)
 
 
 def unpack(flat: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,9 +84,16 @@ def activations(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> l
     """Outputs of every layer, the input first; ReLU inside, sigmoid last."""
     out = [x]
     for i, (w, b) in enumerate(layers):
-        z = out[-1] @ w + b
-        last = i == len(layers) - 1
-        out.append(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) if last else np.maximum(z, 0.0))
+        z = out[-1] @ w
+        z += b
+        if i < len(layers) - 1:
+            np.maximum(z, 0, out=z)
+        else:  # the sigmoid, in a form that cannot overflow
+            z *= 0.5
+            np.tanh(z, out=z)
+            z += 1
+            z *= 0.5
+        out.append(z)
     return out
 
 
@@ -96,17 +103,18 @@ def errors(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.nda
 
 
 def loss_and_gradient(
-    layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray
-) -> tuple[float, np.ndarray]:
-    """Mean loss over the batch and its gradient as one flat vector."""
+    layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, gradient: list[tuple[np.ndarray, np.ndarray]]
+) -> float:
+    """Mean loss over the batch; its gradient is written into ``gradient``, laid out like ``layers``."""
     acts = activations(layers, x)
     y = acts[-1]
     diff = y - x
-    delta = 2.0 * diff / diff.size * y * (1.0 - y)
-    grads: list[np.ndarray] = []
+    delta = (2.0 / diff.size) * diff * y * (1 - y)
     for i in range(len(layers) - 1, -1, -1):
-        grads.append(delta.sum(axis=0))
-        grads.append((acts[i].T @ delta).ravel())
+        gw, gb = gradient[i]
+        np.dot(acts[i].T, delta, out=gw)
+        np.sum(delta, axis=0, out=gb)
         if i:
-            delta = (delta @ layers[i][0].T) * (acts[i] > 0)
-    return float(np.mean(diff**2)), np.concatenate(grads[::-1])
+            delta = delta @ layers[i][0].T
+            delta *= acts[i] > 0
+    return float(np.vdot(diff, diff)) / diff.size

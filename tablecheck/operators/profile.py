@@ -67,9 +67,9 @@ def type_names(schema: T.StructType) -> dict[str, str]:
     return {f.name: name(f.dataType) for f in schema.fields}
 
 
-def _value_class(text: Column) -> Column:
-    """B boolean word, D 0 or 1, I integer, F float, T date, S other, null when blank."""
-    v = S.strip(text)
+def _value_class(v: Column) -> Column:
+    """Class of a stripped value: B boolean word, D 0 or 1, I integer, F float, T date, S other,
+    null when blank."""
     return (
         F.when(F.length(v) == 0, None)
         .when(v.isin("0", "1"), "D")
@@ -88,7 +88,8 @@ def infer_column_types(df: DataFrame, columns: Sequence[str], scope: str = "full
     boolean, all integers -> integer, all numbers -> float, at least 80 % dates -> date, else
     string. ``scope="preview"`` tests dates on the first 20 values of a preview frame.
     """
-    classes = df.select(*[_value_class(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
+    values = df.select(*[S.strip(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)])
+    classes = values.select(*[_value_class(F.col(f"v{i}")).alias(f"c{i}") for i in range(len(columns))])
     aggs = []
     for i in range(len(columns)):
         cls = F.col(f"c{i}")

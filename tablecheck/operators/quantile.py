@@ -6,64 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+# So few remaining values may be sorted inside one task.
+SORTABLE = 50_000
 
 
-def _bracket(values: DataFrame, fraction: float, slack: float) -> tuple[float, float]:
+def _quantiles(fraction: float, slack: float):
     low, high = max(0.0, fraction - slack), min(1.0, fraction + slack)
-    cut = values.agg(F.percentile_approx("v", [low, high], ACCURACY).alias("q")).first()["q"]
-    return cut[0], cut[1]
+    return F.percentile_approx("v", [low, high], ACCURACY).alias("q")
 
 
-def _at_rank(values: DataFrame, n: int, rank: int) -> float:
-    """The value at 0-based ``rank`` in sorted order, by narrowing an open bracket.
+def _sorted_pair(values: DataFrame, at: int) -> tuple[float, float | None]:
+    """Values at positions ``at`` and ``at + 1`` of at most SORTABLE values."""
+    listed = F.sort_array(F.collect_list("v"))
+    pair = values.agg(listed.alias("s")).select(F.slice("s", at + 1, 2).alias("p")).first()["p"]
+    return pair[0], pair[1] if len(pair) > 1 else None
 
-    Each pass counts around two approximate quantiles. Either one of them holds the rank,
-    or the rank lies strictly between them, where about 4 n / ACCURACY rows remain.
+
+def exact_percentile(df: DataFrame, column: str, p: float = 95.0) -> float | None:
+    """Linear-interpolated percentile over values that are neither null nor NaN, exact at any size.
+
+    Approximate quantiles give a bracket around the wanted rank; counts on its ends show whether
+    an end holds the rank or how many values lie strictly inside, about 4 n / ACCURACY. The search
+    goes on inside until that is few enough to sort. An action of a few aggregations over one
+    column: persist ``df`` if the column is costly.
     """
-    inside, below = values, 0
+    inside = df.select(F.col(f"`{column}`").cast("double").alias("v"))
+    inside = inside.where(F.col("v").isNotNull() & ~F.isnan("v"))
     slack = 2.0 / ACCURACY
-    while True:
-        lo, hi = _bracket(inside, (rank - below) / max(n - 1, 1), slack)
+    first = inside.agg(F.count("v").alias("n"), _quantiles(p / 100.0, slack)).first()
+    n, bracket = first["n"], first["q"]
+    if n == 0:
+        return None
+    position = (p / 100.0) * (n - 1)
+    at, part = int(position), position - int(position)
+    left, above = n, None  # values still inside, and the smallest known value above them
+    while left > SORTABLE:
+        lo, hi = bracket or inside.agg(_quantiles(at / (left - 1), slack)).first()["q"]
+        bracket = None
+        v = F.col("v")
         c = inside.agg(
-            F.count_if(F.col("v") < lo).alias("lt_lo"),
-            F.count_if(F.col("v") <= lo).alias("le_lo"),
-            F.count_if(F.col("v") < hi).alias("lt_hi"),
-            F.count_if(F.col("v") <= hi).alias("le_hi"),
+            F.count_if(v < lo).alias("lt_lo"), F.count_if(v <= lo).alias("le_lo"),
+            F.count_if(v < hi).alias("lt_hi"), F.count_if(v <= hi).alias("le_hi"),
+            F.min(F.when(v > lo, v)).alias("next_lo"), F.min(F.when(v > hi, v)).alias("next_hi"),
         ).first()
-        at = rank - below
-        if c["lt_lo"] <= at < c["le_lo"]:
-            return lo
-        if c["lt_hi"] <= at < c["le_hi"]:
-            return hi
+        for value, lt, le, following in ((lo, "lt_lo", "le_lo", "next_lo"), (hi, "lt_hi", "le_hi", "next_hi")):
+            if c[lt] <= at < c[le]:
+                after = value if at + 1 < c[le] else (c[following] if c[following] is not None else above)
+                return _between(value, after, part)
         if c["le_lo"] <= at < c["lt_hi"]:
-            inside = inside.where((F.col("v") > lo) & (F.col("v") < hi))
-            below, n = below + c["le_lo"], c["lt_hi"] - c["le_lo"]
-            slack = 2.0 / ACCURACY
+            inside = inside.where((v > lo) & (v < hi))
+            at, left, above, slack = at - c["le_lo"], c["lt_hi"] - c["le_lo"], hi, 2.0 / ACCURACY
         else:  # the approximation missed the rank: look wider
             slack = min(1.0, slack * 8)
+    value, after = _sorted_pair(inside, at)
+    return _between(value, after if after is not None else above, part)
 
 
-def exact_percentile(df: DataFrame, column: str, p: float = 95.0) -> float | None:
-    """Linear-interpolated percentile over values that are neither null nor NaN, exact at any size.
-
-    An action: a few aggregations over one column. Persist ``df`` if the column is costly.
-    """
-    values = df.select(F.col(f"`{column}`").cast("double").alias("v"))
-    values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = values.count()
-    if n == 0:
-        return None
-    position = (p / 100.0) * (n - 1)
-    rank = int(position)
-    v0 = _at_rank(values, n, rank)
-    if position == rank:
-        return v0
-    after = values.agg(
-        F.count_if(F.col("v") <= v0).alias("upto"),
-        F.min(F.when(F.col("v") > v0, F.col("v"))).alias("next"),
-    ).first()
-    v1 = v0 if after["upto"] > rank + 1 else after["next"]
-    return v0 + (v1 - v0) * (position - rank)
+def _between(value: float, after: float | None, part: float) -> float:
+    return value if after is None or part == 0 else value + (after - value) * part
 
 
 def approx_percentile(df: DataFrame, column: str, p: float = 95.0, accuracy: int = ACCURACY) -> DataFrame:

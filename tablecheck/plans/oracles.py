@@ -180,8 +180,9 @@ FROM ({_ALL_CONFLICTS}) c LEFT JOIN {{resolutions}} r ON r.rule_lo = least(c.rul
     "q21b_resolve_one": "SELECT rule_id, CASE WHEN rule_id IN (3, 12) THEN 'overridden' ELSE status END AS status FROM {rules}",
     "q22_expand_rules": """WITH reg AS (SELECT f.field_id, f.table_id, t.catalog_id FROM {registry_fields} f JOIN {registry_tables} t ON f.table_id = t.table_id),
 a AS (SELECT * FROM {rules} WHERE status = 'active')
-SELECT a.rule_id, a.scope, reg.table_id, reg.field_id FROM a JOIN reg ON
-  (a.scope = 'catalog' AND a.catalog_id = reg.catalog_id) OR (a.scope = 'table' AND a.table_id = reg.table_id) OR (a.scope = 'column' AND a.column_id = reg.field_id)""",
+SELECT a.rule_id, a.scope, reg.table_id, reg.field_id FROM a JOIN reg ON a.catalog_id = reg.catalog_id WHERE a.scope = 'catalog'
+UNION ALL SELECT a.rule_id, a.scope, reg.table_id, reg.field_id FROM a JOIN reg ON a.table_id = reg.table_id WHERE a.scope = 'table'
+UNION ALL SELECT a.rule_id, a.scope, reg.table_id, reg.field_id FROM a JOIN reg ON a.column_id = reg.field_id WHERE a.scope = 'column'""",
     "q22b_active_rules": "SELECT rule_id, scope, catalog_id FROM {rules} WHERE status = 'active' AND rule_id % 12 = 4",
     "q23_row_diff": _DIFF,
     "q24_clean_summary": f"""WITH d AS ({_DIFF}) SELECT count(*) FILTER (change <> 'added') AS total_records, count(*) FILTER (change = 'modified') AS modified_records,
