@@ -175,5 +175,10 @@ def expand_rules(rules: DataFrame, tables: DataFrame, fields: DataFrame) -> Data
     for scope, parent in by_scope.items():
         source = "column_id" if scope == "column" else parent
         mine = rules.where(F.col("scope") == scope).select("rule_id", "scope", F.col(source).alias(parent))
-        parts.append(mine.join(registry, parent).select("rule_id", "scope", "table_id", "field_id"))
+        # a catalog or table may hold a large share of all fields: split it over tasks
+        pairs = (
+            mine.join(registry, parent) if scope == "column"
+            else split_hot_join(registry, mine, [parent], F.col("field_id"))
+        )
+        parts.append(pairs.select("rule_id", "scope", "table_id", "field_id"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -17,11 +17,13 @@ MAX_RETRIES = 3
 def notify_fanout(events: DataFrame, recipients: DataFrame, event_id: Column, at: Column) -> DataFrame:
     """One record per configured recipient of each event's type; types without recipients give none.
 
-    The configuration holds one row per event type (three types of at most 20 addresses), so
-    the join is planned as a broadcast and a frequent event type is no hot key.
+    The configuration must hold one row per event type, which bounds it to three rows: that is
+    checked before it is broadcast, so a frequent event type is no hot key.
     """
     known = recipients.where(F.col("event_type").isin(*EVENT_TYPES)).select("event_type", "recipients")
-    addressed = events.join(known, "event_type").select(
+    if known.limit(len(EVENT_TYPES) + 1).count() > len(EVENT_TYPES):
+        raise ValueError("recipients must hold one row per event type")
+    addressed = events.join(F.broadcast(known), "event_type").select(
         event_id.cast("string").alias("event_id"),
         "event_type",
         at.alias("sent_at"),

@@ -40,8 +40,14 @@ def forward_fill(df: DataFrame, key: str, order: str, columns: list[str], block:
 def report_versions(versions: DataFrame, fill: list[str] | None = None) -> DataFrame:
     """Every version with fallback content, the report's current version and the next one."""
     filled = forward_fill(versions, "report_id", "version", fill or ["content"])
-    current = versions.groupBy("report_id").agg(F.max("version").alias("current_version"))
-    return filled.join(current, "report_id").withColumn("next_version", F.col("current_version") + 1)
+    blocked = filled.withColumn("__block", F.floor(F.col("version") / BLOCK))
+    # the current version is found per block first, and joined by block: no report is one hot key
+    tops = blocked.groupBy("report_id", "__block").agg(F.max("version").alias("top"))
+    current = tops.select(
+        "report_id", "__block", F.max("top").over(Window.partitionBy("report_id")).alias("current_version")
+    )
+    joined = blocked.join(current, ["report_id", "__block"]).drop("__block")
+    return joined.withColumn("next_version", F.col("current_version") + 1)
 
 
 def version_list(versions: DataFrame, report_id) -> DataFrame:

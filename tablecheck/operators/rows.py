@@ -17,6 +17,10 @@ def with_row_index(df: DataFrame, order: list[str], out: str = "row_index") -> D
     move if a task is rerun. Per-partition row counts (one number per partition) give the
     offsets.
     """
+    return _indexed(df, order, out)[0]
+
+
+def _indexed(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = checkpointed(ordered.withColumn("__id", F.monotonically_increasing_id()))
@@ -30,13 +34,13 @@ def with_row_index(df: DataFrame, order: list[str], out: str = "row_index") -> D
     position = F.col("__id").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     # one row per partition of the sorted frame: bounded by the shuffle partition count
     joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return joined.withColumn(out, F.col("__offset") + position).select(*df.columns, out)
+    return joined.withColumn(out, F.col("__offset") + position).select(*df.columns, out), offset
 
 
 def split_ordered(df: DataFrame, order: list[str], share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """First floor(share * n) rows in order, and the rest."""
-    indexed = with_row_index(df, order, "__row")
-    cut = int(indexed.count() * share)
+    indexed, n = _indexed(df, order, "__row")
+    cut = int(n * share)
     head = indexed.where(F.col("__row") < cut).drop("__row")
     tail = indexed.where(F.col("__row") >= cut).drop("__row")
     return head, tail
