@@ -75,7 +75,7 @@ def _operands(df: DataFrame, name: str, value: object) -> tuple[Column, Column]:
     dtype = S.data_type(df, name)
     if isinstance(dtype, T.BooleanType):
         return c, F.lit(str(value).strip().lower() in ("true", "yes", "1"))
-    if isinstance(dtype, (T.DateType, T.TimestampType)):
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c, F.lit(str(value)).try_cast(dtype)
     if isinstance(dtype, T.NumericType):
         number = _number(value)

@@ -30,7 +30,7 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, order: list[str] | None = None
 
 def preview_csv(spark: SparkSession, path: str, n: int = PREVIEW_ROWS) -> dict:
     """First rows of a CSV as text, with types inferred from those rows."""
-    rows = preview(spark.read.csv(path, header=True, inferSchema=False), n)
+    rows = preview(spark.read.csv(path, header=True, escape='"', inferSchema=False), n)
     inferred = infer_column_types(rows, rows.columns, scope="preview").collect()
     return {
         "rows": rows,

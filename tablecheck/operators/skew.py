@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 1000
 SPREAD = 1024
+# A hot key is not cut into pieces smaller than this.
+PIECE_ROWS = 100_000
 
 
 def hot_keys(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -53,13 +55,14 @@ def _match(keys: list[str], prefix: str) -> Column:
 def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: Column) -> DataFrame:
     """Inner equi-join on ``keys`` (same names on both sides) with the left's hot keys split.
 
-    A hot key with share s of the left is cut into about s * HOT_SHARE pieces by the hash of
-    ``spread_by`` (a left column expression unique enough to divide the key); the matching
-    right rows are repeated once per piece.
+    A hot key is cut into pieces of at least PIECE_ROWS rows, at most HOT_SHARE of them, by the
+    hash of ``spread_by`` (a left column expression unique enough to divide the key); the
+    matching right rows are repeated once per piece.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    pieces = F.ceil(F.col("n") * HOT_SHARE / total.scalar()).cast("int")
+    by_share = F.ceil(F.col("n") * HOT_SHARE / total.scalar())
+    pieces = F.least(by_share, F.ceil(F.col("n") / PIECE_ROWS)).cast("int")
     hot = hot_keys(counts).select(*keys, pieces.alias("__pieces"))
     one = F.coalesce("__pieces", F.lit(1))
     l = left.join(F.broadcast(hot), keys, "left").withColumn("__piece", F.pmod(F.xxhash64(spread_by), one))

@@ -326,6 +326,24 @@ UNION ALL SELECT event_id * 3, 'new', value FROM {events}""",
     "q60b_update_rules": """SELECT r.rule_id, CASE WHEN s.s_suppkey % 2 = 0 THEN 'draft' ELSE r.status END AS status,
   CASE WHEN s.s_suppkey % 3 = 0 THEN s.s_name ELSE r.natural_language END AS natural_language FROM {rules} r LEFT JOIN {supplier} s ON s.s_suppkey = r.rule_id""",
     "q60c_delete": "SELECT run_id, dataset_id FROM {runs} WHERE run_id NOT IN (SELECT l_orderkey FROM {lineitem})",
+    "q52e_lint_recipients": f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]'), lambda x: contains(x, '@')) AS r FROM {{documents}}),
+b AS (SELECT doc_id, r, len(list_filter(r, lambda x: NOT (len(string_split(x, '@')) = 2 AND length(string_split(x, '@')[1]) > 0 AND contains(string_split(x, '@')[2], '.')))) AS bad FROM w)
+SELECT doc_id, {_lint(("doc_id % 2 = 1", "event_type: not a known type"), ("len(r) > 20", "recipients: more than 20"), ("bad > 0", "recipients: an address is not valid"))} AS errors FROM b""",
+    "q52f_lint_tables": f"""WITH n AS (SELECT p_partkey, repeat(p_name, p_partkey % 40) AS name FROM {{part}})
+SELECT p_partkey, {_lint(("coalesce(trim(name), '') = ''", "name: required"), ("length(trim(name)) > 200", "name: longer than 200"))} AS errors FROM n""",
+    "q52g_lint_templates": f"""SELECT p_partkey, {_lint(("p_size % 4 = 1 OR p_partkey % 3 = 0", "fields: a field has no name or no known type"))} AS errors FROM {{part}}""",
+    "q58c_run_detail": """SELECT run_id, dataset_id, status, CAST(CASE WHEN run_id % 2 = 0 THEN 2 ELSE 0 END AS INT) AS rules, CAST(CASE WHEN run_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS facts
+FROM {runs} WHERE run_id = 77""",
+    "q59b_report_listing": """SELECT o_orderkey AS id, 'published' AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "q61_parse_iso": """WITH p AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN date_trunc('day', o_orderdate) WHEN 1 THEN date_trunc('day', o_orderdate) + INTERVAL '1 hour 2 minutes 3 seconds'
+  WHEN 2 THEN date_trunc('day', o_orderdate) + INTERVAL '1 hour 2 minutes 3 seconds' WHEN 3 THEN date_trunc('day', o_orderdate) - INTERVAL '57 minutes 57 seconds' END AS t FROM {orders})
+SELECT o_orderkey, strftime(t, '%Y-%m-%d %H:%M:%S') AS parsed, strftime(t, '%Y-%m') AS month FROM p""",
+    "q62_target_fields": """WITH t AS (SELECT rule_id, CASE WHEN rule_id % 6 = 0 AND f2 IS NOT NULL AND f1 IS NOT NULL THEN f1 || ',' || f2 || ',f8,f9' ELSE '' END AS fields FROM {rules})
+SELECT rule_id, fields, CAST(CASE WHEN fields = '' THEN 0 ELSE 4 END AS INT) AS n FROM t""",
+    "q63_truncate": """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS v FROM {documents})
+SELECT doc_id, substring(v, 1, 500) AS description, CAST(length(v) AS INT) AS whole_length FROM t""",
+    "q64_field_value_types": """SELECT event_id, user_id > 90 AS above, ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15' AS in_week,
+  event_type IN ('view', 'click') AS kinds FROM {events}""",
 }
 
 ORACLES: dict[str, str] = {name: duckdb_sql(text) for name, text in _ORACLES.items()}

@@ -859,3 +859,92 @@ def q60b_update_rules(spark, d):
 def q60c_delete(spark, d):
     gone = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"))
     return delete_keys(table(spark, d, "runs").select("run_id", "dataset_id"), gone, ["run_id"])
+
+
+@query
+def q52e_lint_recipients(spark, d):
+    words = F.filter(F.split("text", "[ \n]"), lambda w: w.contains("@"))
+    people = table(spark, d, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 2 == 0, "report_publication").otherwise("newsletter").alias("event_type"),
+        words.alias("recipients"),
+    )
+    return _error_text(lint.lint_recipients(people), "doc_id")
+
+
+@query
+def q52f_lint_tables(spark, d):
+    named = table(spark, d, "part").select("p_partkey", F.expr("repeat(p_name, p_partkey % 40)").alias("name"))
+    return _error_text(lint.lint_tables(named), "p_partkey")
+
+
+@query
+def q52g_lint_templates(spark, d):
+    part = table(spark, d, "part")
+    kind = F.when(F.col("p_size") % 4 == 0, " Number").when(F.col("p_size") % 4 == 1, "uuid").otherwise("date")
+    fields = F.array(
+        F.struct(F.col("p_brand").alias("field_name"), kind.alias("field_type"), F.lit(True).alias("required")),
+        F.struct(F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("field_name"), F.lit("string").alias("field_type"),
+                 F.lit(False).alias("required")),
+    )
+    return _error_text(lint.lint_templates(part.select("p_partkey", F.col("p_name").alias("name"), fields.alias("fields"))), "p_partkey")
+
+
+@query
+def q58c_run_detail(spark, d):
+    runs = table(spark, d, "runs").withColumns(
+        {
+            "rule_ids": F.when(F.col("run_id") % 2 == 0, F.array(F.lit("r1"), F.lit("r2"))),
+            "summary": F.when(F.col("run_id") % 2 == 0, F.create_map(F.lit("passed"), F.lit("1"))),
+        }
+    )
+    one = listing.run_detail(runs, 77)
+    return one.select("run_id", "dataset_id", "status", F.size("rule_ids").alias("rules"), F.size("summary").alias("facts"))
+
+
+@query
+def q59b_report_listing(spark, d):
+    made = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, "published").otherwise("draft").alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+    return reports.list_reports(made, "published").select("id", "status", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def q61_parse_iso(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    form = F.col("o_orderkey") % 5
+    text = (
+        F.when(form == 0, day).when(form == 1, F.concat(day, F.lit("T01:02:03"))).when(form == 2, F.concat(day, F.lit("T01:02:03Z")))
+        .when(form == 3, F.concat(day, F.lit("T01:02:03+02:00"))).otherwise(F.concat(F.lit("on "), day))
+    )
+    parsed = S.parse_iso(text)
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"), S.year_month(parsed).alias("month")
+    )
+
+
+@query
+def q62_target_fields(spark, d):
+    texts = table(spark, d, "rule_texts")
+    fields = S.target_fields(F.col("answer"))
+    return texts.select("rule_id", F.array_join(fields, ",").alias("fields"), F.size(fields).alias("n"))
+
+
+@query
+def q63_truncate(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", S.truncate(F.col("text"), 500).alias("description"), F.length(S.strip(F.col("text"))).alias("whole_length"))
+
+
+@query
+def q64_field_value_types(spark, d):
+    """Rules over text-typed numbers and timestamps: comparisons take the bound's type."""
+    texts = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_text"), "ts", "event_type")
+    rules = [
+        Rule("above", "", conditions=({"field": "user_text", "operator": "greater_than", "value": "90"},)),
+        Rule("in_week", "", conditions=({"field": "ts", "operator": "between", "value": "2024-01-08,2024-01-15"},)),
+        Rule("kinds", "", conditions=({"field": "event_type", "operator": "matches", "value": "^(view|click)$"},)),
+    ]
+    return ev.rule_flags(texts, rules).select("event_id", "above", "in_week", "kinds")

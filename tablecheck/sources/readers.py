@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,18 +19,23 @@ DEFAULT_CONTENT_TYPE = "application/octet-stream"
 # -------------------------------------------------------------------------------------
 
 MAX_RULES_PER_RUN = 10_000
+# quotes inside values are doubled, as spreadsheet and Python writers do
+CSV = {"header": True, "escape": '"'}
 
 
-def read_dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_dataset(
+    spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False
+) -> DataFrame:
     """Parquet if the path ends in .parquet, otherwise CSV with a header.
 
-    CSV types are inferred with an extra pass unless ``schema`` is given.
+    CSV types are inferred with an extra pass unless ``schema`` is given. ``multiline`` allows
+    line breaks inside quoted values, at the price of one task per file.
     """
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    if schema:
-        return spark.read.schema(schema).csv(path, header=True)
-    return spark.read.csv(path, header=True, inferSchema=True)
+    reader = spark.read.options(**CSV, multiLine=multiline)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    return reader.csv(path)
 
 
 def _has_files(spark: SparkSession, pattern: str) -> bool:
@@ -110,6 +118,12 @@ def check_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
 
 
 def admit_files(spark: SparkSession, glob: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Landed files with a verdict each. Only names and sizes are read, never the content."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "length")
-    return check_files(files, max_bytes)
+    """Landed files with a verdict each. Only names and sizes are read, never the content.
+
+    The file source skips empty files, so the names it listed are joined back: a name without
+    a size is an empty file.
+    """
+    sized = spark.read.format("binaryFile").load(glob).select("path", "length")
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in sized.inputFiles()]
+    named = spark.createDataFrame(listed, "path string").join(sized, "path", "left")
+    return check_files(named.select("path", F.coalesce("length", F.lit(0)).alias("length")), max_bytes)

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecheck.sources.readers import CSV
+
 
 
 def write_results(results: DataFrame, path: str, run_id: str) -> None:
@@ -26,7 +28,7 @@ def write_like(df: DataFrame, source_path: str, out: str) -> None:
     if source_path.endswith(".parquet"):
         writer.parquet(out)
     else:
-        writer.option("header", True).csv(out)
+        writer.options(**CSV).csv(out)
 
 
 def cleaned_path(root: str, job_id: str, source_path: str) -> str:
@@ -37,7 +39,7 @@ def snapshot(spark: SparkSession, source: str, backup: str) -> None:
     """Copy a dataset before cleaning; an existing backup is never overwritten."""
     df = spark.read.parquet(source) if source.endswith(".parquet") else _csv_text(spark, source)
     writer = df.write.mode("errorifexists")
-    writer.parquet(backup) if source.endswith(".parquet") else writer.option("header", True).csv(backup)
+    writer.parquet(backup) if source.endswith(".parquet") else writer.options(**CSV).csv(backup)
 
 
 def restore(spark: SparkSession, backup: str, target: str) -> None:
@@ -47,7 +49,7 @@ def restore(spark: SparkSession, backup: str, target: str) -> None:
 
 
 def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False)
+    return spark.read.options(**CSV).csv(path)
 
 
 def append_run_state(state: DataFrame, path: str) -> None:
@@ -64,7 +66,7 @@ def export_anomalies(classified: DataFrame, out: str, fields: list[str] | None =
     if rows.isEmpty():
         return None
     names = fields if fields is not None else anomaly_fields(rows)
-    export_rows(rows, names).write.mode("overwrite").option("header", True).csv(out)
+    export_rows(rows, names).write.mode("overwrite").options(**CSV).csv(out)
     return names
 
 

@@ -124,7 +124,9 @@ def test_hot_keys_are_few_and_counts_whole(spark):
     assert got == {i: (n[k] if k is not None else None) for k, i in data}
 
 
-def test_split_hot_join_equals_plain_join(spark):
+@pytest.mark.parametrize("piece", [10, 100_000])
+def test_split_hot_join_equals_plain_join(spark, monkeypatch, piece):
+    monkeypatch.setattr(skew, "PIECE_ROWS", piece)
     left = spark.createDataFrame([(0 if i % 3 == 0 else i % 50, i) for i in range(3000)], "k int, l int")
     right = spark.createDataFrame([(i % 60, i) for i in range(240)], "k int, r int")
     plain = left.join(right, "k").select("k", "l", "r").exceptAll
@@ -151,7 +153,9 @@ def brute_conflicts(data):
     return out
 
 
-def test_conflicts_match_brute_force(spark):
+@pytest.mark.parametrize("piece", [2, 100_000])
+def test_conflicts_match_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(skew, "PIECE_ROWS", piece)
     rng = random.Random(7)
     data = []
     for i in range(400):
