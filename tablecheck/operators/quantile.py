@@ -1,7 +1,9 @@
-"""Percentiles that never hold all values in one task."""
+"""Values at a rank, and percentiles, that never hold all values in one task."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,60 +12,73 @@ ACCURACY = 10_000
 SORTABLE = 50_000
 
 
-def _quantiles(fraction: float, slack: float):
-    low, high = max(0.0, fraction - slack), min(1.0, fraction + slack)
-    return F.percentile_approx("v", [low, high], ACCURACY).alias("q")
+class Ranked(NamedTuple):
+    value: object
+    following: object  # the value one rank on, None at the end
+    below: int  # how many values are smaller
 
 
-def _sorted_pair(values: DataFrame, at: int) -> tuple[float, float | None]:
-    """Values at positions ``at`` and ``at + 1`` of at most SORTABLE values."""
-    listed = F.sort_array(F.collect_list("v"))
-    pair = values.agg(listed.alias("s")).select(F.slice("s", at + 1, 2).alias("p")).first()["p"]
-    return pair[0], pair[1] if len(pair) > 1 else None
+def _ends(values: DataFrame, fraction: float, slack: float):
+    """Two values around ``fraction``; the true ends once the slack covers everything."""
+    if slack >= 1.0:
+        r = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        return r["lo"], r["hi"]
+    cuts = [max(0.0, fraction - slack), min(1.0, fraction + slack)]
+    return values.agg(F.percentile_approx("v", cuts, ACCURACY).alias("q")).first()["q"]
 
 
-def exact_percentile(df: DataFrame, column: str, p: float = 95.0) -> float | None:
-    """Linear-interpolated percentile over values that are neither null nor NaN, exact at any size.
+def value_at(values: DataFrame, n: int, rank: int) -> Ranked:
+    """The value at 0-based ``rank`` among the ``n`` non-null values of column ``v``, in sorted order.
 
-    Approximate quantiles give a bracket around the wanted rank; counts on its ends show whether
-    an end holds the rank or how many values lie strictly inside, about 4 n / ACCURACY. The search
-    goes on inside until that is few enough to sort. An action of a few aggregations over one
-    column: persist ``df`` if the column is costly.
+    Approximate quantiles give a bracket around the rank; counts on its ends show whether an end
+    holds the rank or how many values lie strictly inside, about 4 n / ACCURACY. The search goes
+    on inside until that is few enough to sort.
     """
-    inside = df.select(F.col(f"`{column}`").cast("double").alias("v"))
-    inside = inside.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    slack = 2.0 / ACCURACY
-    first = inside.agg(F.count("v").alias("n"), _quantiles(p / 100.0, slack)).first()
-    n, bracket = first["n"], first["q"]
-    if n == 0:
-        return None
-    position = (p / 100.0) * (n - 1)
-    at, part = int(position), position - int(position)
-    left, above = n, None  # values still inside, and the smallest known value above them
+    inside, left, below, above, slack = values, n, 0, None, 2.0 / ACCURACY
+    v = F.col("v")
     while left > SORTABLE:
-        lo, hi = bracket or inside.agg(_quantiles(at / (left - 1), slack)).first()["q"]
-        bracket = None
-        v = F.col("v")
+        at = rank - below
+        lo, hi = _ends(inside, at / (left - 1), slack)
+        low, high = F.lit(lo), F.lit(hi)
         c = inside.agg(
-            F.count_if(v < lo).alias("lt_lo"), F.count_if(v <= lo).alias("le_lo"),
-            F.count_if(v < hi).alias("lt_hi"), F.count_if(v <= hi).alias("le_hi"),
-            F.min(F.when(v > lo, v)).alias("next_lo"), F.min(F.when(v > hi, v)).alias("next_hi"),
+            F.count_if(v < low).alias("lt_lo"), F.count_if(v <= low).alias("le_lo"),
+            F.count_if(v < high).alias("lt_hi"), F.count_if(v <= high).alias("le_hi"),
+            F.min(F.when(v > low, v)).alias("next_lo"), F.min(F.when(v > high, v)).alias("next_hi"),
         ).first()
-        for value, lt, le, following in ((lo, "lt_lo", "le_lo", "next_lo"), (hi, "lt_hi", "le_hi", "next_hi")):
-            if c[lt] <= at < c[le]:
-                after = value if at + 1 < c[le] else (c[following] if c[following] is not None else above)
-                return _between(value, after, part)
+        for value, end in ((lo, "lo"), (hi, "hi")):
+            if c[f"lt_{end}"] <= at < c[f"le_{end}"]:
+                beyond = c[f"next_{end}"] if c[f"next_{end}"] is not None else above
+                following = value if at + 1 < c[f"le_{end}"] else beyond
+                return Ranked(value, following, below + c[f"lt_{end}"])
         if c["le_lo"] <= at < c["lt_hi"]:
-            inside = inside.where((v > lo) & (v < hi))
-            at, left, above, slack = at - c["le_lo"], c["lt_hi"] - c["le_lo"], hi, 2.0 / ACCURACY
+            inside = inside.where((v > low) & (v < high))
+            below, left, above, slack = below + c["le_lo"], c["lt_hi"] - c["le_lo"], hi, 2.0 / ACCURACY
         else:  # the approximation missed the rank: look wider
             slack = min(1.0, slack * 8)
-    value, after = _sorted_pair(inside, at)
-    return _between(value, after if after is not None else above, part)
+    at = rank - below
+    listed = inside.agg(F.sort_array(F.collect_list("v")).alias("s"))
+    found = listed.select(
+        F.slice("s", at + 1, 2).alias("pair"), (F.array_position("s", F.col("s")[at]) - 1).alias("first")
+    ).first()
+    pair = found["pair"]
+    return Ranked(pair[0], pair[1] if len(pair) > 1 else above, below + found["first"])
 
 
-def _between(value: float, after: float | None, part: float) -> float:
-    return value if after is None or part == 0 else value + (after - value) * part
+def exact_percentile(df: DataFrame, column: str, p: float = 95.0) -> float | None:
+    """Linear-interpolated percentile over values that are neither null nor NaN, exact at any size.
+
+    An action of a few aggregations over one column: persist ``df`` if the column is costly.
+    """
+    values = df.select(F.col(f"`{column}`").cast("double").alias("v"))
+    values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n = values.count()
+    if n == 0:
+        return None
+    position = (p / 100.0) * (n - 1)
+    found, part = value_at(values, n, int(position)), position - int(position)
+    if part == 0 or found.following is None:
+        return found.value
+    return found.value + (found.following - found.value) * part
 
 
 def approx_percentile(df: DataFrame, column: str, p: float = 95.0, accuracy: int = ACCURACY) -> DataFrame:

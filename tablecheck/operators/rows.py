@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablecheck.operators import quantile
 from tablecheck.operators.session import checkpointed
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition number above, position below
@@ -38,9 +40,63 @@ def _indexed(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]
 
 
 def split_ordered(df: DataFrame, order: list[str], share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """First floor(share * n) rows in order, and the rest."""
+    """First floor(share * n) rows in order, and the rest.
+
+    Where the order columns are numbers or times, the key of the first row of the rest is
+    searched column by column and both parts are plain filters: nothing is sorted or moved.
+    Text columns, or rows that tie on the whole key at the cut, need row positions.
+    """
+    ranked = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if all(isinstance(df.schema[c].dataType, ranked) for c in order):
+        before = _before_rank(df, order, int(df.count() * share))
+        if before is not None:
+            return df.where(before), df.where(~before)
     indexed, n = _indexed(df, order, "__row")
     cut = int(n * share)
     head = indexed.where(F.col("__row") < cut).drop("__row")
     tail = indexed.where(F.col("__row") >= cut).drop("__row")
     return head, tail
+
+
+def _before_rank(df: DataFrame, order: list[str], rank: int) -> Column | None:
+    """The predicate that holds for exactly the first ``rank`` rows in order (nulls first).
+
+    None if rows that tie on the whole key lie on both sides of the cut.
+    """
+    before, tied, subset = F.lit(False), F.lit(True), df.select(*order)
+    for i, name in enumerate(order):
+        c = F.col(f"`{name}`")
+        sizes = subset.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("filled")).first()
+        if rank >= sizes["n"]:
+            return before | tied
+        if sizes["n"] <= quantile.SORTABLE:
+            rest = _before_key(subset, order[i:], rank)
+            return None if rest is None else before | (tied & rest)
+        nulls = sizes["n"] - sizes["filled"]
+        if rank < nulls:
+            subset, tied = subset.where(c.isNull()), tied & c.isNull()
+            continue
+        values = subset.select(c.alias("v")).where(c.isNotNull())
+        found = quantile.value_at(values, sizes["filled"], rank - nulls)
+        value = F.lit(found.value)
+        before = before | (tied & (c.isNull() | (c < value)))
+        rank -= nulls + found.below
+        subset, tied = subset.where(c == value), tied & c.isNotNull() & (c == value)
+    return before if rank == 0 else None
+
+
+def _before_key(few: DataFrame, order: list[str], rank: int) -> Column | None:
+    """``_before_rank`` for at most SORTABLE rows: their keys are sorted in one task."""
+    keys = few.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("s"))
+    cut = keys.select(
+        F.col("s")[rank].alias("key"),
+        (F.lit(rank > 0) & F.col("s")[max(rank - 1, 0)].eqNullSafe(F.col("s")[rank])).alias("tie"),
+    ).first()
+    if cut["tie"]:
+        return None
+    before, tied = F.lit(False), F.lit(True)
+    for name in order:
+        c, value = F.col(f"`{name}`"), F.lit(cut["key"][name]).cast(few.schema[name].dataType)
+        smaller = value.isNotNull() & (c.isNull() | F.coalesce(c < value, F.lit(False)))
+        before, tied = before | (tied & smaller), tied & c.eqNullSafe(value)
+    return before

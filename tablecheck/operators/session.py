@@ -14,14 +14,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir():
-        return
+    current = sc.getCheckpointDir()
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+        if not current or shared.rstrip("/") not in current:
+            sc.setCheckpointDir(shared)
+    elif not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablecheck-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
