@@ -1,8 +1,12 @@
 """Rules as boolean Columns.
 
 A rule is a list of structured conditions, or, without conditions, one of six template
-checks over its target fields. Every builder returns a Column that is never null: missing
-input (null, NaN, or a column the frame lacks) fails the check.
+checks over its target fields. Missing input (null, NaN, or a column the frame lacks) fails
+the check.
+
+Inside a rule a check on a null may be null. Checks are only joined by AND and OR, where null
+and false act alike, so ``rule_column`` turns null into false once, at the top: the smaller
+the expressions, the more rules fit into one compiled method.
 """
 
 from __future__ import annotations
@@ -109,14 +113,25 @@ def _equals(df, name, value):
     return left == right
 
 
+def _not_nan(df, name) -> Column | None:
+    """NaN is the greatest value and differs from all others: only > and <> must exclude it."""
+    if isinstance(S.data_type(df, name), (T.DoubleType, T.FloatType)):
+        return ~F.isnan(F.col(f"`{name}`"))
+    return None
+
+
+def _guarded(test: Column, *guards: Column | None) -> Column:
+    return reduce(lambda a, b: a & b, [g for g in guards if g is not None], test)
+
+
 def _not_equals(df, name, value):
     left, right = _operands(df, name, value)
-    return left != right
+    return _guarded(left != right, _not_nan(df, name))
 
 
 def _greater(df, name, value):
     left, right = _ordered(df, name, value)
-    return left > right
+    return _guarded(left > right, _not_nan(df, name))
 
 
 def _less(df, name, value):
@@ -140,7 +155,7 @@ def _regex(df, name, value):
 
 
 def _not_null(df, name, value):
-    return F.lit(True)
+    return S.present(df, name)
 
 
 OPERATORS: dict[str, Callable[[DataFrame, str, object], Column]] = {
@@ -174,9 +189,8 @@ def condition_column(df: DataFrame, condition: Mapping[str, object]) -> Column:
         return F.lit(False)
     if other:
         test = known[operator](F.col(f"`{name}`"), F.col(f"`{other}`"))
-        return S.present(df, name) & S.present(df, str(other)) & F.coalesce(test, F.lit(False))
-    test = known[operator](df, name, condition.get("value"))
-    return S.present(df, name) & F.coalesce(test, F.lit(False))
+        return _guarded(test, _not_nan(df, name), _not_nan(df, str(other)))
+    return known[operator](df, name, condition.get("value"))
 
 
 def combine(df: DataFrame, conditions: Sequence[Mapping[str, object]]) -> Column:
@@ -195,12 +209,12 @@ def combine(df: DataFrame, conditions: Sequence[Mapping[str, object]]) -> Column
 
 
 def _all(checks: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, checks, F.lit(True))
+    return reduce(lambda a, b: a & b, checks) if checks else F.lit(True)
 
 
 def _filled(df: DataFrame, name: str) -> Column:
     if _is_text(df, name):
-        return F.coalesce(S.not_blank(F.col(f"`{name}`")), F.lit(False))
+        return S.not_blank(F.col(f"`{name}`"))
     return S.present(df, name)
 
 
@@ -218,7 +232,7 @@ def statistical_outlier(df: DataFrame, fields: Sequence[str], parameters: Mappin
     """A number within [lo, hi], bounds included."""
     lo = float(parameters.get("lo", OUTLIER_LOW))
     hi = float(parameters.get("hi", OUTLIER_HIGH))
-    return _all([F.coalesce(S.to_number(df, f).between(lo, hi), F.lit(False)) for f in fields])
+    return _all([S.to_number(df, f).between(lo, hi) for f in fields])
 
 
 def multi_record(df: DataFrame, fields: Sequence[str], parameters: Mapping[str, str]) -> Column:
@@ -244,8 +258,7 @@ def pattern(df: DataFrame, fields: Sequence[str], parameters: Mapping[str, str])
             return F.lit(False)
         checks.append(_filled(df, f))
         if parameters.get("regex"):
-            match = F.col(f"`{f}`").rlike(check_regex(parameters["regex"]))
-            checks.append(F.coalesce(match, F.lit(False)))
+            checks.append(F.col(f"`{f}`").rlike(check_regex(parameters["regex"])))
     return _all(checks)
 
 
@@ -259,11 +272,16 @@ TEMPLATES = {
 }
 
 
-def rule_column(df: DataFrame, rule: Rule) -> Column:
-    """The rule's predicate over ``df``; an unknown category falls back to ``simple``."""
+def predicate(df: DataFrame, rule: Rule) -> Column:
+    """The rule over ``df``, null or false where it fails; an unknown category means ``simple``."""
     if rule.function is not None:
-        raise ValueError(f"rule {rule.id!r} is a Python rule; use operators.python_rules")
+        raise ValueError(f"rule {rule.id!r} is a Python rule; use operators.evaluate.python_rules")
     if rule.conditions:
         return combine(df, rule.conditions)
     template = TEMPLATES.get(rule.category, simple)
     return template(df, rule.target_fields, rule.parameters)
+
+
+def rule_column(df: DataFrame, rule: Rule) -> Column:
+    """The rule over ``df`` as true or false."""
+    return F.coalesce(predicate(df, rule), F.lit(False))
