@@ -23,22 +23,27 @@ def _ends(values: DataFrame, fraction: float, slack: float):
     if slack >= 1.0:
         r = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
         return r["lo"], r["hi"]
-    cuts = [max(0.0, fraction - slack), min(1.0, fraction + slack)]
-    return values.agg(F.percentile_approx("v", cuts, ACCURACY).alias("q")).first()["q"]
+    return values.agg(_cuts(fraction, slack)).first()["q"]
 
 
-def value_at(values: DataFrame, n: int, rank: int) -> Ranked:
+def _cuts(fraction: float, slack: float):
+    points = [max(0.0, fraction - slack), min(1.0, fraction + slack)]
+    return F.percentile_approx("v", points, ACCURACY).alias("q")
+
+
+def value_at(values: DataFrame, n: int, rank: int, ends: list | None = None) -> Ranked:
     """The value at 0-based ``rank`` among the ``n`` non-null values of column ``v``, in sorted order.
 
     Approximate quantiles give a bracket around the rank; counts on its ends show whether an end
     holds the rank or how many values lie strictly inside, about 4 n / ACCURACY. The search goes
-    on inside until that is few enough to sort.
+    on inside until that is few enough to sort. ``ends`` is a first bracket if one is known.
     """
     inside, left, below, above, slack = values, n, 0, None, 2.0 / ACCURACY
     v = F.col("v")
     while left > SORTABLE:
         at = rank - below
-        lo, hi = _ends(inside, at / (left - 1), slack)
+        lo, hi = ends or _ends(inside, at / (left - 1), slack)
+        ends = None
         low, high = F.lit(lo), F.lit(hi)
         c = inside.agg(
             F.count_if(v < low).alias("lt_lo"), F.count_if(v <= low).alias("le_lo"),
@@ -71,11 +76,12 @@ def exact_percentile(df: DataFrame, column: str, p: float = 95.0) -> float | Non
     """
     values = df.select(F.col(f"`{column}`").cast("double").alias("v"))
     values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = values.count()
+    first = values.agg(F.count("v").alias("n"), _cuts(p / 100.0, 2.0 / ACCURACY)).first()
+    n = first["n"]
     if n == 0:
         return None
     position = (p / 100.0) * (n - 1)
-    found, part = value_at(values, n, int(position)), position - int(position)
+    found, part = value_at(values, n, int(position), first["q"]), position - int(position)
     if part == 0 or found.following is None:
         return found.value
     return found.value + (found.following - found.value) * part
