@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablecheck.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tablecheck.llm.quality_rules import op10_quality_rules
 from tablecheck.llm.simhash import op3_simhash
 
@@ -9,8 +10,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op3_simhash,
+        op5_decontaminate,
         op10_quality_rules,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL}
