@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from tablecheck.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tablecheck.llm.mixing import op8_mixing
 from tablecheck.llm.quality_rules import op10_quality_rules
 from tablecheck.llm.simhash import op3_simhash
+from tablecheck.llm.token_files import op6_token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         op3_simhash,
         op5_decontaminate,
+        op6_token_files,
+        op8_mixing,
         op10_quality_rules,
     )
 }
