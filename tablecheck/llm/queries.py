@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablecheck.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tablecheck.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tablecheck.llm.mixing import op8_mixing
 from tablecheck.llm.quality_rules import op10_quality_rules
 from tablecheck.llm.simhash import op3_simhash
@@ -11,6 +12,7 @@ from tablecheck.llm.token_files import op6_token_files
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op3_simhash,
         op5_decontaminate,
         op6_token_files,
@@ -19,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_decontaminate": OP5_SQL}
