@@ -48,14 +48,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold, F.lit(False))
 
 
-def slices(texts: pa.Array):
-    """Lists of the texts as UTF-8 bytes (None for null), each of about SLICE_BYTES together."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """Lists of the texts as UTF-8 bytes (None for null), each of about ``most`` bytes together."""
     part, size = [], 0
     for x in texts.cast(pa.large_binary()):
         b = x.as_py()
         part.append(b)
         size += len(b or b"") + 64
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:

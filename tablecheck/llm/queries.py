@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from tablecheck.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tablecheck.llm.language import op2_language
 from tablecheck.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tablecheck.llm.mixing import op8_mixing
 from tablecheck.llm.quality_rules import op10_quality_rules
 from tablecheck.llm.simhash import op3_simhash
 from tablecheck.llm.token_files import op6_token_files
+from tablecheck.llm.toxicity import op7_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_language,
         op3_simhash,
         op5_decontaminate,
         op6_token_files,
+        op7_toxicity,
         op8_mixing,
         op10_quality_rules,
     )
