@@ -6,6 +6,7 @@ from tablecheck.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tablecheck.llm.language import op2_language
 from tablecheck.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tablecheck.llm.mixing import op8_mixing
+from tablecheck.llm.perplexity import op9_perplexity
 from tablecheck.llm.quality_rules import op10_quality_rules
 from tablecheck.llm.simhash import op3_simhash
 from tablecheck.llm.token_files import op6_token_files
@@ -21,6 +22,7 @@ QUERIES = {
         op6_token_files,
         op7_toxicity,
         op8_mixing,
+        op9_perplexity,
         op10_quality_rules,
     )
 }
