@@ -7,6 +7,7 @@ from tablecheck.llm.language import op2_language
 from tablecheck.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tablecheck.llm.mixing import op8_mixing
 from tablecheck.llm.perplexity import op9_perplexity
+from tablecheck.llm.pii import op4_pii
 from tablecheck.llm.quality_rules import op10_quality_rules
 from tablecheck.llm.simhash import op3_simhash
 from tablecheck.llm.token_files import op6_token_files
@@ -18,6 +19,7 @@ QUERIES = {
         op1_line_dedup,
         op2_language,
         op3_simhash,
+        op4_pii,
         op5_decontaminate,
         op6_token_files,
         op7_toxicity,
