@@ -148,7 +148,7 @@ class Model:
 
     def predict_column(self, text: Column, with_runs: bool = False) -> Column:
         """Struct column with the fields of RESULT; runs (of words of one label) only if asked for."""
-        langs, move, log_potentials = self.langs, np.exp(self.moves - self.moves.max()), self.log_potentials
+        langs, log_potentials = self.langs, self.log_potentials
         kind = pa.struct([
             ("lang", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()),
             ("runs", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
@@ -194,6 +194,7 @@ class Model:
         if not langs:
             null = "struct<lang:string,score:double,n_words:bigint,runs:array<struct<lang:string,start:bigint,end:bigint>>>"
             return F.from_json(F.lit('{"lang":"und","score":0.0,"n_words":0,"runs":[]}'), null)
+        move = np.exp(self.moves - self.moves.max())
         return F.arrow_udf(run, RESULT).asNondeterministic()(text.cast("string"))
 
 

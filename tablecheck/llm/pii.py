@@ -290,5 +290,9 @@ def masked(text: str, spans: list) -> str:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    of = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    of = [count(kind) for kind in range(len(BASE_KINDS))]
     return found.select("doc_id", *of, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
