@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,11 +67,39 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return S.has_column(df, name) and isinstance(S.data_type(df, name), T.StringType)
 
 
-def _number(value: object) -> float | None:
+# Whole numbers from here on are not all doubles.
+EXACT_DOUBLES = 2**53
+# The widest decimals Spark has.
+WIDEST = Decimal("9" * 38)
+
+
+def _number(value: object) -> int | Decimal | float | None:
+    """A number without loss: whole numbers as int, others as Decimal, infinities and NaN as float."""
+    if isinstance(value, (int, float, Decimal)):
+        return value
+    text = str(value).strip()
+    try:
+        return int(text)
+    except ValueError:
+        pass
     try:
-        return float(value)  # type: ignore[arg-type]
-    except (TypeError, ValueError):
+        exact = Decimal(text)
+    except InvalidOperation:
         return None
+    return exact if exact.is_finite() else float(text)
+
+
+def _literal(number: int | Decimal | float) -> Column:
+    """A literal that loses nothing: a long if it fits, else a decimal, else a double."""
+    if isinstance(number, float) and number.is_integer() and abs(number) < EXACT_DOUBLES:
+        number = int(number)
+    if isinstance(number, int) and -(2**63) <= number < 2**63:
+        return F.lit(number)
+    if isinstance(number, (int, Decimal)) and Decimal(number).copy_abs() <= WIDEST:
+        exact = Decimal(number)
+        if len(exact.as_tuple().digits) <= 38 and -38 <= exact.as_tuple().exponent:
+            return F.lit(exact if exact.as_tuple().exponent <= 0 else exact.quantize(Decimal(1)))
+    return F.lit(float(number))
 
 
 def _operands(df: DataFrame, name: str, value: object) -> tuple[Column, Column]:
@@ -85,16 +114,24 @@ def _operands(df: DataFrame, name: str, value: object) -> tuple[Column, Column]:
         number = _number(value)
         if number is None:
             return c, F.lit(None).cast(dtype)
-        whole = isinstance(dtype, T.IntegralType) and number.is_integer()
-        return c, F.lit(int(number) if whole else number)
+        if isinstance(dtype, (T.DoubleType, T.FloatType)):
+            return c, F.lit(float(number))
+        return c, _literal(number)
     return c, F.lit(str(value))
 
 
 def _ordered(df: DataFrame, name: str, value: object) -> tuple[Column, Column]:
     """Operands for < and >: text columns compare as numbers when the bound is a number."""
-    if _is_text(df, name) and _number(value) is not None:
-        return S.to_number(df, name), F.lit(_number(value))
-    return _operands(df, name, value)
+    number = _number(value) if _is_text(df, name) else None
+    if number is None:
+        return _operands(df, name, value)
+    as_double = S.to_number(df, name)
+    if EXACT_DOUBLES <= Decimal(number).copy_abs() <= WIDEST:
+        # Doubles cannot tell such numbers apart; what no decimal holds lies beyond on its side.
+        exact = F.when(as_double.isNotNull(), F.trim(f"`{name}`").try_cast("decimal(38,0)"))
+        beyond = F.when(as_double > 0, F.lit(WIDEST)).when(as_double < 0, F.lit(WIDEST.copy_negate()))
+        return F.coalesce(exact, beyond.cast("decimal(38,0)")), F.lit(Decimal(number)).cast("decimal(38,0)")
+    return as_double, F.lit(float(number))
 
 
 def _bounds(value: object) -> tuple[object, object]:

@@ -96,6 +96,8 @@ def _epoch(train: DataFrame, state: np.ndarray, step0: int, shape: tuple[int, in
         sums = sums.repartition(parts).mapInArrow(add, _STATE)
     got = sums.collect()  # at most FAN_IN rows of fixed width
     rows = sum(r["n"] for r in got)
+    if not rows:
+        raise ValueError("no training rows")
     total = np.sum([np.asarray(r["state"], np.float64) for r in got], axis=0)
     return rows, sum(r["loss"] for r in got) / rows, (total / rows).astype(np.float32)
 

@@ -9,10 +9,12 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecheck.functions import scalars as S
 
 Step = Callable[[DataFrame], DataFrame]
+FILL = "Unknown"
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -24,8 +26,15 @@ def normalize_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, S.strip(F.lower(F.col(f"`{column}`"))))
 
 
-def fill_nulls(df: DataFrame, column: str, value: object) -> DataFrame:
-    return df.withColumn(column, F.when(S.present(df, column), F.col(f"`{column}`")).otherwise(F.lit(value)))
+def fill_nulls(df: DataFrame, column: str, value: object = None) -> DataFrame:
+    """Fill missing values; the column keeps its type. Text is filled with FILL if no value is given."""
+    dtype = S.data_type(df, column)
+    if value is None:
+        if not isinstance(dtype, T.StringType):
+            raise ValueError(f"give a value to fill {column} with, a {dtype.simpleString()} column")
+        value = FILL
+    filled = F.lit(value) if isinstance(dtype, T.StringType) else F.lit(value).cast(dtype)
+    return df.withColumn(column, F.when(S.present(df, column), F.col(f"`{column}`")).otherwise(filled))
 
 
 def drop_out_of_range(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
@@ -61,7 +70,8 @@ _ISSUES = (
 
 def plan_steps(issues: Sequence[str], parameters: dict[str, dict] | None = None) -> list[tuple[str, dict]]:
     """Issue texts to ordered steps. ``parameters`` gives per-column arguments: a fill ``value``,
-    ``lo`` and ``hi``. Rows are only dropped where a range is given for the column."""
+    ``lo`` and ``hi``. Rows are only dropped where a range is given for the column; only text has a
+    fill value of its own."""
     parameters = parameters or {}
     steps: list[tuple[str, dict]] = []
     for issue in issues:
@@ -74,7 +84,7 @@ def plan_steps(issues: Sequence[str], parameters: dict[str, dict] | None = None)
             if step == "drop_duplicate_rows":
                 steps.append((step, {}))
             elif step == "fill_nulls":
-                steps.append((step, {"column": column, "value": given.get("value", "Unknown")}))
+                steps.append((step, {"column": column, "value": given.get("value")}))
             elif step == "drop_out_of_range":
                 if {"lo", "hi"} <= given.keys():
                     steps.append((step, {"column": column, "lo": given["lo"], "hi": given["hi"]}))

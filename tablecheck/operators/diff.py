@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def row_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """key, change, changed_columns. ``change``: modified, unchanged, added or removed.
 
-    ``key`` must be unique on both sides. Cells compare null-safe; a column on one side only
-    counts as changed unless it is null. Only the compared columns are shuffled.
+    ``key`` must be unique on both sides; a null key part equals a null. Cells compare null-safe, as text
+    where the two sides have different types; a column on one side only counts as changed unless it is
+    null. Only the compared columns are shuffled.
     """
     shared = [c for c in before.columns if c in after.columns and c not in key]
     one_sided = [c for c in before.columns if c not in after.columns]
     one_sided += [c for c in after.columns if c not in before.columns]
     b = before.select(*key, F.struct(*[c for c in before.columns if c not in key], F.lit(True).alias("__in")).alias("b"))
     a = after.select(*key, F.struct(*[c for c in after.columns if c not in key], F.lit(True).alias("__in")).alias("a"))
-    joined = b.join(a, key, "full_outer")
-    tests = {c: ~F.col(f"b.`{c}`").eqNullSafe(F.col(f"a.`{c}`")) for c in shared}
+    a = a.withColumnsRenamed({k: f"__a_{i}" for i, k in enumerate(key)})
+    same_key = reduce(lambda x, y: x & y, [F.col(f"`{k}`").eqNullSafe(F.col(f"__a_{i}")) for i, k in enumerate(key)])
+    joined = b.join(a, same_key, "full_outer").withColumns(
+        {k: F.when(F.col("b.__in").isNull(), F.col(f"__a_{i}")).otherwise(F.col(f"`{k}`")) for i, k in enumerate(key)}
+    )
+
+    def differs(c: str) -> Column:
+        left, right = F.col(f"b.`{c}`"), F.col(f"a.`{c}`")
+        if before.schema[c].dataType != after.schema[c].dataType:
+            left, right = left.cast("string"), right.cast("string")
+        return ~left.eqNullSafe(right)
+
+    tests = {c: differs(c) for c in shared}
     for c in one_sided:
         side = "b" if c in before.columns else "a"
         tests[c] = F.col(f"{side}.`{c}`").isNotNull()

@@ -1,21 +1,28 @@
-"""Rules x records -> flags, per-record results and scores. One scan per group of rules."""
+"""Rules x records -> flags, per-record results and scores. One scan for all rules.
+
+With many rules the generated code outgrows what the JVM compiles. The session setting of
+``operators.session.split_large_methods`` makes Spark leave whole-stage code there for split methods.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions import scalars as S
 from tablecheck.functions.rules import Rule, predicate, rule_column
+from tablecheck.operators.session import split_large_methods
 from tablecheck.operators.skew import add_counts
 
+# ---- fixed values -------------------------------------------------------------------
 FAILED = "Rule condition not met"
-# Checks compiled into one method. Past this the JVM stops compiling the generated code and runs
-# it interpreted, many times slower, so more rules are split into groups (measured, see BASELINE).
-GROUP_CHECKS = 24
+ERROR = "Execution error"
+# -------------------------------------------------------------------------------------
 
 
 def _count_name(rule: Rule) -> str:
@@ -47,19 +54,10 @@ def _predicates(df: DataFrame, counted: DataFrame, rules: Sequence[Rule]) -> dic
     return out
 
 
-def rule_groups(rules: Sequence[Rule]) -> list[list[Rule]]:
-    """Rules in groups small enough to compile, rules on the same columns together, so that each
-    group's scan reads few columns."""
-    groups: list[list[Rule]] = []
-    size = 0
-    for rule in sorted(rules, key=lambda r: (r.needs_count, sorted(r.columns))):
-        checks = max(1, len(rule.conditions) or len(rule.target_fields))
-        if not groups or size + checks > GROUP_CHECKS:
-            groups.append([])
-            size = 0
-        groups[-1].append(rule)
-        size += checks
-    return groups
+def _some(rules: Sequence[Rule]) -> Sequence[Rule]:
+    if not rules:
+        raise ValueError("no rules to evaluate")
+    return rules
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -71,7 +69,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def rule_flags(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The frame plus one boolean column per rule, named by rule id."""
-    counted = with_counts(df, rules)
+    split_large_methods(df.sparkSession)
+    counted = with_counts(df, _some(rules))
     flagged = counted.withColumns(_predicates(df, counted, rules))
     return flagged.select(*df.columns, *[F.col(f"`{r.id}`") for r in rules])
 
@@ -90,11 +89,8 @@ def evaluate(
     if include_values not in ("all", "failed", "none"):
         raise ValueError("include_values must be all, failed or none")
     at = evaluated_at if evaluated_at is not None else F.current_timestamp()
-    return _union([_evaluate_group(df, group, key, include_values, at) for group in rule_groups(rules)])
-
-
-def _evaluate_group(df: DataFrame, rules: list[Rule], key: str, include_values: str, at: Column) -> DataFrame:
-    counted = with_counts(df, rules)
+    split_large_methods(df.sparkSession)
+    counted = with_counts(df, _some(rules))
     tests = _predicates(df, counted, rules)
     carried = [] if include_values == "none" else [S.field_values(df.columns).alias("__values")]
     rows = counted.select(
@@ -121,10 +117,11 @@ def _evaluate_group(df: DataFrame, rules: list[Rule], key: str, include_values:
 
 
 def rule_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Per rule: rule_id, total, passed. Row rules share one scan and one aggregate per group;
+    """Per rule: rule_id, total, passed. Row rules share one scan and one aggregate;
     a uniqueness rule is one grouping by its key, without the join that per-row flags need."""
-    plain = [r for r in rules if not r.needs_count]
-    parts = [_plain_counts(df, group) for group in rule_groups(plain)]
+    split_large_methods(df.sparkSession)
+    plain = [r for r in _some(rules) if not r.needs_count]
+    parts = [_plain_counts(df, plain)] if plain else []
     parts += [_unique_counts(df, r) for r in rules if r.needs_count]
     return _union(parts)
 
@@ -168,7 +165,7 @@ def score_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def quality_score(results: DataFrame, rules_submitted: int | None = None) -> DataFrame:
     """One-row run summary from per-record results; errors are counted apart from failures."""
-    errored = F.col("message").startswith("Execution error")
+    errored = F.col("message").startswith(ERROR)
     total, passed = F.col("total_evaluations"), F.col("passed")
     per_rule = results.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -205,35 +202,55 @@ def python_rules(
     rules: Sequence[Rule],
     key: str,
     fields: Sequence[str] | None = None,
+    include_values: str = "none",
 ) -> DataFrame:
     """Results of Python rules ``fn(record: dict) -> truthy``; exceptions become error results.
 
-    Only ``key`` and ``fields`` (default: the rules' target fields, else every column) reach
-    Python. Missing values arrive as None.
+    Only ``key`` and ``fields`` (default: the rules' target fields, else every column) reach the
+    rules. Values keep their types (a nullable whole number stays an int); missing values and NaN
+    arrive as None, times without a zone, in the session's. With ``include_values`` "all" or
+    "failed" the record's values as text are added as ``field_values``, errors included.
     """
-    named = list(dict.fromkeys(f for r in rules for f in r.target_fields))
+    if include_values not in ("all", "failed", "none"):
+        raise ValueError("include_values must be all, failed or none")
+    named = list(dict.fromkeys(f for r in _some(rules) for f in r.target_fields))
     needed = list(fields) if fields is not None else (named or df.columns)
-    columns = list(dict.fromkeys([key, *needed]))
     calls = [(r.id, r.name, r.function) for r in rules]
+    zone = ZoneInfo(df.sparkSession.conf.get("spark.sql.session.timeZone"))
+
+    def plain(value: object) -> object:
+        if isinstance(value, float) and value != value:
+            return None
+        if isinstance(value, datetime) and value.tzinfo is not None:
+            return value.astimezone(zone).replace(tzinfo=None)
+        return value
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch[key]
-            records = batch[needed].astype(object).where(batch[needed].notna(), None).to_dict("records")
+            columns = [[plain(v) for v in batch.column(1 + i).to_pylist()] for i in range(len(needed))]
+            records = [dict(zip(needed, row)) for row in zip(*columns)]
+            carried = batch.columns[1 + len(needed) :]
             for rule_id, name, fn in calls:
                 passed, message = [], []
                 for record in records:
                     try:
-                        ok, text = bool(fn(record)), ""
-                        text = text if ok else FAILED
+                        ok = bool(fn(record))
+                        text = "" if ok else FAILED
                     except Exception as e:  # the rule is user code: its error is a result
-                        ok, text = False, f"Execution error: {e}"
+                        ok, text = False, f"{ERROR}: {e}"
                     passed.append(ok)
                     message.append(text)
-                yield pd.DataFrame(
-                    {"record_id": keys, "rule_id": rule_id, "rule_name": name, "passed": passed, "message": message}
-                )
+                n = len(records)
+                out = [batch.column(0), pa.array([rule_id] * n, pa.string()), pa.array([name] * n, pa.string())]
+                out += [pa.array(passed, pa.bool_()), pa.array(message, pa.string()), *carried]
+                yield pa.RecordBatch.from_arrays(out, names=[*result, *["field_values"] * len(carried)])
 
+    result = ["record_id", "rule_id", "rule_name", "passed", "message"]
     key_type = df.schema[key].dataType.simpleString()
     schema = f"record_id {key_type}, rule_id string, rule_name string, passed boolean, message string"
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInPandas(run, schema)
+    values = [] if include_values == "none" else [S.field_values(df.columns).alias("field_values")]
+    read = [F.col(f"`{key}`").alias("0"), *[F.col(f"`{c}`").alias(str(i + 1)) for i, c in enumerate(needed)], *values]
+    out = df.select(*read).mapInArrow(run, schema + ", field_values map<string,string>" * len(values))
+    if include_values == "failed":
+        out = out.withColumn("field_values", F.when(~F.col("passed"), F.col("field_values")))
+    return out

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.operators.rows import with_row_index
+from tablecheck.operators.rows import rows_from, with_row_index
 
 # ---- fixed values -------------------------------------------------------------------
 PAGE_DEFAULT, PAGE_MAX = 20, 100
@@ -19,10 +19,6 @@ RULE_SCOPES = ("catalog", "table", "column")
 RULE_STATUSES = ("draft", "active", "overridden")
 # -------------------------------------------------------------------------------------
 
-# Offsets beyond this go through a row index instead of one sorted head per task.
-DEEP_OFFSET = 100_000
-
-
 def page_size(requested: object, default: int = PAGE_DEFAULT, largest: int = PAGE_MAX) -> int:
     try:
         size = int(requested) if requested is not None else default  # type: ignore[call-overload]
@@ -70,12 +66,17 @@ def keyset_page(
 
 
 def offset_page(df: DataFrame, order: list[str], page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1) of ``size`` rows in ascending ``order``."""
+    """Page ``page`` (from 1) of ``size`` rows in ascending ``order``, which should be unique.
+
+    The key at the page's start is searched, so no task holds what lies before the page, at any offset.
+    Text keys, or rows that tie on the whole key at the start, need row positions.
+    """
     start = (page - 1) * size
-    if start > DEEP_OFFSET:
-        indexed = with_row_index(df, order, "__row")
-        return indexed.where(F.col("__row").between(start, start + size - 1)).drop("__row")
-    return df.orderBy(*order).offset(start).limit(size)
+    rest = rows_from(df, order, start)
+    if rest is not None:
+        return rest.orderBy(*order).limit(size)
+    indexed = with_row_index(df, order, "__row")
+    return indexed.where(F.col("__row").between(start, start + size - 1)).drop("__row").orderBy(*order)
 
 
 def total_pages(df: DataFrame, size: int) -> DataFrame:

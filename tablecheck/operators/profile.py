@@ -100,7 +100,7 @@ def infer_column_types(df: DataFrame, columns: Sequence[str], scope: str = "full
             aggs.append(F.size(first).alias(f"sn{i}"))
             aggs.append(F.size(F.filter(first, lambda x: x == "T")).alias(f"st{i}"))
     if scope == "preview":
-        classes = classes.limit(PREVIEW_ROWS)  # one partition of bounded size, in order
+        classes = classes.coalesce(1)  # a preview frame is as small as its caller asked, and in order
     one = classes.agg(*aggs)
     rows = []
     for i, name in enumerate(columns):

@@ -39,6 +39,19 @@ def _indexed(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]
     return joined.withColumn(out, F.col("__offset") + position).select(*df.columns, out), offset
 
 
+def _ranked(df: DataFrame, order: list[str]) -> bool:
+    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return all(isinstance(df.schema[c].dataType, kinds) for c in order)
+
+
+def rows_from(df: DataFrame, order: list[str], start: int) -> DataFrame | None:
+    """The rows from position ``start`` on, as a filter; None if that needs row positions."""
+    if start <= 0:
+        return df
+    before = _before_rank(df, order, start) if _ranked(df, order) else None
+    return None if before is None else df.where(~before)
+
+
 def split_ordered(df: DataFrame, order: list[str], share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """First floor(share * n) rows in order, and the rest.
 
@@ -46,8 +59,7 @@ def split_ordered(df: DataFrame, order: list[str], share: float = 0.8) -> tuple[
     searched column by column and both parts are plain filters: nothing is sorted or moved.
     Text columns, or rows that tie on the whole key at the cut, need row positions.
     """
-    ranked = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    if all(isinstance(df.schema[c].dataType, ranked) for c in order):
+    if _ranked(df, order):
         before = _before_rank(df, order, int(df.count() * share))
         if before is not None:
             return df.where(before), df.where(~before)

@@ -7,6 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The largest method, in bytes, that the JVM compiles.
+COMPILED_BYTES = "8000"
+
+
+def split_large_methods(spark: SparkSession) -> None:
+    """Let no whole-stage method grow past what the JVM compiles; a session that sets its own limit keeps it.
+
+    Larger methods run interpreted, up to ten times slower; Spark then uses methods split by expression.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_BYTES)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names in spark.checkpoint.dir.
 

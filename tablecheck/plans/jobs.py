@@ -24,7 +24,7 @@ from tablecheck.operators.evaluate import evaluate, python_rules, quality_score
 from tablecheck.operators.model import Model
 from tablecheck.operators.state import latest_per_key
 from tablecheck.sources.readers import read_dataset
-from tablecheck.sources.writers import append_run_state, cleaned_path, snapshot, write_like, write_results
+from tablecheck.sources.writers import append_run_state, cleaned_path, read_run, snapshot, write_like, write_results
 
 
 def _ledger(spark: SparkSession, path: str, schema: str, **values) -> None:
@@ -38,16 +38,17 @@ def _tracked(run: Callable[[], dict], record: Callable[..., None]) -> dict:
     try:
         outcome = run()
     except Exception as e:
-        record(status="failed", error_message=str(e)[:1000], completed_at=datetime.now())
+        record(status="failed", error_message=str(e), completed_at=datetime.now())
         raise
     record(status="completed", completed_at=datetime.now(), **outcome)
     return outcome
 
 
 def current_state(ledger: DataFrame) -> DataFrame:
-    """The latest row per id: finished states win over the start row."""
+    """The row of each id's last start; of that run a finished state wins over the start row."""
     ranked = ledger.withColumn("__done", F.col("completed_at").isNotNull())
-    return latest_per_key(ranked, ["id"], ["__done", "completed_at"]).drop("__done")
+    start = "started_at" if "started_at" in ledger.columns else "executed_at"
+    return latest_per_key(ranked, ["id"], [start, "__done", "completed_at"]).drop("__done")
 
 
 def job_status(ledger: DataFrame, job_id: str) -> DataFrame:
@@ -77,15 +78,15 @@ def validation_job(
         python = [r for r in rules if r.function is not None]
         parts = [evaluate(df, columns, key, include_values, at)] if columns else []
         if python:
-            empty = F.lit(None).cast("map<string,string>")
-            parts.append(
-                python_rules(df, python, key).withColumns({"field_values": empty, "evaluated_at": at})
-            )
+            found = python_rules(df, python, key, include_values=include_values)
+            if include_values == "none":
+                found = found.withColumn("field_values", F.lit(None).cast("map<string,string>"))
+            parts.append(found.withColumn("evaluated_at", at))
         results = parts[0]
         for other in parts[1:]:
             results = results.unionByName(other)
         write_results(results, results_path, run_id)
-        written = spark.read.parquet(results_path).where(F.col("run_id") == run_id)
+        written = read_run(spark, results_path, results, "run_id", run_id)
         summary = quality_score(written, len(rules)).first()
         return {"score": summary["quality_score"], "summary": summary.asDict()}
 
@@ -111,11 +112,12 @@ def clean_job(
         _ledger(spark, ledger_path, schemas.CLEANING_JOB, **base, **values)
 
     def run() -> dict:
-        snapshot(spark, source, backup)
+        snapshot(spark, source, backup, job_id)
         before = read_dataset(spark, source)
         target = cleaned_path(out_root, job_id, source)
-        write_like(clean(before, steps), source, target)
-        after = read_dataset(spark, target)
+        cleaned = clean(before, steps)
+        write_like(cleaned, source, target)
+        after = read_dataset(spark, target, cleaned.schema)
         same = len(before.columns) == len(after.columns)
         summary = cleaning_summary(row_diff(before, after, key), same_columns=same).first()
         if summary["total_records"] != before.count():
@@ -161,7 +163,7 @@ def score_job(
             .partitionBy("scoring_id")
             .parquet(results_path)
         )
-        written = spark.read.parquet(results_path).where(F.col("scoring_id") == scoring_id)
+        written = read_run(spark, results_path, scored.drop("scoring_id"), "scoring_id", scoring_id)
         return {"summary": anomaly_summary(written, threshold).first().asDict()}
 
     record(status="running")

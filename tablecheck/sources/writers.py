@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecheck.sources.readers import CSV
 
@@ -22,6 +23,13 @@ def write_results(results: DataFrame, path: str, run_id: str) -> None:
     )
 
 
+def read_run(spark: SparkSession, path: str, results: DataFrame, column: str, run_id: str) -> DataFrame:
+    """The rows of one run. Ids are read as text: types inferred from folder names would make 1 of 01."""
+    fields = [f for f in results.schema.fields if f.name != column]
+    schema = T.StructType([*fields, T.StructField(column, T.StringType())])
+    return spark.read.schema(schema).parquet(path).where(F.col(column) == run_id)
+
+
 def write_like(df: DataFrame, source_path: str, out: str) -> None:
     """Same format as the source path says; CSV keeps its header."""
     writer = df.write.mode("overwrite")
@@ -35,10 +43,32 @@ def cleaned_path(root: str, job_id: str, source_path: str) -> str:
     return f"{root}/cleaned/{job_id}/{os.path.basename(source_path)}"
 
 
-def snapshot(spark: SparkSession, source: str, backup: str) -> None:
-    """Copy a dataset before cleaning; an existing backup is never overwritten."""
+def snapshot(spark: SparkSession, source: str, backup: str, job_id: str | None = None) -> None:
+    """Copy a dataset before cleaning; a complete backup is never overwritten.
+
+    With a ``job_id`` a note beside the backup names the job. The same job, run again, keeps its complete
+    backup and replaces an incomplete one; any other existing backup is refused.
+    """
+    mode, jvm = "errorifexists", spark.sparkContext._jvm
+    if job_id is not None:
+        note = jvm.org.apache.hadoop.fs.Path(backup.rstrip("/") + ".job")
+        fs = note.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done = jvm.org.apache.hadoop.fs.Path(backup, "_SUCCESS")
+        if fs.exists(note):
+            held = fs.open(note)
+            owner = bytes(held.readAllBytes()).decode()
+            held.close()
+            if owner != job_id:
+                raise ValueError(f"{backup} is the backup of job {owner}")
+            if fs.exists(done):
+                return
+            mode = "overwrite"
+        elif not fs.exists(jvm.org.apache.hadoop.fs.Path(backup)):
+            out = fs.create(note)
+            out.write(bytearray(job_id.encode()))
+            out.close()
     df = spark.read.parquet(source) if source.endswith(".parquet") else _csv_text(spark, source)
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode(mode)
     writer.parquet(backup) if source.endswith(".parquet") else writer.options(**CSV).csv(backup)
 
 

@@ -299,12 +299,14 @@ def test_page_size_and_cursor():
     assert listing.decode_cursor(token) == {"a": 1, "t": "x"} and listing.decode_cursor("%%%") is None
 
 
-def test_deep_offset_page_uses_positions(spark, monkeypatch):
-    df = spark.createDataFrame([(i,) for i in range(300)], "v int").repartition(4)
-    flat = [r["v"] for r in listing.offset_page(df, ["v"], 6, 25).collect()]
-    monkeypatch.setattr(listing, "DEEP_OFFSET", 10)
-    deep = sorted(r["v"] for r in listing.offset_page(df, ["v"], 6, 25).collect())
-    assert flat == deep == list(range(125, 150))
+def test_offset_pages_of_numbers_text_and_ties(spark):
+    df = spark.createDataFrame([(i, f"t{i:03}", 7) for i in range(300)], "v int, t string, same int").repartition(4)
+    for order in (["v"], ["t"], ["same", "v"]):
+        assert [r["v"] for r in listing.offset_page(df, order, 6, 25).collect()] == list(range(125, 150))
+        assert [r["v"] for r in listing.offset_page(df, order, 1, 25).collect()] == list(range(25))
+        assert listing.offset_page(df, order, 99, 25).count() == 0
+    tied = [r["v"] for p in range(1, 4) for r in listing.offset_page(df.where("v < 70"), ["same"], p, 30).collect()]
+    assert len(tied) == 70
     assert tuple(listing.total_pages(df.where("false"), 20).first()) == (0, 1)
 
 

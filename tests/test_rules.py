@@ -194,12 +194,9 @@ def test_unique_rule_with_hot_and_null_keys(spark):
     assert (by["p"]["total"], by["p"]["passed"]) == (3000, 2700)
 
 
-def test_many_rules_are_evaluated_in_groups(df):
+def test_many_rules_are_evaluated_in_one_scan(df):
     fields = ["n", "id"]
     rules = [Rule(f"r{i}", f"rule {i}", conditions=({"field": fields[i % 2], "operator": "greater_than", "value": i},)) for i in range(120)]
-    groups = ev.rule_groups(rules)
-    assert len(groups) > 1 and sorted(r.id for g in groups for r in g) == sorted(r.id for r in rules)
-    assert sum(len({f for r in g for f in r.columns}) > 1 for g in groups) <= 1
     at = {"n": 6, "id": 0}
     expected = {f"r{i}": sum(1 for row in ROWS if (row[at[fields[i % 2]]] or 0) > i) for i in range(120)}
     assert {r["rule_id"]: r["passed"] for r in ev.score_rules(df, rules).collect()} == expected
