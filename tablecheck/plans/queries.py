@@ -5,7 +5,9 @@ The matching DuckDB statements are in ``oracles.py``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from tablecheck.operators import catalog, clean, conflicts, lint, listing, metri
 from tablecheck.operators import evaluate as ev
 from tablecheck.operators.autoencoder import anomaly_summary, classify, reconstruction_error, scorable, train_autoencoder
 from tablecheck.operators.diff import cleaning_summary, row_diff
+from tablecheck.operators.model import Model, init_weights, layer_sizes
 from tablecheck.operators.pca import train_pca
 from tablecheck.operators.quantile import exact_percentile
 from tablecheck.operators.retention import purge_expired
@@ -601,18 +604,50 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 
 @query
 def q40_pca_score(spark, d):
-    lines = table(spark, d, "lineitem")
-    model = train_pca(lines, k=2, columns=LINE_COLUMNS)
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lines = table(spark, d, "lineitem").withColumns({"net": net, "charge": net * (1 + F.col("l_tax"))})
+    # The three prices move together, so the first axis stands out and is the same for any solver.
+    model = train_pca(lines, k=1, columns=["l_quantity", "l_extendedprice", "net", "charge"])
     scored = classify(reconstruction_error(lines, model), model.threshold)
-    return scored.select(*LINE_ORDER, "reconstruction_error", "severity", "is_anomaly")
+    return scored.select(*LINE_ORDER, F.round("reconstruction_error", 6).alias("reconstruction_error"), "severity", "is_anomaly")
 
 
 @query
 def q41_autoencoder_score(spark, d):
+    """Train, score every row, and state what holds for any good run."""
     lines = table(spark, d, "lineitem")
     model = train_autoencoder(lines, order=LINE_ORDER, columns=LINE_COLUMNS, epochs=10)
-    scored = classify(reconstruction_error(lines, model), model.threshold)
-    return scored.select(*LINE_ORDER, "reconstruction_error", "severity", "is_anomaly")
+    untrained = replace(model, weights=[float(w) for w in init_weights(len(LINE_COLUMNS), model.encoding_dim, 42)])
+    scored = reconstruction_error(reconstruction_error(lines, model, "e"), untrained, "e0")
+    first, _ = split_ordered(scored.select(*LINE_ORDER, "e"), LINE_ORDER, 0.8)
+    above = first.agg(F.avg((F.col("e") > model.threshold).cast("double")).alias("share"))
+    facts = scored.agg(F.count(F.lit(1)).alias("scored"), (F.avg("e") < F.avg("e0")).alias("loss_fell"))
+    return facts.crossJoin(above).select(
+        "scored", F.lit(model.training_samples).cast("long").alias("training_rows"), F.lit(model.epochs_trained).alias("epochs"),
+        "loss_fell", F.col("share").between(0.04, 0.06).alias("threshold_fits"),
+    )
+
+
+def formula_weights(n: int, k: int) -> list[float]:
+    """Weights and zero biases by a formula that SQL can state: 0.3 sin(7 i + 3 j + layer), i and j from 0."""
+    sizes, out = layer_sizes(n, k), []
+    for layer, (a, b) in enumerate(zip(sizes, sizes[1:])):
+        out += [0.3 * math.sin(7 * i + 3 * j + layer) for i in range(a) for j in range(b)] + [0.0] * b
+    return out
+
+
+@query
+def q41b_network_score(spark, d):
+    """Score every row with a network of known weights."""
+    lines = table(spark, d, "lineitem")
+    stats = scaler_stats(lines, LINE_COLUMNS).collect()
+    model = Model(
+        "autoencoder", LINE_COLUMNS, [r["mean"] for r in stats], [r["std"] for r in stats], 0.0, 1.0, 16,
+        formula_weights(len(LINE_COLUMNS), 16),
+    )
+    scored = reconstruction_error(lines, model)
+    e = F.col("reconstruction_error")
+    return scored.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(e), 3).alias("mean_error"))
 
 
 @query
