@@ -226,6 +226,10 @@ SELECT b.n AS total_records, a.n AS modified_records, CAST(0 AS BIGINT) AS uncha
     "q25_dedup_clean": "SELECT md5(text) AS text_md5, lang, source, n_chars FROM (SELECT DISTINCT text, lang, source, n_chars FROM {documents})",
     "q25b_clean_steps": f"""SELECT c_custkey, lower(trim(CASE WHEN c_name IS NULL THEN 'Unknown' ELSE c_name END)) AS c_name, c_nationkey, c_acctbal, c_mktsegment
 FROM (SELECT DISTINCT * FROM {{customer_dirty}}) WHERE {_BALANCE_OK} AND c_acctbal BETWEEN 0 AND 9000""",
+    "q25c_fill_typed": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS o_custkey,
+  CASE WHEN o_orderkey % 4 = 0 THEN CAST(0.5 AS DOUBLE) ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '1990-01-01' ELSE o_orderdate END AS o_orderdate,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'Unknown' ELSE o_orderpriority END AS o_orderpriority FROM {orders}""",
     "q26_audit_user": f"SELECT {_AUDIT_OUT} FROM {{audit}} WHERE user_id = 100 AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2000-12-31'",
     "q27_audit_resource": f"SELECT {_AUDIT_OUT} FROM {{audit}} WHERE resource_type = 'rule' AND action_type = 'update'",
     "q28_audit_months": f"SELECT {_AUDIT_OUT} FROM {{audit}} WHERE action_type = 'create' AND ts BETWEEN TIMESTAMP '1997-03-10' AND TIMESTAMP '1998-02-05'",
@@ -238,6 +242,7 @@ ORDER BY o_custkey DESC, o_orderkey LIMIT 50""",
     "q31_offset_page": "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey, o_orderkey LIMIT 25 OFFSET 150",
     "q31b_total_pages": "SELECT count(*) AS rows, CAST(greatest(1, ceil(count(*) / 20.0)) AS BIGINT) AS pages FROM {orders}",
     "q31c_sort_as_text": "SELECT s_suppkey, s_name FROM {supplier} ORDER BY CAST(s_suppkey AS VARCHAR) DESC",
+    "q31d_deep_page": f"SELECT {_ORDER} FROM {{lineitem}} ORDER BY {_ORDER} LIMIT 40 OFFSET 59960",
     "q32_rule_listing": "SELECT rule_id, scope, status, catalog_id FROM {rules} WHERE status = 'active' AND catalog_id = 4",
     "q32b_catalog_listing": """SELECT o_orderkey AS id, o_orderpriority AS name, o_custkey AS owner, strftime(o_orderdate, '%Y-%m-%d') AS day FROM {orders}
 WHERE contains(o_orderpriority, 'HIGH') AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-01-01'""",
@@ -386,6 +391,14 @@ SELECT o_orderkey, strftime(t, '%Y-%m-%d %H:%M:%S') AS parsed, strftime(t, '%Y-%
 SELECT rule_id, fields, CAST(CASE WHEN fields = '' THEN 0 ELSE 4 END AS INT) AS n FROM t""",
     "q63_truncate": """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS v FROM {documents})
 SELECT doc_id, substring(v, 1, 500) AS description, CAST(length(v) AS INT) AS whole_length FROM t""",
+    "q56b_python_types": """SELECT o_orderkey AS record_id, 'reveal' AS rule_id, 'reveal' AS rule_name, coalesce(n % 2 = 0 AND n > 9007199254745992, false) AS passed,
+  CASE WHEN n IS NULL THEN 'Execution error: None' WHEN n % 2 = 1 THEN 'Execution error: ' || CAST(n AS VARCHAR)
+    WHEN n > 9007199254745992 THEN '' ELSE 'Rule condition not met' END AS message
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 9007199254740992 END AS n FROM {orders}) x""",
+    "q64b_big_numbers": "SELECT o_orderkey, " + ", ".join(
+        f"n = 9007199254740993 AS {c}_eq, n <> 9007199254740993 AS {c}_ne, n > 9007199254740993 AS {c}_gt, "
+        f"n < 9007199254740993 AS {c}_lt, n BETWEEN 9007199254740993 AND 9007199254740994 AS {c}_in" for c in "nt"
+    ) + " FROM (SELECT o_orderkey, 9007199254740990 + o_orderkey % 7 AS n FROM {orders}) x",
     "q64_field_value_types": """SELECT event_id, user_id > 90 AS above, ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15' AS in_week,
   event_type IN ('view', 'click') AS kinds FROM {events}""",
 }

@@ -369,6 +369,17 @@ def q25b_clean_steps(spark, d):
     return clean.clean(table(spark, d, "customer_dirty"), clean.compile_steps(steps))
 
 
+@query
+def q25c_fill_typed(spark, d):
+    """Missing numbers, times and text, filled without changing a column's type."""
+    holes = table(spark, d, "orders").select(
+        "o_orderkey", *[F.when(F.col("o_orderkey") % k != 0, F.col(c)).alias(c) for k, c in
+                        ((3, "o_custkey"), (4, "o_totalprice"), (5, "o_orderdate"), (7, "o_orderpriority"))])
+    given = {"o_custkey": {"value": -1}, "o_totalprice": {"value": "0.5"}, "o_orderdate": {"value": "1990-01-01"}}
+    steps = clean.plan_steps([f"missing values in {c}" for c in holes.columns[1:]], given)
+    return clean.clean(holes, clean.compile_steps(steps))
+
+
 # ---- audit --------------------------------------------------------------------------
 
 
@@ -431,6 +442,11 @@ def q31_offset_page(spark, d):
     return listing.offset_page(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], 7, 25)
 
 
+@query
+def q31d_deep_page(spark, d):
+    return listing.offset_page(table(spark, d, "lineitem").select(*LINE_ORDER), LINE_ORDER, 1500, 40)
+
+
 @query
 def q31b_total_pages(spark, d):
     return listing.total_pages(table(spark, d, "orders"), 20)
@@ -843,6 +859,20 @@ def q56_python_rule(spark, d):
     return ev.python_rules(clean_balance, [rule], "c_custkey")
 
 
+def _reveal(record: dict) -> bool:
+    if record["n"] is None or record["n"] % 2:
+        raise ValueError(str(record["n"]))
+    return record["n"] > 2**53 + 5000
+
+
+@query
+def q56b_python_types(spark, d):
+    """Nullable whole numbers past 2**53 reach a Python rule as they are."""
+    n = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") + 2**53)
+    rule = Rule("reveal", "reveal", target_fields=("n",), function=_reveal)
+    return ev.python_rules(table(spark, d, "orders").select("o_orderkey", n.alias("n")), [rule], "o_orderkey")
+
+
 @query
 def q57_admit_files(spark, d):
     return check_files(table(spark, d, "files")).select("page_id", "is_valid", "reason", "content_type")
@@ -983,3 +1013,20 @@ def q64_field_value_types(spark, d):
         Rule("kinds", "", conditions=({"field": "event_type", "operator": "matches", "value": "^(view|click)$"},)),
     ]
     return ev.rule_flags(texts, rules).select("event_id", "above", "in_week", "kinds")
+
+
+BIG = 2**53 + 1
+
+
+@query
+def q64b_big_numbers(spark, d):
+    """Neighbours past 2**53, as whole numbers and as text, in every comparison."""
+    near = F.lit(BIG - 3) + F.col("o_orderkey") % 7
+    orders = table(spark, d, "orders").select("o_orderkey", near.alias("n"), near.cast("string").alias("t"))
+    rules = [
+        Rule(f"{c}_{name}", "", conditions=({"field": c, "operator": op, "value": value},))
+        for c in ("n", "t")
+        for name, op, value in (("eq", "equals", str(BIG)), ("ne", "not_equals", BIG), ("gt", "greater_than", BIG),
+                                ("lt", "less_than", str(BIG)), ("in", "between", f"{BIG},{BIG + 1}"))
+    ]
+    return ev.rule_flags(orders, rules).select("o_orderkey", *[r.id for r in rules])
