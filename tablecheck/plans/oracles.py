@@ -205,7 +205,8 @@ FROM s ORDER BY t DESC, scoring_id LIMIT 5""",
     "q18_conflicts_table_column": _conflict("table", "column", "table_id"),
     "q19_conflicts_catalog_column": _conflict("catalog", "column", "catalog_id"),
     "q20_with_resolutions": f"""SELECT c.rule_a, c.rule_b, r.rule_lo IS NOT NULL AS resolved, r.priority_rule_id, r.resolved_by
-FROM ({_ALL_CONFLICTS}) c LEFT JOIN {{resolutions}} r ON r.rule_lo = least(c.rule_a, c.rule_b) AND r.rule_hi = greatest(c.rule_a, c.rule_b)""",
+FROM ({_ALL_CONFLICTS}) c LEFT JOIN (SELECT rule_lo, rule_hi, max_by(priority_rule_id, resolved_at) AS priority_rule_id, max_by(resolved_by, resolved_at) AS resolved_by
+  FROM {{resolutions}} GROUP BY rule_lo, rule_hi) r ON r.rule_lo = least(c.rule_a, c.rule_b) AND r.rule_hi = greatest(c.rule_a, c.rule_b)""",
     "q20b_conflict_sentences": f"""SELECT 'Rules at ''' || a_scope || ''' and ''' || b_scope || ''' scope levels target overlapping fields with potentially contradictory constraints.' AS contradiction_summary,
   count(*) AS conflicts FROM ({_ALL_CONFLICTS}) GROUP BY 1""",
     "q21_resolve": """SELECT rule_id, scope, CASE WHEN rule_id IN (SELECT overridden_rule_id FROM {resolutions}) THEN 'overridden' ELSE status END AS status FROM {rules}""",

@@ -291,7 +291,7 @@ def q19_conflicts_catalog_column(spark, d):
 def _resolutions(spark, d) -> DataFrame:
     return table(spark, d, "resolutions").select(
         S.pair_key(F.col("rule_lo"), F.col("rule_hi")).alias("pair_key"), "priority_rule_id", "overridden_rule_id",
-        "resolved_by", F.lit(None).cast("timestamp").alias("resolved_at"),
+        "resolved_by", "resolved_at",
     )
 
 

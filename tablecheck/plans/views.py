@@ -52,9 +52,14 @@ SELECT p_partkey AS rule_id,
 FROM {part}""",
     "resolutions": """
 SELECT LEAST(a.rule_id, b.rule_id) AS rule_lo, GREATEST(a.rule_id, b.rule_id) AS rule_hi,
-  a.rule_id AS priority_rule_id, b.rule_id AS overridden_rule_id, 'admin' AS resolved_by
-FROM {rules} a JOIN {rules} b ON a.catalog_id = b.catalog_id
-WHERE a.scope = 'catalog' AND b.scope = 'table' AND (a.rule_id + b.rule_id) % 4 = 0""",
+  CASE WHEN again = 1 THEN b.rule_id ELSE a.rule_id END AS priority_rule_id,
+  CASE WHEN again = 1 THEN a.rule_id ELSE b.rule_id END AS overridden_rule_id,
+  CASE WHEN again = 1 THEN 'reviewer' ELSE 'admin' END AS resolved_by,
+  CASE WHEN again = 1 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS resolved_at
+FROM {rules} a
+JOIN (SELECT catalog_id, MIN(rule_id) AS rule_id FROM {rules} WHERE scope = 'table' GROUP BY catalog_id) b ON a.catalog_id = b.catalog_id
+CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) t
+WHERE a.scope = 'catalog' AND a.rule_id % 4 < 3 AND (again = 0 OR a.rule_id % 8 = 1)""",
     "registry_tables": """
 SELECT n_nationkey AS table_id, n_name AS name,
   CASE WHEN n_nationkey % 8 = 7 THEN 99 ELSE n_regionkey END AS catalog_id FROM {nation}""",
