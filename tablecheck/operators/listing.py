@@ -93,8 +93,10 @@ def search_any(df: DataFrame, text: str) -> DataFrame:
 
 
 def sort_as_text(df: DataFrame, column: str, direction: str = "asc") -> DataFrame:
+    """Ties are ordered by a hash of the row, so that one frequent value is not one sorting task."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return df.orderBy(text.asc() if direction == "asc" else text.desc())
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+    return df.orderBy(text.asc() if direction == "asc" else text.desc(), tie)
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -255,9 +255,9 @@ WHERE contains(o_orderpriority, 'HIGH') AND o_orderdate BETWEEN TIMESTAMP '1996-
     "q33b_edit_report": """WITH c AS (SELECT report_id, max(version) AS version, arg_max(coalesce(content, chr(1)), version) AS content FROM {report_versions} GROUP BY report_id)
 SELECT report_id, version + 1 AS version, CASE WHEN report_id % 2 = 0 THEN 'new text' ELSE nullif(content, chr(1)) END AS content,
   CASE WHEN report_id % 3 = 0 THEN 'new title' ELSE 't' END AS title, 'me' AS edited_by
-FROM c WHERE (report_id % 2 = 0 OR report_id % 3 = 0) AND report_id IN (SELECT conv_id FROM {conversations} WHERE turn = 0)""",
-    "q33c_publish": """WITH m AS (SELECT conv_id AS id, CASE WHEN conv_id % 4 = 0 THEN 'published' ELSE 'draft' END AS status FROM {conversations} WHERE turn = 0),
-a AS (SELECT doc_id AS id FROM {documents} WHERE lang = 'en')
+FROM c WHERE (report_id % 2 = 0 OR report_id % 3 = 0) AND report_id IN (SELECT conv_id FROM {conversations})""",
+    "q33c_publish": """WITH m AS (SELECT conv_id * 10 + turn AS id, CASE WHEN conv_id % 4 = 0 THEN 'published' ELSE 'draft' END AS status FROM {conversations}),
+a AS (SELECT doc_id AS id FROM {documents})
 SELECT id, CASE WHEN id IN (SELECT id FROM a) THEN 'published' ELSE status END AS outcome FROM m
 UNION ALL SELECT a.id, CASE WHEN m.id IS NULL THEN 'not found' ELSE 'not a draft' END FROM a LEFT JOIN m ON a.id = m.id WHERE m.id IS NULL OR m.status <> 'draft'""",
     "q34_latest_state": """SELECT dataset_id, run_id, status, score FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {runs}) WHERE rn = 1""",

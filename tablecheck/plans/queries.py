@@ -501,7 +501,7 @@ def q33_versions(spark, d):
 @query
 def q33b_edit_report(spark, d):
     versions = table(spark, d, "report_versions").withColumns({"title": F.lit("t"), "edited_at": F.lit(None).cast("timestamp")})
-    edits = table(spark, d, "conversations").where(F.col("turn") == 0).select(
+    edits = table(spark, d, "conversations").select("conv_id").distinct().select(
         F.col("conv_id").alias("report_id"),
         F.when(F.col("conv_id") % 2 == 0, "new text").alias("content"),
         F.when(F.col("conv_id") % 3 == 0, "new title").alias("title"),
@@ -513,13 +513,13 @@ def q33b_edit_report(spark, d):
 
 @query
 def q33c_publish(spark, d):
-    made = table(spark, d, "conversations").where(F.col("turn") == 0).select(
-        F.col("conv_id").alias("id"),
+    made = table(spark, d, "conversations").select(
+        (F.col("conv_id") * 10 + F.col("turn")).cast("bigint").alias("id"),
         F.when(F.col("conv_id") % 4 == 0, "published").otherwise("draft").alias("status"),
         F.lit(None).cast("timestamp").alias("published_at"),
         F.lit(None).cast("timestamp").alias("updated_at"),
     )
-    asked = table(spark, d, "documents").select(F.col("doc_id").alias("id")).where(F.col("lang") == "en")
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     updated, refused = reports.publish_report(made, asked, datetime(2024, 1, 1))
     return updated.select("id", F.col("status").alias("outcome")).unionByName(
         refused.select("id", F.col("reason").alias("outcome"))
