@@ -1,6 +1,7 @@
 """Headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query is run to the end (all rows produced, none collected). With BENCH_PANDAS set,
+Every query is run to the end (all rows produced, none collected). With BENCH_DUCKDB set, DuckDB runs the
+same statements for comparison; with BENCH_PANDAS set,
 the single-process alternative for rule scoring is timed too: one Python call per rule and record.
 """
 
@@ -17,7 +18,9 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tablecheck.plans.oracles import ORACLES  # noqa: E402
 from tablecheck.plans.queries import QUERIES  # noqa: E402
+from tablecheck.plans.views import TABLES  # noqa: E402
 
 HEADLINE = [
     "q01_rule_score", "q02_rule_results", "q06_unique", "q08_pattern", "q11_infer_types", "q12_schema_check",
@@ -46,6 +49,21 @@ def pandas_loop(sf_dir: str) -> float:
     return time.time() - start
 
 
+def duckdb_times(sf_dir: str, names: list[str], cpus: int) -> dict[str, float]:
+    """Seconds that one DuckDB process takes for the same results, where SQL states them."""
+    import duckdb
+
+    con = duckdb.connect(config={"threads": cpus})
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    out = {}
+    for name in (n for n in names if n in ORACLES):
+        start = time.time()
+        con.execute(f"CREATE OR REPLACE TEMP TABLE result AS {ORACLES[name]}")
+        out[name] = round(time.time() - start, 3)
+    return out
+
+
 def spark_loop(spark: SparkSession, sf_dir: str) -> float:
     """The same four rules as Columns."""
     from tablecheck import Rule
@@ -80,9 +98,9 @@ def main() -> None:
         with contextlib.redirect_stdout(sys.stderr):
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
-    extra = {}
+    extra = {"duckdb": duckdb_times(sf_dir, list(times), int(cpus))} if os.environ.get("BENCH_DUCKDB") else {}
     if not sys.argv[1:]:
-        extra = {"lineitem_rules_spark": round(spark_loop(spark, sf_dir), 3)}
+        extra |= {"lineitem_rules_spark": round(spark_loop(spark, sf_dir), 3)}
         if os.environ.get("BENCH_PANDAS"):  # minutes at sf0.1
             extra["lineitem_rules_pandas_loop"] = round(pandas_loop(sf_dir), 3)
     print(json.dumps({

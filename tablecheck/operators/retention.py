@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,15 @@ def drop_prefix(spark: SparkSession, path: str) -> int:
     return removed
 
 
+def partition_values(spark: SparkSession, path: str, partition: str) -> list[str]:
+    """Values of a partition column, from the folder names; no row is read."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(path, f"{partition}=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.globStatus(pattern) or []]
+    return sorted(unquote(n.split("=", 1)[1]) for n in names)
+
+
 def purge_table(spark: SparkSession, path: str, partition: str, ts: str, as_of: datetime, days: int) -> int:
     """Purge a Parquet table partitioned by a date or month text column, in place.
 
@@ -37,9 +47,8 @@ def purge_table(spark: SparkSession, path: str, partition: str, ts: str, as_of:
     """
     limit = as_of - timedelta(days=days)
     table = spark.read.parquet(path)
-    values = [str(r[0]) for r in table.select(partition).distinct().collect()]  # partition names
     touched = 0
-    for value in values:
+    for value in partition_values(spark, path, partition):
         edge = limit.strftime("%Y-%m-%d")[: len(value)]
         if value < edge:
             drop_prefix(spark, f"{path}/{partition}={value}")
