@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +17,34 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Lower-cases A-Z and nothing else, for bytes.
 LOWER_BYTES = bytes(range(65)) + UPPER.lower().encode() + bytes(range(91, 256))
 # Texts of a batch are handled in slices of about this many bytes, so memory does not follow the batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+# Rows of a batch that goes to Python; texts are long, and Spark's default of 10,000 is for numbers.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows, unless the session sets a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back when it ends: Python workers are used again,
+    and the memory of idle ones counts against the executor."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return inner
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: computed once, safe from lost executors."""
+    small_batches(df.sparkSession)
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -36,6 +64,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if the frame has such a column already (names ignore case)."""
+    small_batches(df.sparkSession)
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
@@ -51,7 +80,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
     """Lists of the texts as UTF-8 bytes (None for null), each of about ``most`` bytes together."""
     part, size = [], 0
-    for x in texts.cast(pa.large_binary()):
+    for x in texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()):
         b = x.as_py()
         part.append(b)
         size += len(b or b"") + 64

@@ -9,8 +9,9 @@ A window is ``width`` consecutive words of an item; an item of fewer words is on
 none has none. Only stretches of words that all occur in the benchmark and are as long as the shortest
 window can hold a window, so the index holds those stretches of the shard, with separators between.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text (or one item), so what a task
-holds is bounded; with more than one block a document's spans and items are merged block by block.
+The benchmark goes to the tasks in blocks of about BLOCK_BYTES of text (or one item), so what a task holds
+is bounded. With more than one block the rows are written after each, and a document's spans and items
+are merged block by block.
 
 Null and empty texts have no words. A null item id counts as the empty string, repeated items count
 once per id, an empty benchmark hits nothing. Other columns are not looked at.
@@ -24,10 +25,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import LOWER_BYTES, UPPER, free_name, slices, table
+from tablecheck.llm.common import LOWER_BYTES, UPPER, free_name, slices, table, tidy, written
 
 WIDTH = 10
 BLOCK_BYTES = 1 << 20
@@ -199,7 +201,7 @@ def hits_column(text: Column, prior: Column, windows: Windows) -> Column:
                 out += shard(part, prior_part.to_pylist() if prior_part.null_count < len(part) else [None] * len(part))
             yield pa.array(out, kind)
 
-    return F.arrow_udf(run, RESULT).asNondeterministic()(text.cast("string"), prior)
+    return F.arrow_udf(tidy(run), RESULT).asNondeterministic()(text.cast("string"), prior)
 
 
 def find_hits(
@@ -217,6 +219,7 @@ def find_hits(
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text", "name"), F.lit(blocks)) == b).collect()
         windows = Windows([(r["name"], r["text"].encode()) for r in rows], width)
+        out = written(out) if b else out
         out = out.withColumn(name, hits_column(F.col(text), F.col(name), windows))
     return out, name
 
@@ -241,12 +244,13 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", lengt
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, hits in batches:
-            spans = hits.field("spans").to_pylist()
-            yield pa.array([t if not s else cut(t, s) for t, s in zip(texts.to_pylist(), spans)], pa.string())
+            touched = pc.greater(pc.fill_null(hits.field("n_hit"), 0), 0)
+            changed = zip(texts.filter(touched).to_pylist(), hits.field("spans").filter(touched).to_pylist())
+            yield pc.replace_with_mask(texts, touched, pa.array([cut(t, s) for t, s in changed], texts.type))
 
     h = F.col(name)
     kept = found.where((h["n_hit"] == 0) | (h["n_hit"] < h["n_words"]))
-    kept = kept.withColumn(text, F.arrow_udf(run, "string").asNondeterministic()(F.col(text).cast("string"), h))
+    kept = kept.withColumn(text, F.arrow_udf(tidy(run), "string").asNondeterministic()(F.col(text).cast("string"), h))
     if length in docs.columns:
         changed = F.char_length(text).cast(docs.schema[length].dataType)
         kept = kept.withColumn(length, F.when(h["n_hit"] > 0, changed).otherwise(F.col(length)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import slices, table, written
+from tablecheck.llm.common import slices, table, tidy, written
 
 ORDER = 5
 QUANTILE = 0.99
@@ -117,7 +117,7 @@ def trusted_ids(labels: DataFrame, id: str = "doc_id", label: str = "quality") -
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) of a table (text, trusted)."""
-    return texts.mapInArrow(_gather(order), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(_gather(order)), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -193,7 +193,7 @@ def add_log_likelihood(docs: DataFrame, probabilities: DataFrame, text: str, out
             h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k]
         sort = np.argsort(h)
         shard = spark.sparkContext.broadcast((h[sort], part.column("log_p").to_numpy()[sort].astype(np.float32)))
-        score = F.arrow_udf(_score(shard, order), "n_chars long, log_p double").asNondeterministic()
+        score = F.arrow_udf(tidy(_score(shard, order)), "n_chars long, log_p double").asNondeterministic()
         docs = docs.withColumn(out, score(F.col(text).cast("string"), F.col(out)))
     return docs
 

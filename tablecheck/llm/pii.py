@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import slices, table, written
+from tablecheck.llm.common import slices, table, tidy, written
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 BASE_KINDS = KINDS[:4]
@@ -192,7 +192,7 @@ def scan_column(text: Column) -> Column:
         for texts in batches:
             yield pa.array([scan(t) for part in slices(texts) for t in part], kind_of)
 
-    return F.arrow_udf(run, RESULT).asNondeterministic()(text.cast("string"))
+    return F.arrow_udf(tidy(run), RESULT).asNondeterministic()(text.cast("string"))
 
 
 class Reliability:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import LOWER_BYTES, free_name, slices, table, written
+from tablecheck.llm.common import LOWER_BYTES, free_name, slices, table, tidy, written
 from tablecheck.llm.components import components
 
 WORDS = 3
@@ -60,7 +60,7 @@ def fingerprint_column(text: Column, words: int = WORDS) -> Column:
             marks = [fingerprint(t, words) for part in slices(texts) for t in part]
             yield pa.array(np.array(marks, dtype=np.uint64).view(np.int64), pa.int64())
 
-    return F.arrow_udf(run, "long").asNondeterministic()(text.cast("string"))
+    return F.arrow_udf(tidy(run), "long").asNondeterministic()(text.cast("string"))
 
 
 class BKTree:
@@ -181,7 +181,7 @@ def links(marks: DataFrame, radius: int = RADIUS, limit: int = TREE_LIMIT) -> Da
     )
     n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    return tiles.mapInArrow(_search(radius), "a long, b long")
+    return tiles.mapInArrow(tidy(_search(radius)), "a long, b long")
 
 
 def near_duplicates(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import held_out, slices, table, written
+from tablecheck.llm.common import held_out, slices, table, tidy, written
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -61,7 +61,9 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, p
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(first[0].unionByName(first[1]))  # 2 * per_class rows at most
     rows = docs.select(F.col(id).alias("k"), F.col(text).cast("string").alias("text")).join(ids, "k")
-    return written(rows.where("text is not null").groupBy("text").agg(F.max("y").cast("int").alias("y")))
+    texts = rows.where("text is not null").groupBy("text").agg(F.max("y").cast("int").alias("y"))
+    # Very many rows may share an id, so the texts are bounded too.
+    return written(texts.orderBy(F.xxhash64("text"), "text").limit(2 * per_class))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ class Model:
                         out.append(intercept + float(weight[np.unique(np.concatenate(found))].sum()))
                 yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out), -40, 40))), pa.float64())
 
-        return F.arrow_udf(run, "double").asNondeterministic()(text.cast("string"))
+        return F.arrow_udf(tidy(run), "double").asNondeterministic()(text.cast("string"))
 
 
 def train(
@@ -125,7 +127,7 @@ def train(
     if not n0 or not n1:
         share = np.clip(n1 / max(n0 + n1, 1), 1e-9, 1 - 1e-9)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    counts = rows.mapInArrow(_count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.mapInArrow(tidy(_count), "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a = F.lit(SMOOTH)
     ratio = F.log((F.col("n1") + a) / (n1 + 2 * a)) - F.log((F.col("n0") + a) / (n0 + 2 * a))
     certain = F.abs(ratio) / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
@@ -141,7 +143,7 @@ def train(
             yield pa.RecordBatch.from_arrays([pa.array([x[x >= 0].tobytes() for x in f]), batch.column(1)], names=["f", "y"])
 
     # At most 2 * PER_CLASS rows of FEATURES two-byte numbers.
-    found = rows.mapInArrow(features, "f binary, y int").collect()
+    found = rows.mapInArrow(tidy(features), "f binary, y int").collect()
     found.sort(key=lambda r: (r["y"], bytes(r["f"])))
     weight, intercept = fit_logistic([np.frombuffer(r["f"], np.int16) for r in found], np.array([r["y"] for r in found]), scale)
     return Model(bucket, weight, intercept)
