@@ -22,9 +22,11 @@ manifest without shards.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +35,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import shared_folder, slices, table
+from tablecheck.llm.common import shared_folder, slices, table, tidy
 
 MAGIC = b"EFTOKEN1"
 BLOCK = 512
 END_ID = 0
-# Encoded pieces a task remembers.
-REMEMBER = 400_000
+# Encoded pieces a task remembers, and bytes of text handled at a time.
+REMEMBER = 300_000
+SLICE = 1 << 20
 # Token ids read at a time.
 READ_IDS = 4 << 20
 
@@ -91,36 +94,99 @@ class EliasFano:
         return out
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes stand for themselves,
+    the others are numbered from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in set(own))
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Ids of the pieces of text between blanks, found when first asked for.
+
+    A piece of letters and trailing signs is two words, which go straight to the tokenizer's model; any
+    other piece goes through the whole tokenizer.
+    """
+
+    WORD = re.compile(r"( ?[^\W\d_]+)((?:[^\w\s]|_)*)")
+    LETTERS = _byte_letters()
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.signs = {"": b""}
+        word_ids, letters, form = tokenizer.model.tokenize, self.LETTERS, self.WORD.fullmatch
+
+        def whole(x: str) -> bytes:
+            return np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def sign(x: str) -> bytes:
+            if x not in self.signs:
+                self.signs[x] = whole(x)
+            return self.signs[x]
+
+        def line(x: str) -> bytes | None:
+            """None if the line is not of the form."""
+            m = form(x)
+            if not m:
+                return None
+            word, signs = m.groups()
+            ids = self.get(word)
+            if ids is None:
+                if not word.lstrip(" ").isalpha():
+                    return None
+                written = word if word.isascii() else word.encode().decode("latin-1")
+                ids = self[word] = array("I", [t.id for t in word_ids(written.translate(letters))]).tobytes()
+            return ids + sign(signs) if signs else ids
+
+        def find(x: str) -> bytes:
+            if "\n" not in x:
+                found = line(x)
+                return whole(x) if found is None else found
+            lines = [line(y) for y in x.split("\n")]
+            return whole(x) if None in lines else sign("\n").join(lines)
+
+        self.find = find
+
+    def __missing__(self, x: str) -> bytes:
+        out = self[x] = self.find(x)
+        return out
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer, remembering the ids of pieces between blanks.
 
-    The byte-level pre-tokenizer begins a new word at a blank, except inside longer white space; texts
-    that hold a blank between white space, or a special token, are encoded whole.
+    A byte-level pre-tokenizer begins a new word at a blank, except inside longer white space; texts that
+    hold a blank between white space, or a special token, are encoded whole, as are all texts of other
+    tokenizers.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.by_piece = bool(plain) and not spec["normalizer"] and spec["model"]["type"] == "BPE"
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s \s", *map(re.escape, special)]))
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = [None if self.whole.search(t) else t.split(" ") for t in texts]
-        for p in pieces:
-            if p:
-                p[1:] = [" " + x for x in p[1:]]
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = {x for p in pieces if p for x in p if x not in self.known}
-        whole = [t for t, p in zip(texts, pieces) if p is None]
-        encoded = self.tokenizer.encode_batch_fast([*new, *whole], add_special_tokens=False)
-        as_bytes = [np.array(e.ids, "<u4").tobytes() for e in encoded]
-        self.known.update(zip(new, as_bytes))
-        rest = iter(as_bytes[len(new) :])
-        return [next(rest) if p is None else b"".join(map(self.known.__getitem__, p)) for p in pieces]
+            self.known = Pieces(self.tokenizer)
+        known, out = self.known, []
+        for t in texts:
+            if not self.by_piece or self.whole.search(t):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            first, *rest = t.split(" ")
+            out.append(b"".join([known[first], *[known[" " + x] for x in rest]]))
+        return out
 
 
 def _write(folder: str, tokenizer: str, end_id: int, width: int):
@@ -138,7 +204,7 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int):
             if file is None:
                 file = out.open_output_stream(f"{path}/{name}")
             ids.append(batch.column(0).cast(pa.int64()))
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 codes = [x + end for x in encoder.encode([(t or b"").decode() for t in part])]
                 lengths.append(np.array([len(x) // 4 for x in codes], np.int64))
                 file.write(np.frombuffer(b"".join(codes), "<u4").astype(f"<u{width}").tobytes())
@@ -184,7 +250,7 @@ def write_corpus(
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
     out, path = place(folder)
     out.create_dir(path, recursive=True)
-    written = dealt.mapInArrow(_write(folder, tokenizer, end_id, width), "shard int, file string, docs long, tokens long")
+    written = dealt.mapInArrow(tidy(_write(folder, tokenizer, end_id, width)), "shard int, file string, docs long, tokens long")
     # One row for each shard, so what reaches the driver is bounded by the number of partitions.
     listed, start = [], 0
     for r in sorted(written.collect(), key=lambda r: r["shard"]):
@@ -269,7 +335,7 @@ def read_corpus(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     files = [(s["file"], s["start"]) for s in manifest["shards"]]
     rows = spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files)))
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_read(folder, with_ids), kind)
+    return rows.mapInArrow(tidy(_read(folder, with_ids)), kind)
 
 
 def tokenizer_path() -> str:
