@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import free_name, held_out, slices, table
+from tablecheck.llm.common import free_name, held_out, slices, table, tidy
 
 SAMPLE_DOCS = 4000
 SPANS = 4
@@ -53,16 +53,38 @@ def words_of(text: str | None) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word; the last BITS-bit numbers are kept for the lexicons."""
-    w = f"^{word}$"
-    names = [f"w{word}"]
-    names += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    names += [w[k : k + 2] for k in range(len(w) - 1)] + [w[k : k + 3] for k in range(len(w) - 2)]
-    out = [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
-    if word in lexicon:
-        out.append((1 << BITS) + lexicon[word])
-    return out
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, feature): numbers of words and of their hashed features, for all words at once.
+
+    A word between ^ and $ gives its 2- and 3-grams, its first and last three letters with the mark beside
+    them, itself, and, past the hashed numbers, one for the language whose lexicon holds it.
+    """
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - place
+    mask = np.uint32((1 << BITS) - 1)
+    owners, found, h = [], [], c
+    for n in (2, 3, 4):
+        h = h[:-1] * np.uint32(0x01000193) + c[n - 1 :] * np.uint32(0x9E3779B1)
+        at = np.flatnonzero(left[: len(h)] >= n)
+        if n == 4:
+            at = at[(place[at] == 0) | (left[at] == n)]
+        mixed = (h[at] ^ (h[at] >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        owners.append(owner[at])
+        found.append(((mixed >> np.uint32(16)) ^ np.uint32(n * 0x3D4D)) & mask)
+    owners.append(np.arange(len(words)))
+    found.append(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint32) & mask)
+    listed = [(k, (1 << BITS) + lexicon[w]) for k, w in enumerate(words) if w in lexicon]
+    owners.append(np.array([k for k, _ in listed], np.int64))
+    found.append(np.array([f for _, f in listed], np.int64))
+    return np.concatenate(owners), np.concatenate([f.astype(np.int64) for f in found])
+
+
+def add_up(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by owner."""
+    return np.stack([np.bincount(owner, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
 
 
 def spans(words: list[str]) -> list[list[str]]:
@@ -86,7 +108,7 @@ def sample(docs: DataFrame, id: str, text: str, lang: str, n: int) -> list[tuple
 
     # A third of all rows may share one id, so the sample is cut by rows as well.
     chosen = rows.join(F.broadcast(ids), "k").select("text", "lang").limit(n)
-    found = chosen.mapInArrow(take, "lang string, span string").collect()
+    found = chosen.mapInArrow(tidy(take), "lang string, span string").collect()
     return sorted((r["lang"], r["span"].split(" ")) for r in found)
 
 
@@ -142,9 +164,8 @@ class Model:
         self.langs, self.lexicon, self.weights, self.moves = langs, lexicon, weights, moves
 
     def log_potentials(self, words: list[str]) -> np.ndarray:
-        each = [features(w, self.lexicon) for w in words]
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in each])[:-1]]).astype(np.int64)
-        return np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(each), np.int64)], starts, axis=0)
+        owner, feature = features(words, self.lexicon)
+        return add_up(owner, self.weights[feature], len(words))
 
     def predict_column(self, text: Column, with_runs: bool = False) -> Column:
         """Struct column with the fields of RESULT; runs (of words of one label) only if asked for."""
@@ -195,7 +216,7 @@ class Model:
             null = "struct<lang:string,score:double,n_words:bigint,runs:array<struct<lang:string,start:bigint,end:bigint>>>"
             return F.from_json(F.lit('{"lang":"und","score":0.0,"n_words":0,"runs":[]}'), null)
         move = np.exp(self.moves - self.moves.max())
-        return F.arrow_udf(run, RESULT).asNondeterministic()(text.cast("string"))
+        return F.arrow_udf(tidy(run), RESULT).asNondeterministic()(text.cast("string"))
 
 
 def fit(found: list[tuple[str, list[str]]]) -> Model:
@@ -220,10 +241,7 @@ def fit(found: list[tuple[str, list[str]]]) -> Model:
     for g, group in enumerate(groups):
         flat = [(types[w], langs.index(lg)) for lg, words in group for w in words][:most]
         x[g, : len(flat)], y[g, : len(flat)] = zip(*flat)
-    each = [features(w, lexicon) for w in seen]
-    feature = np.fromiter(chain.from_iterable(each), np.int64)
-    owner = np.repeat(np.arange(len(each)), [len(f) for f in each])
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in each])[:-1]]).astype(np.int64)
+    owner, feature = features(list(seen), lexicon)
     n, on = (1 << BITS) + k, y >= 0
     gold = np.zeros((len(types), k))
     np.add.at(gold, (x[on], y[on]), 1)
@@ -234,7 +252,7 @@ def fit(found: list[tuple[str, list[str]]]) -> Model:
     m, s = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         weights, moves = theta[: n * k].reshape(n, k), theta[n * k :].reshape(k, k)
-        e = np.add.reduceat(weights[feature], starts, axis=0)
+        e = add_up(owner, weights[feature], len(types))
         emit, move = np.exp(e - e.max(axis=1, keepdims=True)), np.exp(moves - moves.max())
         ahead = np.zeros((len(groups), most, k))
         a = np.full((len(groups), k), 1.0 / k)
@@ -257,7 +275,7 @@ def fit(found: list[tuple[str, list[str]]]) -> Model:
             b /= b.sum(axis=1, keepdims=True)
         off = (want - gold) / total
         g = np.concatenate([
-            np.stack([np.bincount(feature, weights=off[owner, j], minlength=n) for j in range(k)], axis=1).ravel(),
+            add_up(feature, off[owner], n).ravel(),
             ((want_moves - gold_moves) / total).ravel(),
         ]) + PENALTY * theta
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
