@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import free_name, slices, table
+from tablecheck.llm.common import free_name, slices, table, tidy
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -31,7 +31,7 @@ MAX_WORD_DISTANCE = 0.5
 # A language needs this share of all documents to have a reference, so there are at most 1000 of them.
 MIN_SHARE = 0.001
 # A task hands on its word counts when it holds this many words.
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 150_000
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -133,6 +133,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         flat = [(k, "word", w.decode(), n) for k, c in words.items() for w, n in c.items()]
         flat += [(k, "class", NAMES[i], int(n)) for k, c in classes.items() for i, n in enumerate(c) if n]
+        flat += [(k, "words", "", sum(c.values())) for k, c in words.items()]
         flat += [(k, "docs", "", n) for k, n in docs.items()]
         for held in (words, classes, docs):
             held.clear()
@@ -142,7 +143,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, at = batch.column(1).to_pylist(), 0
         for part in slices(batch.column(0)):
             for text, lang in zip(part, langs[at : at + len(part)]):
-                docs[lang or ""] += 1
+                if lang is not None:
+                    docs[lang] += 1
                 if text and lang is not None:
                     words.setdefault(lang, Counter()).update(text.split())
                     classes[lang] = classes.get(lang, 0) + class_counts(text)
@@ -157,24 +159,24 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", words: i
     """One row per language and bin of its reference: (lang, kind 'class' or 'word', key, n), and its total of words
     as kind 'words'. Counted over all documents; a language below MIN_SHARE of them has none."""
     counted = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(
-        _gather, "lang string, kind string, key string, n long"
+        tidy(_gather), "lang string, kind string, key string, n long"
     )
     # One row per language, word and task: the sums are over bounded groups, whatever a language's share.
     sums = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    common = sums.where("kind = 'word'").withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= words)
-    totals = sums.where("kind <> 'docs'").groupBy("lang", "kind").agg(F.sum("n").alias("n"))
-    out = common.drop("rank").unionByName(sums.where("kind in ('class', 'docs')"))
-    return out.unionByName(totals.where("kind = 'word'").select("lang", F.lit("words").alias("kind"), F.lit("").alias("key"), "n"))
+    # The largest of each kind: every task hands on its own largest, and all of the kinds that are few.
+    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
+    ranked = sums.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max(words, len(NAMES)))
+    of_lang = F.max(F.when(F.col("kind") == "docs", F.col("n"))).over(Window.partitionBy("lang"))
+    ranked = ranked.withColumn("docs", of_lang).where(F.col("docs") >= MIN_SHARE * docs.count())
+    return ranked.where((F.col("kind") != "word") | (F.col("rank") <= words)).drop("rank", "docs")
 
 
 class Reference:
     """The references as matrices, of at most 1 / MIN_SHARE languages."""
 
-    def __init__(self, rows: list, min_share: float = MIN_SHARE):
-        docs = {r["lang"]: r["n"] for r in rows if r["kind"] == "docs"}
+    def __init__(self, rows: list):
         total = {r["lang"]: r["n"] for r in rows if r["kind"] == "words"}
-        langs = sorted(k for k in total if docs.get(k, 0) >= min_share * sum(docs.values()))
+        langs = sorted(total)
         self.row = {k: i for i, k in enumerate(langs)}
         self.bins: list[dict[bytes, int]] = [{} for _ in langs]
         self.classes = np.zeros((len(langs), len(NAMES)))
@@ -231,7 +233,7 @@ def verdict_column(
             yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     # Not deterministic to the optimizer: it must not run twice for a filter and a projection.
-    return F.arrow_udf(judge, RESULT).asNondeterministic()(text.cast("string"), lang.cast("string"))
+    return F.arrow_udf(tidy(judge), RESULT).asNondeterministic()(text.cast("string"), lang.cast("string"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> tuple[DataFrame, str]:
