@@ -206,7 +206,11 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with their columns as they were, one of each component: that of the smallest id,
     and of rows with that id one of the smallest text hash."""
-    found = near_duplicates(docs, id, text, **how)
+    return one_of_each(docs, near_duplicates(docs, id, text, **how), id, text)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component of a table (doc_id, text_hash, root, component_id)."""
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = written(first.groupBy("root").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("doc_id")).select("text_hash", "doc_id"))
     h, c, d = (free_name(docs, x) for x in ("text_hash", "chosen_hash", "chosen_id"))

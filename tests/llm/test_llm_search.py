@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablecheck.llm import simhash
+import corpus_pipeline
+from tablecheck.llm import near_copies, simhash
 from tablecheck.llm.components import components
 from tablecheck.llm.decontaminate import OP5_SQL, FMIndex, Windows, find_hits, op5_decontaminate, remove_hits
 from tablecheck.llm.line_dedup import OP1_SQL, drop_boilerplate, host_of, html_lines, lines_of, op1_line_dedup
@@ -114,6 +115,57 @@ def test_op3_matches_all_pairs(spark):
     assert {d: (f"{m:016x}", least[root[m]]) for d, m in marks.items()} == {d: (r.fingerprint, r.component_id) for d, r in got.items()}
 
 
+def by_jaccard(texts, words=5):
+    """The component of each text by brute force: the place of its first text."""
+    sets = []
+    for t in texts:
+        w = (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()})
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def marks_of(texts):
+    return [near_copies.shingle_set((t or "").encode(), {}).tobytes() for t in texts]
+
+
+def test_stage_near_dedup_matches_brute_force_jaccard(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    texts = []
+    for n in (60, 120, 300, 600):
+        for _ in range(8):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for changes in (n // 60, n // 50, n // 40, n // 30):  # similarities from 0.95 down to 0.7
+                w = list(base)
+                for at in rng.sample(range(n), changes):
+                    w[at] = word()
+                texts.append(" ".join(w))
+            texts.append(" ".join(base).upper())
+    chain = [word() for _ in range(200)]
+    for k in range(12):  # each near the next, the ends far apart
+        texts.append(" ".join(chain))
+        chain[k * 16] = word()
+    texts += ["", None, " ", "a b", "A b", "a b c", texts[0]]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOC)
+    want = by_jaccard(texts)
+    marks = [simhash.fingerprint((t or "").encode()) for t in texts]
+    assert len(set(want)) < len(set(by_pairs(set(marks)).values()))  # three bits leave links out
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == dict(enumerate(want))
+    cut = near_copies.links(docs.select(near_copies.sketch_column(F.col("text")).alias("s")).select("s.*"), limit=2)
+    assert cut.where("a <> b").count() > 0 and len({tuple(r) for r in components(cut).collect()}) == len({*marks_of(texts)}) - len(set(want))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(want))
+    assert near_copies.keep_one_copy(docs.limit(0)).count() == 0
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(3)
     for _ in range(20):
