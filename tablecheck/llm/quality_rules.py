@@ -1,17 +1,23 @@
 """Quality rules by distribution divergence (operator 10).
 
-Every language has a reference: the histogram of character classes over all its documents, and the
-histogram of its most common words. A document is compared with the reference of its language, or, if
-its language is null or has none, with the nearest reference, by Jensen-Shannon distance (base 2,
-0 to 1). It is rejected when it fails a base rule or, from ``guard`` words on, when a distance is over
-its limit. Shorter documents are too noisy to compare and pass the divergence test.
-
-Null text counts as no words (base rules reject it). Empty tables give empty results, repeated rows
-are judged one by one, other columns are never looked at, and without any reference nothing diverges.
+Every language of at least MIN_SHARE of all documents has a reference: the histogram of character
+classes over all its documents, and the histogram of its words by rank: bins of rank 1, 2 to 3, 4 to 7 and
+so on over its COMMON_WORDS most common words, and one bin for all other words. A document is compared with
+the reference of its language by Jensen-Shannon distance (base 2, 0 to 1). It is rejected when it fails a
+base rule or, from ``guard`` words on, when a distance is over its language's limit. Shorter documents are too
+noisy to compare and pass the divergence test, and so do those whose language has no reference.
+
+A language's limits are the outer fences of the distances of all its documents of ``guard`` words or more:
+the third quartile plus FENCE times the distance of the quartiles, counted exactly in steps of 1/1000, so
+that up to a quarter of junk does not move them much; and at least CLASS_FLOOR and WORD_FLOOR.
+
+A null language is a language of its own. Null text counts as no words (base rules reject it). Empty tables
+give empty results, repeated rows are judged one by one, and other columns are never looked at.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,16 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import free_name, slices, table, tidy
+from tablecheck.llm.common import free_name, slices, table, tidy, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-COMMON_WORDS = 24
+# Nine bins of ranks and one for all other words.
+COMMON_WORDS = 511
 GUARD = 80
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.5
-# A language needs this share of all documents to have a reference, so there are at most 1000 of them.
+FENCE = 3.0
+CLASS_FLOOR = 0.25
+WORD_FLOOR = 0.2
+# A language needs this share of all documents to have a reference.
 MIN_SHARE = 0.001
+# The references of the largest languages go to all tasks; those of others, each below a thousandth of the
+# documents, are joined to their documents.
+SENT_LANGUAGES = 1000
 # A task hands on its word counts when it holds this many words.
 FLUSH_WORDS = 150_000
 
@@ -125,8 +136,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, key, n): word counts, class counts and documents of each language in this task."""
-    words: dict[str, Counter] = {}
-    classes: dict[str, np.ndarray] = {}
+    words: dict[str | None, Counter] = {}
+    classes: dict[str | None, np.ndarray] = {}
     docs: Counter = Counter()
     schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])
 
@@ -143,9 +154,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, at = batch.column(1).to_pylist(), 0
         for part in slices(batch.column(0)):
             for text, lang in zip(part, langs[at : at + len(part)]):
-                if lang is not None:
-                    docs[lang] += 1
-                if text and lang is not None:
+                docs[lang] += 1
+                if text:
                     words.setdefault(lang, Counter()).update(text.split())
                     classes[lang] = classes.get(lang, 0) + class_counts(text)
             at += len(part)
@@ -156,8 +166,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = COMMON_WORDS) -> DataFrame:
-    """One row per language and bin of its reference: (lang, kind 'class' or 'word', key, n), and its total of words
-    as kind 'words'. Counted over all documents; a language below MIN_SHARE of them has none."""
+    """One row per language with a reference: lang, docs, classes as (key, n), words as (rank, key, n) and their total."""
     counted = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(
         tidy(_gather), "lang string, kind string, key string, n long"
     )
@@ -166,86 +175,146 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", words: i
     # The largest of each kind: every task hands on its own largest, and all of the kinds that are few.
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     ranked = sums.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max(words, len(NAMES)))
-    of_lang = F.max(F.when(F.col("kind") == "docs", F.col("n"))).over(Window.partitionBy("lang"))
-    ranked = ranked.withColumn("docs", of_lang).where(F.col("docs") >= MIN_SHARE * docs.count())
-    return ranked.where((F.col("kind") != "word") | (F.col("rank") <= words)).drop("rank", "docs")
+
+    def of(kind: str, *names: str) -> Column:
+        return F.collect_list(F.when(F.col("kind") == kind, F.struct(*names)))
+
+    rows = ranked.groupBy("lang").agg(
+        F.max(F.when(F.col("kind") == "docs", F.col("n"))).alias("docs"), F.max(F.when(F.col("kind") == "words", F.col("n"))).alias("total"),
+        of("class", "key", "n").alias("classes"), of("word", "rank", "key", "n").alias("words"),
+    )
+    return rows.where((F.col("docs") >= MIN_SHARE * docs.count()) & (F.col("total") > 0))
 
 
 class Reference:
-    """The references as matrices, of at most 1 / MIN_SHARE languages."""
-
-    def __init__(self, rows: list):
-        total = {r["lang"]: r["n"] for r in rows if r["kind"] == "words"}
-        langs = sorted(total)
-        self.row = {k: i for i, k in enumerate(langs)}
-        self.bins: list[dict[bytes, int]] = [{} for _ in langs]
-        self.classes = np.zeros((len(langs), len(NAMES)))
-        for r in rows:
-            if (i := self.row.get(r["lang"])) is None:
-                continue
-            if r["kind"] == "class":
-                self.classes[i, NAMES.index(r["key"])] = r["n"]
-            elif r["kind"] == "word":
-                self.bins[i][r["key"].encode()] = len(self.bins[i])
-        # The last bin holds all other words.
-        self.words = np.zeros((len(langs), max(map(len, self.bins), default=0) + 1))
-        for r in rows:
-            if r["kind"] == "word" and (i := self.row.get(r["lang"])) is not None:
-                self.words[i, self.bins[i][r["key"].encode()]] = r["n"]
-        for k, i in self.row.items():
-            self.words[i, -1] = total[k] - self.words[i].sum()
-
-    def distances(self, text: bytes, words: list[bytes], lang: str | None) -> tuple[float, float]:
-        """Of the character classes and of the common words, from the document's language or the nearest."""
-        if not self.row or not words:
+    """The reference of one language, from the JSON of its row."""
+
+    def __init__(self, row: str):
+        r = json.loads(row)
+        self.rank = {w["key"].encode(): w["rank"].bit_length() - 1 for w in r["words"]}
+        self.other = max(self.rank.values(), default=-1) + 1
+        self.words = np.zeros(self.other + 1)
+        for w in r["words"]:
+            self.words[w["rank"].bit_length() - 1] += w["n"]
+        self.words[-1] = r["total"] - self.words.sum()
+        self.classes = np.zeros(len(NAMES))
+        for c in r["classes"]:
+            self.classes[NAMES.index(c["key"])] = c["n"]
+        self.limits = r.get("class_limit"), r.get("word_limit")
+
+    def distances(self, text: bytes, words: list[bytes]) -> tuple[float, float]:
+        """Of the character classes and of the words by rank."""
+        if not words:
             return 0.0, 0.0
-        own = [self.row[lang]] if lang in self.row else list(range(len(self.row)))
-        by_class = js_distance(class_counts(text), self.classes[own])
-        last = self.words.shape[1] - 1
-        by_word = np.array([
-            js_distance(np.bincount([b.get(w, last) for w in words], minlength=last + 1), self.words[i])
-            for i in own for b in (self.bins[i],)
-        ])
-        k = int(np.argmin(by_class + by_word))
-        return float(by_class[k]), float(by_word[k])
-
-
-def verdict_column(
-    ref: Reference, text: Column, lang: Column, guard: int = GUARD, max_class: float = MAX_CLASS_DISTANCE,
-    max_word: float = MAX_WORD_DISTANCE,
-) -> Column:
+        bins = np.bincount([self.rank.get(w, self.other) for w in words], minlength=self.other + 1)
+        return float(js_distance(class_counts(text), self.classes)), float(js_distance(bins, self.words))
+
+
+def _with_reference(docs: DataFrame, refs: DataFrame, lang: str, name: str, column) -> DataFrame:
+    """Adds column ``name``: ``column(sent, own)``, for the references sent to all tasks by language, and a
+    column with the row's own."""
+    order = (F.desc("docs"), F.col("lang").asc_nulls_first())
+    rows = refs.select("lang", "docs", F.to_json(F.struct(*refs.columns)).alias("ref"))
+    sent = {r["lang"]: r["ref"] for r in rows.orderBy(*order).limit(SENT_LANGUAGES).collect()}
+    if len(sent) < SENT_LANGUAGES or rows.count() == SENT_LANGUAGES:
+        return docs.withColumn(name, column(sent, F.lit(None).cast("string")))
+    own, key = (free_name(docs, x) for x in ("own_reference", "of_lang"))
+    known = docs.sparkSession.createDataFrame([(k,) for k in sent], "lang string")
+    rest = rows.join(F.broadcast(known.toDF("known")), F.col("lang").eqNullSafe(F.col("known")), "left_anti")
+    large = F.broadcast(known.toDF(key))
+    same = F.col(lang).cast("string").eqNullSafe(F.col(key))
+    first = docs.join(large, same, "left_semi").withColumn(name, column(sent, F.lit(None).cast("string")))
+    others = docs.join(large, same, "left_anti").join(rest.select(F.col("lang").alias(key), F.col("ref").alias(own)), same, "left")
+    return first.unionByName(others.withColumn(name, column({}, F.col(own))).drop(key, own))
+
+
+def _finder(sent: dict[str | None, str]):
+    """Function from a language and the row's own reference to the reference, if any."""
+    made: dict[str | None, Reference] = {}
+
+    def find(lang: str | None, own: str | None) -> Reference | None:
+        row = own or sent.get(lang)
+        if row is None:
+            return None
+        if lang not in made:
+            if len(made) >= SENT_LANGUAGES:
+                made.clear()
+            made[lang] = Reference(row)
+        return made[lang]
+
+    return find
+
+
+def limits(
+    docs: DataFrame, refs: DataFrame, text: str, lang: str, guard: int = GUARD, fence: float = FENCE,
+    class_floor: float = CLASS_FLOOR, word_floor: float = WORD_FLOOR,
+) -> DataFrame:
+    """The references with class_limit and word_limit."""
+    kinds = pa.struct([("class_", pa.float64()), ("word", pa.float64())])
+
+    def column(sent: dict[str | None, str], own: Column) -> Column:
+        def measure(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            find = _finder(sent)
+            for texts, langs, owns in batches:
+                out, langs, owns = [], langs.to_pylist(), owns.to_pylist()
+                for part in slices(texts):
+                    for t in part:
+                        ref, words = find(langs[len(out)], owns[len(out)]), (t or b"").split()
+                        d = ref.distances(t, words) if ref and len(words) >= guard else None
+                        out.append(d and {"class_": round(d[0], 3), "word": round(d[1], 3)})
+                yield pa.array(out, kinds)
+
+        return F.arrow_udf(tidy(measure), "class_ double, word double").asNondeterministic()("text", "lang", own)
+
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = _with_reference(rows, refs, "lang", "d", column).select("lang", "d").where("d is not null")
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("d")[k].alias("x")) for k in ("class_", "word")])).alias("e")
+    cells = rows.select("lang", kind).select("lang", "e.*").groupBy("lang", "kind", "x").agg(F.count(F.lit(1)).alias("n"))
+    quarters = cells.groupBy("lang", "kind").agg(F.percentile("x", [0.25, 0.75], F.col("n")).alias("q"))
+    top = F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0])
+    found = quarters.groupBy("lang").agg(*[
+        F.max(F.when(F.col("kind") == k, F.greatest(top, F.lit(floor)))).alias(out)
+        for k, floor, out in (("class_", class_floor, "class_limit"), ("word", word_floor, "word_limit"))
+    ])
+    found = found.withColumnRenamed("lang", "of_lang")
+    return refs.join(found, F.col("lang").eqNullSafe(F.col("of_lang")), "left").drop("of_lang")
+
+
+def verdict_column(sent: dict[str | None, str], own: Column, text: Column, lang: Column, guard: int = GUARD) -> Column:
     """Struct column with the fields of RESULT."""
 
-    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, langs in batches:
-            out, langs = [], langs.to_pylist()
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        find = _finder(sent)
+        for texts, langs, owns in batches:
+            out, langs, owns = [], langs.to_pylist(), owns.to_pylist()
             for part in slices(texts):
                 for t in part:
-                    t, lg = t or b"", langs[len(out)]
+                    t, ref = t or b"", find(langs[len(out)], owns[len(out)])
                     words, chars, symbols, dup, rep = base_counts(t)
                     failed = base_failed(len(words), rep)
-                    dc, dw = ref.distances(t, words, lg)
-                    far = len(words) >= guard and (dc > max_class or dw > max_word)
-                    out.append((len(words), chars, symbols, dup, rep, failed, dc, dw, not failed and not far))
+                    d = ref.distances(t, words) if ref else (0.0, 0.0)
+                    far = bool(ref) and len(words) >= guard and any(top is not None and round(x, 3) > top for x, top in zip(d, ref.limits))
+                    out.append((len(words), chars, symbols, dup, rep, failed, *d, not failed and not far))
             columns = list(zip(*out)) or [[]] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     # Not deterministic to the optimizer: it must not run twice for a filter and a projection.
-    return F.arrow_udf(tidy(judge), RESULT).asNondeterministic()(text.cast("string"), lang.cast("string"))
+    return F.arrow_udf(tidy(judge), RESULT).asNondeterministic()(text.cast("string"), lang.cast("string"), own)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> tuple[DataFrame, str]:
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", guard: int = GUARD, **how) -> tuple[DataFrame, str]:
     """The documents with a struct of RESULT beside their columns, and that column's name."""
-    ref = Reference(references(docs, text, lang).collect())
+    refs = written(limits(docs, written(references(docs, text, lang)), text, lang, guard, **how))
     name = free_name(docs, "quality_rules")
-    return docs.withColumn(name, verdict_column(ref, F.col(text), F.col(lang), **limits)), name
+    column = lambda sent, own: verdict_column(sent, own, F.col(text), F.col(lang), guard)
+    return _with_reference(docs, refs, lang, name, column), name
 
 
-def keep_clean(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
+def keep_clean(docs: DataFrame, text: str = "text", lang: str = "lang", **how) -> DataFrame:
     """The documents that pass, with their columns as they were."""
-    judged, name = quality_rules(docs, text, lang, **limits)
+    judged, name = quality_rules(docs, text, lang, **how)
     return judged.where(F.col(name)["kept"]).drop(name)
 
 

@@ -274,3 +274,20 @@ def test_quality_rules_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [*range(20), 32, 33]
     assert kept.where("doc_id is null").count() == 1 and quality_rules.keep_clean(docs.limit(0)).count() == 0
+
+
+def quality_rows(rng):
+    """Documents of two invented languages of one script: words by rank, like those of a natural language."""
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 8)))
+    langs = {lg: [word(letters) for _ in range(3000)] for lg, letters in (("en", "abcdefgh"), ("de", "efghijkl"), ("ru", "абвгдежз"))}
+    share = 1 / np.arange(1, 3001)
+    return word, lambda lg, n: " ".join(rng.choice(langs[lg], n, p=share / share.sum()))
+
+
+def test_other_language_and_random_letters_are_rejected(spark):
+    word, text = quality_rows(np.random.default_rng(9))
+    data = [(k, text(lg, 80 + 5 * k), lg) for lg in ("en", "de") for k in range(60)]
+    odd = [(100, text("de", 300), "en"), (101, text("en", 300), "de"), (102, " ".join(word("abcdefghijkl") for _ in range(400)), "en")]
+    rows = spark.createDataFrame(data + odd, "doc_id int, text string, lang string")
+    kept = quality_rules.keep_clean(rows).collect()
+    assert {r.doc_id for r in kept} == set(range(60)) and len(kept) >= 0.98 * len(data)
