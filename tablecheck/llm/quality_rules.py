@@ -1,6 +1,6 @@
 """Quality rules by distribution divergence (operator 10).
 
-Every language of at least MIN_SHARE of all documents has a reference: the histogram of character
+Every language of at least REFERENCE_DOCS documents and REFERENCE_WORDS words has a reference: the histogram of character
 classes over all its documents, and the histogram of its words by rank: bins of rank 1, 2 to 3, 4 to 7 and
 so on over its COMMON_WORDS most common words, and one bin for all other words. A document is compared with
 the reference of its language by Jensen-Shannon distance (base 2, 0 to 1). It is rejected when it fails a
@@ -36,8 +36,9 @@ GUARD = 80
 FENCE = 3.0
 CLASS_FLOOR = 0.25
 WORD_FLOOR = 0.2
-# A language needs this share of all documents to have a reference.
-MIN_SHARE = 0.001
+# What a language needs for a reference, however large the others are.
+REFERENCE_DOCS = 10
+REFERENCE_WORDS = 1000
 # The references of the largest languages go to all tasks; those of others, each below a thousandth of the
 # documents, are joined to their documents.
 SENT_LANGUAGES = 1000
@@ -183,7 +184,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", words: i
         F.max(F.when(F.col("kind") == "docs", F.col("n"))).alias("docs"), F.max(F.when(F.col("kind") == "words", F.col("n"))).alias("total"),
         of("class", "key", "n").alias("classes"), of("word", "rank", "key", "n").alias("words"),
     )
-    return rows.where((F.col("docs") >= MIN_SHARE * docs.count()) & (F.col("total") > 0))
+    return rows.where((F.col("docs") >= REFERENCE_DOCS) & (F.col("total") >= REFERENCE_WORDS))
 
 
 class Reference:

@@ -291,3 +291,15 @@ def test_other_language_and_random_letters_are_rejected(spark):
     rows = spark.createDataFrame(data + odd, "doc_id int, text string, lang string")
     kept = quality_rules.keep_clean(rows).collect()
     assert {r.doc_id for r in kept} == set(range(60)) and len(kept) >= 0.98 * len(data)
+
+
+@pytest.mark.parametrize("sent", [1000, 1])
+def test_rare_languages_keep_their_documents_and_their_reference(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality_rules, "SENT_LANGUAGES", sent)
+    word, text = quality_rows(np.random.default_rng(4))
+    few = [(k, text("ru", 200), "xx") for k in range(3)]  # too few for a reference
+    some = [(10 + k, text("ru", 200), "ru") for k in range(20)] + [(40, text("en", 300), "ru")]
+    many = [(100 + k, text("en", 100), "en") for k in range(200)] + [(400 + k, text("en", 100), None) for k in range(12)]
+    rows = spark.createDataFrame(few + some + many, "doc_id int, text string, lang string")
+    rows = rows.unionByName(spark.range(30000).selectExpr("cast(id + 1000 as int) doc_id", "'short' text", "'en' lang"))
+    assert {r.doc_id for r in quality_rules.keep_clean(rows).collect() if r.doc_id < 100} == {0, 1, 2, *range(10, 30)}
