@@ -89,3 +89,11 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
             part, size = [], 0
     if part:
         yield part
+
+
+def crc32_sql(digits: str) -> str:
+    """DuckDB expression: the unsigned crc32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({digits}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    bit = "lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {byte}), 4294967295::BIGINT)"
