@@ -10,8 +10,9 @@ have it; pairs of groups pass if their sizes and the shingles' places in both pr
 pairs that pass are expanded to their members, sifted by the parity bits of the sets (two sets differ in at least as many
 shingles as bits), and confirmed on the exact sets.
 
-Nothing pairs up a long list. A group of more than GROUP members enters lists member by member. In a list longer than
-LIST all are compared with the first one; if that leaves the list in several components, it is cut into tiles by
+Nothing pairs up a long list. A group of more than GROUP members enters lists member by member. A list longer than LIST is
+dealt in parts of about PART groups where its shingle is known to be frequent; all are compared with the first of their part, and those
+with the first of the list. If that leaves the list in several components, it is cut into tiles by
 size, and every two tiles whose sizes are near enough are compared by size, component and parity bits in one task.
 Which shingles count as frequent (FREQUENT at most, from counts in every task) bears on the work, never on the result.
 
@@ -36,6 +37,7 @@ from tablecheck.llm.common import LOWER_BYTES, UPPER, slices, table, tidy, writt
 from tablecheck.llm.components import components
 from tablecheck.operators.skew import split_hot_join
 
+PAIR, LONG, HEAD = 0, 1, 2
 WORDS = 3
 SIMILARITY = 0.9
 # Members of a group, and groups of a list, that are paired up directly.
@@ -47,8 +49,12 @@ TILE = 1000
 FREQUENT = 1 << 18
 COUNTED = 1 << 20
 PARITY = 8
-# Pieces of the pairs of one key, for the exact comparison.
-PIECES = 64
+# Pairs of one key in a piece, for the exact comparison.
+PIECE = 256
+# Groups of a part of a list that is known to be long.
+PART = 4096
+# Bits of the filter that picks the texts of candidates.
+FILTER = 1 << 24
 SEED = 42
 # Words a task remembers.
 REMEMBER = 300_000
@@ -103,6 +109,16 @@ def prefix_of(found: np.ndarray, frequent: np.ndarray, least: Fraction) -> np.nd
     return np.concatenate([rare, found[common][np.argsort(ranks)][: size - len(rare)]])
 
 
+def cuts_of(prefix: np.ndarray, frequent: np.ndarray, list_: int) -> np.ndarray:
+    """Into how many parts the list of each shingle is dealt: 0 for those not known to be long."""
+    if not len(frequent[0]):
+        return np.zeros(len(prefix), np.int32)
+    at = np.searchsorted(frequent[0], prefix)
+    at[at == len(frequent[0])] = 0
+    n = np.where(frequent[0][at] == prefix, frequent[2][at], 0).astype(np.int64)
+    return np.where(n > list_, 1 + n // PART, 0).astype(np.int32)
+
+
 def parity_of(found: np.ndarray) -> np.ndarray:
     """PARITY words of bits, each the parity of how many of its shingles the set has."""
     bit = (found * ODD) >> np.uint64(64 - (64 * PARITY).bit_length() + 1)
@@ -133,20 +149,20 @@ def _counts(words: int):
 
 
 def frequent_shingles(docs: DataFrame, text: str, words: int, most: int = FREQUENT) -> np.ndarray:
-    """Sorted hashes, and their ranks by count, of the most frequent shingles that the tasks report."""
+    """Sorted hashes, their ranks by count, and the counts of the most frequent shingles that the tasks report."""
     rows = docs.select(F.col(text).cast("string")).mapInArrow(tidy(_counts(words)), "shingle long, n long")
     total = rows.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "shingle").limit(most).toArrow()
     found = total.column("shingle").to_numpy().view(np.uint64)
     ranks = np.arange(len(found))[::-1]
     order = np.argsort(found)
-    return np.array([found[order], ranks[order].astype(np.uint64)])
+    return np.array([found[order], ranks[order].astype(np.uint64), total.column("n").to_numpy()[order].astype(np.uint64)])
 
 
-SKETCH = "n long, mark long, prefix array<long>, parity array<long>"
+SKETCH = "n long, mark long, prefix array<long>, cuts array<int>, parity array<long>"
 
 
-def sketch_column(text: Column, words: int, frequent: np.ndarray, least: Fraction) -> Column:
-    """Struct of the set's size, hash (mark), prefix and parity bits."""
+def sketch_column(text: Column, words: int, frequent: np.ndarray, least: Fraction, list_: int = LIST) -> Column:
+    """Struct of the set's size, hash (mark), prefix, cuts of the prefix shingles' lists, and parity bits."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Known()
@@ -158,47 +174,75 @@ def sketch_column(text: Column, words: int, frequent: np.ndarray, least: Fractio
                     marks.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                     prefixes.append(prefix_of(found, frequent, least))
                     parities.append(parity_of(found))
-            ends = np.cumsum([0, *map(len, prefixes)])
-            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
+            ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
+            flat = np.concatenate([np.zeros(0, np.uint64), *prefixes])
             bits = np.concatenate([np.zeros(0, np.int64), *parities])
             yield pa.StructArray.from_arrays([
                 pa.array(n, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))),
+                pa.ListArray.from_arrays(ends, pa.array(cuts_of(flat, frequent, list_))),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITY, pa.int32()), pa.array(bits)),
-            ], names=["n", "mark", "prefix", "parity"])
+            ], names=["n", "mark", "prefix", "cuts", "parity"])
 
     return F.arrow_udf(tidy(run), SKETCH).asNondeterministic()(text.cast("string"))
 
 
-def _pairs(least: Fraction):
+def _lists(least: Fraction, list_: int):
     p, q = least.numerator, least.denominator
+    names = ["kind", "a", "b"]
+
+    def short(rows: np.ndarray) -> np.ndarray:
+        """The pairs of groups of rows (shingle, part, n, at, group) whose lists are short."""
+        out = [np.zeros((0, 2), np.int64)]
+        shingle, _, n, at, group = rows
+        for k in range(1, len(shingle)):
+            a = np.flatnonzero(shingle[k:] == shingle[:-k])
+            if not len(a):
+                break
+            b = a + k
+            # of a pair that links, what follows its first shared shingle suffices
+            rest = np.minimum(n[a] - at[a], n[b] - at[b])
+            near = (np.minimum(n[a], n[b]) * q >= p * np.maximum(n[a], n[b])) & (rest * (p + q) >= p * (n[a] + n[b]))
+            a, b = group[a[near]], group[b[near]]
+            out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def batch(kind: int, pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), kind, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of groups of rows (shingle, n, at, group), sorted by shingle, whose lists are short."""
-
-        def found(rows: np.ndarray) -> pa.RecordBatch:
-            out = [np.zeros((0, 2), np.int64)]
-            shingle, n, at, group = rows
-            for k in range(1, len(shingle)):
-                same = np.flatnonzero(shingle[k:] == shingle[:-k])
-                if not len(same):
-                    break
-                a, b = same, same + k
-                # of a pair that links, what follows its first shared shingle suffices
-                rest = np.minimum(n[a] - at[a], n[b] - at[b])
-                near = (np.minimum(n[a], n[b]) * q >= p * np.maximum(n[a], n[b])) & (rest * (p + q) >= p * (n[a] + n[b]))
-                a, b = group[a[near]], group[b[near]]
-                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        held = np.zeros((4, 0), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            whole = np.searchsorted(held[0], held[0, -1]) if held.shape[1] else 0  # the last list may go on
-            yield found(held[:, :whole])
-            held = held[:, whole:]
-        yield found(held)
+        """Rows (shingle, part, n, at, group) come sorted by the first two; parts above 0 are of lists known to be long.
+
+        PAIR rows are pairs of groups; LONG rows (shingle, group) the members of long lists, and HEAD rows (shingle, group)
+        the first of each of their parts, with which all others of the part are paired.
+        """
+        held, head = np.zeros((5, 0), np.int64), None  # head: (shingle, part, group) of the long part that goes on
+        for one in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in one.columns])
+            rows = np.concatenate([held, rows], axis=1)
+            edge = np.flatnonzero(np.any(rows[:2, 1:] != rows[:2, :-1], axis=0)) + 1
+            starts = np.concatenate([[0], edge])[: rows.shape[1]]
+            size = np.diff(np.concatenate([starts, [rows.shape[1]]]))
+            last = len(size) - 1
+            long = (rows[1, starts] > 0) | (size > list_)
+            if head and len(size) and tuple(rows[:2, 0]) == head[:2]:
+                long[0] = True
+            done = ~long
+            if last >= 0 and not long[last]:
+                done[last] = False  # the last list may go on
+            yield batch(PAIR, short(rows[:, np.repeat(done, size)]))
+            for k in np.flatnonzero(long):
+                shingle, part, _, _, group = rows[:, starts[k] : starts[k] + size[k]]
+                at = (int(shingle[0]), int(part[0]))
+                if not head or head[:2] != at:
+                    head = (*at, int(group[0]))
+                    yield batch(HEAD, np.array([[at[0], head[2]]], np.int64))
+                yield batch(LONG, np.column_stack([shingle, group]))
+                others = group[group != head[2]]
+                first = np.full(len(others), head[2])
+                yield batch(PAIR, np.column_stack([np.minimum(first, others), np.maximum(first, others)]))
+            held = rows[:, starts[last] :] if last >= 0 and not long[last] else np.zeros((5, 0), np.int64)
+        yield batch(PAIR, short(held))
 
     return run
 
@@ -235,10 +279,11 @@ def _confirm(least: Fraction):
 def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """Those of the different pairs (a, b) of marks whose sets (mark, shingles) are similar enough.
 
-    A set travels once for each piece of the pairs it is the first of, and once for each pair it is the second of.
+    A set travels once for each PIECE pairs it is the first of, and once for each pair it is the second of.
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = pairs.withColumn("piece", F.pmod(F.xxhash64("b"), F.lit(PIECES)))
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE).select("a", F.ceil(F.col("n") / PIECE).alias("pieces"))
+    cut = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).alias("piece"))
     own = cut.select("a", "piece").distinct().join(sets.withColumnRenamed("mark", "a"), "a")
     own = own.select("a", "piece", F.lit(None).cast("long").alias("b"), "shingles")
     other = cut.join(sets.withColumnRenamed("mark", "b"), "b").select("a", "piece", "b", "shingles")
@@ -246,6 +291,18 @@ def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return rows.select("a", "b", "shingles").mapInArrow(tidy(_confirm(least)), "a long, b long")
 
 
+def connecting(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Links among the pairs that connect all that are similar enough: each mark is compared with the smallest it
+    is paired with, and then the pairs of different components are compared."""
+    first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = written(similar(first, sets, least))
+    roots = components(found).toDF("mark", "root")
+    side = lambda c: roots.select(F.col("mark").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return written(found.unionByName(similar(written(rest), sets, least)))
+
+
 def _tiles(least: Fraction):
     p, q = least.numerator, least.denominator
 
@@ -304,7 +361,7 @@ def _long_pairs(members: DataFrame, roots: DataFrame, least: Fraction, tile: int
 
 
 def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_: int = LIST, tile: int = TILE) -> DataFrame:
-    """(a, b): links that connect all keys of a table (mark, n, prefix, parity) that are similar enough.
+    """(a, b): links that connect all keys of a table (mark, n, prefix, cuts, parity) that are similar enough.
 
     ``sets_of`` gives a table (mark, shingles) for a table of marks.
     """
@@ -313,21 +370,19 @@ def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_:
     hashed = keys.withColumn("same", F.xxhash64("n", "prefix"))
     sizes = hashed.groupBy("same").agg(F.count(F.lit(1)).alias("members"))
     large = sizes.where(F.col("members") > group).select("same", F.lit(True).alias("large"))
-    hashed = hashed.join(large, "same", "left")
-    members = written(hashed.select(
-        F.when(F.col("large"), F.xxhash64("same", "mark")).otherwise(F.col("same")).alias("group"), "mark", "n", "prefix", "parity"
-    ))
+    members = hashed.select("same", "mark", "n", "parity").join(large, "same", "left")
+    members = written(members.select(F.when(F.col("large"), F.xxhash64("same", "mark")).otherwise(F.col("same")).alias("group"), "mark", "n", "parity"))
     # one row for each group and prefix shingle
     first = members.groupBy("group").agg(F.min("mark").alias("mark"))
-    heads = members.join(first, ["group", "mark"]).select("group", "n", F.posexplode("prefix").alias("at", "shingle"))
-    entries = written(heads.select("shingle", "n", F.col("at").cast("long").alias("at"), "group"))
-    lists = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"), F.min("group").alias("first")).where("count > 1"))
-    short = entries.join(lists.where(F.col("count") <= list_).select("shingle"), "shingle")
-    short = short.select("shingle", "n", "at", "group").repartition(n, "shingle").sortWithinPartitions("shingle")
-    pairs = short.mapInArrow(tidy(_pairs(least)), "a long, b long")
-    long = lists.where(F.col("count") > list_)
-    stars = entries.join(long, "shingle").where("group <> first").select(F.least("first", "group").alias("a"), F.greatest("first", "group").alias("b"))
-    pairs = written(pairs.unionByName(stars).distinct())
+    heads = hashed.join(first, "mark").select("group", "n", F.posexplode(F.arrays_zip("prefix", "cuts")).alias("at", "x"))
+    part = F.when(F.col("x.cuts") > 0, 1 + F.pmod(F.xxhash64("group"), F.col("x.cuts"))).otherwise(0).cast("int")
+    entries = heads.select(F.col("x.prefix").alias("shingle"), part.alias("part"), "n", "at", "group")
+    entries = entries.repartition(n, "shingle", "part").sortWithinPartitions("shingle", "part")
+    listed = written(entries.mapInArrow(tidy(_lists(least, list_)), "kind int, a long, b long"))
+    heads = listed.where(F.col("kind") == HEAD).select(F.col("a").alias("list"), "b")
+    tops = heads.groupBy("list").agg(F.min("b").alias("top"))
+    stars = heads.join(tops, "list").where("top <> b").select(F.least("top", "b").alias("a"), F.greatest("top", "b").alias("b"))
+    pairs = written(listed.where(F.col("kind") == PAIR).select("a", "b").unionByName(stars).distinct())
     # expanded to members; those of one group are compared with each other as well
     of = members.select("group", "mark", "n", "parity")
     side = lambda s: of.toDF(s, f"mark_{s}", f"n_{s}", f"parity_{s}")
@@ -335,13 +390,13 @@ def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_:
     within = side("a").join(side("b"), F.col("a") == F.col("b")).where("mark_a < mark_b")
     both = apart.unionByName(within).where(~_far("a", "b", least))
     marks = written(both.select(F.least("mark_a", "mark_b").alias("a"), F.greatest("mark_a", "mark_b").alias("b")).distinct())
-    found = written(similar(marks, sets_of(_ends(marks)), least))
+    found = connecting(marks, sets_of(_ends(marks)), least)
+    long = listed.where(F.col("kind") == LONG).select(F.col("a").alias("list"), F.col("b").alias("group"))
     if long.isEmpty():
         return found
-    in_long = entries.join(long.select("shingle"), "shingle").select(F.col("shingle").alias("list"), "group").join(of, "group")
     roots = written(components(found).toDF("mark", "root"))
-    more = written(_long_pairs(in_long.select("list", "mark", "n", "parity"), roots, least, tile))
-    return found.unionByName(similar(more, sets_of(_ends(more)), least))
+    more = written(_long_pairs(long.join(of, "group").select("list", "mark", "n", "parity"), roots, least, tile))
+    return found.unionByName(connecting(more, sets_of(_ends(more)), least))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -356,27 +411,33 @@ def ngram_join(
     least = Fraction(str(similarity))
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranks = frequent_shingles(docs, "text", words, frequent)
-    sketch = sketch_column(F.col("text"), words, ranks, least).alias("s")
+    sketch = sketch_column(F.col("text"), words, ranks, least, list_).alias("s")
     rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch).select("doc_id", "text_hash", "s.*"))
     filled = rows.where("n > 0")
-    keys = written(filled.select("mark", "n", "prefix", "parity").dropDuplicates(["mark"]))
+    keys = written(filled.select("mark", "n", "prefix", "cuts", "parity").dropDuplicates(["mark"]))
 
     def sets_of(marks: DataFrame) -> DataFrame:
-        """The sets of the marks, made from one text of each."""
+        """The sets of the marks, made from one text of each; a filter of bits picks the texts, and the marks decide."""
+        place = lambda h, id: F.pmod(F.xxhash64(h, id), F.lit(FILTER))
         one = filled.join(marks, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("text_hash", "doc_id")).alias("r"))
-        one = one.select(F.col("r.text_hash").alias("of_hash"), F.col("r.doc_id").alias("of_id"))
-        same = (F.xxhash64("text") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-        chosen = docs.join(one, same, "left_semi")
+        bits = one.select(place(F.col("r.text_hash"), F.col("r.doc_id")).alias("at"))
+        bits = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
+        found = bits.toArrow()  # at most FILTER / 64 rows
+        chosen = np.zeros(FILTER // 64, np.uint64)
+        chosen[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = _Known()
             for batch in batches:
-                for part in slices(batch.column(0)):
+                at = batch.column(1).to_numpy().astype(np.uint64)
+                picked = chosen[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+                for part in slices(batch.column(0).filter(pa.array(picked.astype(bool)))):
                     sets = [s.tobytes() for s in shingle_sets(part, known, words)]
                     marks = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(sets, pa.binary())], names=["mark", "shingles"])
 
-        return written(chosen.select("text").mapInArrow(tidy(run), "mark long, shingles binary").dropDuplicates(["mark"]))
+        rows = docs.select("text", place(F.xxhash64("text"), F.col("doc_id")).alias("at")).mapInArrow(tidy(run), "mark long, shingles binary")
+        return written(rows.join(marks, "mark", "left_semi").dropDuplicates(["mark"]))
 
     found = links(keys, sets_of, least, group, list_, tile)
     roots = components(found).toDF("mark", "root")
