@@ -25,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,12 +119,20 @@ def cuts_of(prefix: np.ndarray, frequent: np.ndarray, list_: int) -> np.ndarray:
 
 
 def parity_of(found: np.ndarray) -> np.ndarray:
-    """PARITY words of bits, each the parity of how many of its shingles the set has."""
-    bit = (found * ODD) >> np.uint64(64 - (64 * PARITY).bit_length() + 1)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * PARITY) % 2
+    """Words of bits, each the parity of how many of its shingles the set has; a bit for every two shingles, PARITY words at least.
+
+    Halves of a longer one, xor-ed, are the bits of a set of half as many.
+    """
+    words = max(PARITY, 1 << (len(found) // 128).bit_length())
+    bit = (found * ODD >> np.uint64(24)) & np.uint64(64 * words - 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * words) % 2
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def _counts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shingle, n) of the shingles that a task met in more than one text; past COUNTED of them the rarest go."""
@@ -177,11 +184,12 @@ def sketch_column(text: Column, words: int, frequent: np.ndarray, least: Fractio
             ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
             flat = np.concatenate([np.zeros(0, np.uint64), *prefixes])
             bits = np.concatenate([np.zeros(0, np.int64), *parities])
+            stops = pa.array(np.cumsum([0, *map(len, parities)]), pa.int32())
             yield pa.StructArray.from_arrays([
                 pa.array(n, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64))),
                 pa.ListArray.from_arrays(ends, pa.array(cuts_of(flat, frequent, list_))),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITY, pa.int32()), pa.array(bits)),
+                pa.ListArray.from_arrays(stops, pa.array(bits)),
             ], names=["n", "mark", "prefix", "cuts", "parity"])
 
     return F.arrow_udf(tidy(run), SKETCH).asNondeterministic()(text.cast("string"))
@@ -247,13 +255,33 @@ def _lists(least: Fraction, list_: int):
     return run
 
 
-def _far(a: str, b: str, least: Fraction) -> Column:
-    """Sizes or parity bits show that two sets (n, parity) are not similar enough."""
+def _sift(least: Fraction):
     p, q = least.numerator, least.denominator
-    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"parity_{a}")[k].bitwiseXOR(F.col(f"parity_{b}")[k])) for k in range(PARITY)])
-    # |A xor B| = n + m - 2 |A and B|, and |A and B| is at least p (n + m) / (p + q)
-    return (F.least(n, m) * q < F.greatest(n, m) * p) | (differ * (p + q) > (n + m) * (q - p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Those pairs (a, b) of rows (a, b, n, m, bits, bits) whose parity bits leave them the similarity."""
+        for batch in batches:
+            # |A xor B| = n + m - 2 |A and B|, and |A and B| is at least p (n + m) / (p + q)
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (q - p) // (p + q)
+            differ = np.zeros(len(batch), np.int64)
+            sides = [batch.column(k) for k in (4, 5)]
+            width = np.array([np.diff(x.offsets.to_numpy()) for x in sides]).reshape(2, -1)
+            for w in np.unique(width.min(axis=0)):
+                at = np.flatnonzero(width.min(axis=0) == w)
+                x, y = (np.array([folded(v.values.to_numpy(), w) for v in side.take(pa.array(at))]) for side in sides)
+                differ[at] = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(differ <= most))
+
+    return run
+
+
+def sifted(pairs: DataFrame, least: Fraction) -> DataFrame:
+    """Different pairs (a < b) of marks, of a table (mark_a, n_a, parity_a, mark_b, n_b, parity_b), that sizes and parity bits leave."""
+    near = F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator
+    rows = pairs.where(near).select(
+        F.least("mark_a", "mark_b").alias("a"), F.greatest("mark_a", "mark_b").alias("b"), "n_a", "n_b", "parity_a", "parity_b"
+    )
+    return written(rows.mapInArrow(tidy(_sift(least)), "a long, b long").distinct())
 
 
 def _confirm(least: Fraction):
@@ -313,7 +341,8 @@ def _tiles(least: Fraction):
             pairs = []
             if len(rows) > 1:
                 _, i, j, own, marks, roots, n, bits = zip(*rows)
-                own, marks, roots, n, bits = np.array(own), np.array(marks), np.array(roots), np.array(n), np.array(bits)
+                own, marks, roots, n = np.array(own), np.array(marks), np.array(roots), np.array(n)
+                bits = np.array([folded(np.array(x), PARITY) for x in bits])
                 for k in range(1, len(rows)):
                     near = (roots[:k] != roots[k]) & (np.minimum(n[:k], n[k]) * q >= p * np.maximum(n[:k], n[k]))
                     if i[0] != j[0]:
@@ -388,14 +417,15 @@ def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_:
     side = lambda s: of.toDF(s, f"mark_{s}", f"n_{s}", f"parity_{s}")
     apart = pairs.join(side("a"), "a").join(side("b"), "b")
     within = side("a").join(side("b"), F.col("a") == F.col("b")).where("mark_a < mark_b")
-    both = apart.unionByName(within).where(~_far("a", "b", least))
-    marks = written(both.select(F.least("mark_a", "mark_b").alias("a"), F.greatest("mark_a", "mark_b").alias("b")).distinct())
+    marks = sifted(apart.unionByName(within), least)
     found = connecting(marks, sets_of(_ends(marks)), least)
     long = listed.where(F.col("kind") == LONG).select(F.col("a").alias("list"), F.col("b").alias("group"))
     if long.isEmpty():
         return found
     roots = written(components(found).toDF("mark", "root"))
-    more = written(_long_pairs(long.join(of, "group").select("list", "mark", "n", "parity"), roots, least, tile))
+    more = _long_pairs(long.join(of, "group").select("list", "mark", "n", "parity"), roots, least, tile)
+    by = lambda s: members.select(F.col("mark").alias(s), F.col("mark").alias(f"mark_{s}"), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
+    more = sifted(more.join(by("a"), "a").join(by("b"), "b"), least)
     return found.unionByName(connecting(more, sets_of(_ends(more)), least))
 
 
