@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecheck.operators.skew import grid_join, split_hot_join
+from tablecheck.operators.state import row_hash
+
 
 def templates_of_catalog(associations: DataFrame, templates: DataFrame) -> DataFrame:
-    """Association rows with their template; associations to missing templates drop out."""
-    return associations.join(templates, "template_id")
+    """Association rows with their template; associations to missing templates drop out.
+
+    A template used by a large share of the associations, or listed very often, is cut into pieces.
+    """
+    return grid_join(associations, templates, ["template_id"], row_hash(associations), row_hash(templates))
 
 
 def associate(
@@ -34,13 +40,19 @@ def associate(
 
 
 def children_of(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Child rows whose parent exists (tables of catalogs, fields of tables)."""
-    return children.join(parents.select(key), key, "left_semi")
+    """Child rows whose parent exists (tables of catalogs, fields of tables); a parent of very many is cut into pieces."""
+    known = parents.select(key).distinct()
+    return split_hot_join(children, known, [key], row_hash(children)).select(*children.columns)
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Child rows that point to a parent that does not exist."""
-    return children.join(parents.select(key), key, "left_anti")
+    """Child rows that point to a parent that does not exist, or to none.
+
+    Which parents are missed is asked for each distinct one; the children only meet that answer.
+    """
+    lost = children.select(key).distinct().join(parents.select(key).distinct(), key, "left_anti").where(F.col(key).isNotNull())
+    pointing = split_hot_join(children, lost, [key], row_hash(children)).select(*children.columns)
+    return pointing.unionByName(children.where(F.col(key).isNull()))
 
 
 def field_counts(tables: DataFrame, fields: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions import scalars as S
-from tablecheck.operators.skew import split_hot_join
+from tablecheck.operators.rows import with_row_index
+from tablecheck.operators.session import checkpointed
+from tablecheck.operators.skew import grid_join, split_hot_join
+from tablecheck.operators.state import latest_per_key
 
 # (first scope, second scope, shared parent column)
 KINDS = (
@@ -18,6 +21,12 @@ KINDS = (
 )
 
 
+# Fixed value: the sentence on two rules of different scopes.
+CONTRADICTION = (
+    "Rules at '", "' and '", "' scope levels target overlapping fields with potentially contradictory constraints.",
+)
+
+
 def _clean_fields() -> Column:
     fields = F.coalesce(F.col("target_fields"), F.array().cast("array<string>"))
     return F.array_distinct(F.filter(fields, lambda f: f.isNotNull()))
@@ -52,7 +61,8 @@ def _keyed(rules: DataFrame, scope: str, parent: str, prefix: str) -> DataFrame:
 
 def conflicts(rules: DataFrame, kind: tuple[str, str, str]) -> DataFrame:
     """Pairs of active rules of the two scopes under one parent whose target fields overlap,
-    or where either side names none.
+    or where either side names none: the product, for a choice of rules. ``conflict_groups`` states the
+    same for whole tables in rows that grow with the rules.
 
     Joining on (parent, match key) produces only pairs that conflict: no group is expanded
     into all its pairs first. A pair sharing several fields is kept at its first one.
@@ -60,7 +70,7 @@ def conflicts(rules: DataFrame, kind: tuple[str, str, str]) -> DataFrame:
     first, second, parent = kind
     a = _keyed(rules, first, parent, "a")
     b = _keyed(rules, second, parent, "b")
-    pairs = split_hot_join(a, b, ["parent_id", "match_key"], F.col("a_rule_id"))
+    pairs = grid_join(a, b, ["parent_id", "match_key"], F.col("a_rule_id"), F.col("b_rule_id"))
     common = F.array_min(F.array_intersect("a_fields", "b_fields"))
     once = ~F.col("match_key").startswith("field:") | (F.col("match_key") == F.concat(F.lit("field:"), common))
     return pairs.where(once).select(
@@ -73,6 +83,71 @@ def conflicts(rules: DataFrame, kind: tuple[str, str, str]) -> DataFrame:
     )
 
 
+def conflict_groups(rules: DataFrame, kind: tuple[str, str, str]) -> DataFrame:
+    """All conflicts of a kind as groups: under one parent, every rule of the first scope with a match key conflicts with
+    every rule of the second scope with that key. One row per rule and key, ``links`` being the rules on the other side.
+
+    Only groups with both sides are listed. Two rules are in conflict exactly if they share a group, once for each shared
+    field, so there are at most two rows more than target fields for each rule.
+    """
+    first, second, parent = kind
+    keys = ["parent_id", "match_key"]
+    a, b = _keyed(rules, first, parent, "a"), _keyed(rules, second, parent, "b")
+    size = lambda side, name: side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = size(a, "firsts").join(size(b, "seconds"), keys)
+    parts = []
+    for side, s, links in ((a, "a", "seconds"), (b, "b", "firsts")):
+        rows = split_hot_join(side, both.select(*keys, F.col(links).alias("links")), keys, F.col(f"{s}_rule_id"))
+        parts.append(rows.select(*keys, F.col(f"{s}_scope").alias("scope"), F.col(f"{s}_rule_id").alias("rule_id"), "links"))
+    return parts[0].unionByName(parts[1])
+
+
+def _alike(rules: DataFrame, scope: str, parent: str, prefix: str) -> DataFrame:
+    """Rules of a scope with one parent and the same target fields, as one row with their number and smallest id."""
+    side = rules.where((F.col("status") == "active") & (F.col("scope") == scope) & F.col(parent).isNotNull())
+    side = side.select(F.col(parent).alias(parent), "rule_id", F.array_sort(_clean_fields()).alias("target_fields"))
+    alike = side.groupBy(parent, "target_fields").agg(F.count(F.lit(1)).alias("n"), F.min("rule_id").alias("rule_id"))
+    keyed = _keyed(alike.withColumns({"status": F.lit("active"), "scope": F.lit(scope)}), scope, parent, prefix)
+    sizes = alike.select(F.col(parent).alias("parent_id"), F.col("target_fields").alias(f"{prefix}_fields"), F.col("n").alias(f"{prefix}_n"))
+    return keyed.join(sizes, ["parent_id", f"{prefix}_fields"])
+
+
+def _alike_pairs(rules: DataFrame, kind: tuple[str, str, str]) -> DataFrame:
+    """Conflicts between sets of rules with the same parent and target fields: each pair of sets once."""
+    first, second, parent = kind
+    a, b = _alike(rules, first, parent, "a"), _alike(rules, second, parent, "b")
+    pairs = grid_join(a, b, ["parent_id", "match_key"], F.col("a_rule_id"), F.col("b_rule_id"))
+    common = F.array_min(F.array_intersect("a_fields", "b_fields"))
+    return pairs.where(~F.col("match_key").startswith("field:") | (F.col("match_key") == F.concat(F.lit("field:"), common)))
+
+
+def rule_conflicts(rules: DataFrame, kind: tuple[str, str, str]) -> DataFrame:
+    """One row per rule with conflicts of a kind: the other scope, how many rules it conflicts with, and the smallest of them."""
+    pairs = _alike_pairs(rules, kind)
+    first, second, parent = kind
+    parts = []
+    for own, other, scope, facing in (("a", "b", first, second), ("b", "a", second, first)):
+        found = pairs.groupBy("parent_id", F.col(f"{own}_fields").alias("__fields")).agg(
+            F.sum(f"{other}_n").alias("conflicts"), F.min(f"{other}_rule_id").alias("partner_id")
+        )
+        side = rules.where((F.col("status") == "active") & (F.col("scope") == scope)).select(
+            "rule_id", "scope", F.col(parent).alias("parent_id"), F.array_sort(_clean_fields()).alias("__fields")
+        )
+        rows = split_hot_join(side, found, ["parent_id", "__fields"], F.col("rule_id"))
+        parts.append(rows.select("rule_id", "scope", F.lit(facing).alias("other_scope"), "parent_id", "conflicts", "partner_id"))
+    return parts[0].unionByName(parts[1])
+
+
+def conflict_totals(rules: DataFrame) -> DataFrame:
+    """a_scope, b_scope, conflicts: the number of conflicting pairs of each kind, counted without listing them."""
+    out = None
+    for kind in KINDS:
+        total = _alike_pairs(rules, kind).agg(F.sum(F.col("a_n") * F.col("b_n")).alias("conflicts"))
+        total = total.select(F.lit(kind[0]).alias("a_scope"), F.lit(kind[1]).alias("b_scope"), "conflicts").where("conflicts is not null")
+        out = out.unionByName(total) if out is not None else total
+    return out
+
+
 def all_conflicts(rules: DataFrame) -> DataFrame:
     """The three kinds together; scopes differ, so no pair can appear twice."""
     out = conflicts(rules, KINDS[0])
@@ -83,27 +158,64 @@ def all_conflicts(rules: DataFrame) -> DataFrame:
 
 def describe(conflicted: DataFrame) -> DataFrame:
     """Add the contradiction sentence."""
-    text = F.concat(
-        F.lit("Rules at '"), F.col("a_scope"), F.lit("' and '"), F.col("b_scope"),
-        F.lit("' scope levels target overlapping fields with potentially contradictory constraints."),
-    )
+    before, between, after = map(F.lit, CONTRADICTION)
+    text = F.concat(before, F.col("a_scope"), between, F.col("b_scope"), after)
     return conflicted.withColumn("contradiction_summary", text)
 
 
+def _latest_resolutions(resolutions: DataFrame) -> DataFrame:
+    columns = ["pair_key", "priority_rule_id", "resolved_by", "resolved_at"]
+    return latest_per_key(resolutions.select(*columns), ["pair_key"], ["resolved_at", "priority_rule_id"])
+
+
 def with_resolutions(conflicted: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Attach the latest resolution of each pair; ``resolved`` tells whether there is one."""
+    """Attach the latest resolution to each of some pairs; ``resolved`` tells whether there is one."""
     extra = ["priority_rule_id", "resolved_by", "resolved_at"]
-    latest = resolutions.groupBy("pair_key").agg(
-        F.max_by(F.struct(*extra), F.struct("resolved_at", "priority_rule_id")).alias("r")
-    )
-    joined = conflicted.join(latest, "pair_key", "left")
-    return joined.select(
-        *conflicted.columns,
-        F.col("r").isNotNull().alias("resolved"),
-        *[F.col(f"r.{c}").alias(c) for c in extra],
+    joined = conflicted.join(_latest_resolutions(resolutions).withColumn("__found", F.lit(True)), "pair_key", "left")
+    return joined.select(*conflicted.columns, F.col("__found").isNotNull().alias("resolved"), *extra)
+
+
+def resolved_conflicts(rules: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The latest resolution of every conflict that has one: pair_key, rule_a and rule_b (the wider scope first), their
+    scopes, parent_id, priority_rule_id, resolved_by and resolved_at.
+
+    It starts from the resolutions: both rules of a pair are looked up by id, and the pair is tested on what was found, so no
+    conflicts are listed. Rule ids contain no | (they are joined by it), and are unique.
+    """
+    latest = _latest_resolutions(resolutions)
+    ids = F.split("pair_key", r"\|", 2)
+    pairs = latest.withColumns({"__x": F.get(ids, F.lit(0)), "__y": F.get(ids, F.lit(1))})
+    rank = F.when(F.col("scope") == "catalog", 0).when(F.col("scope") == "table", 1).when(F.col("scope") == "column", 2)
+    active = rules.where(F.col("status") == "active")
+    side = active.select("rule_id", "scope", "catalog_id", "table_id", _clean_fields().alias("fields"), rank.alias("rank"))
+    for c, s in (("__x", "x"), ("__y", "y")):
+        pairs = pairs.join(side.select(F.col("rule_id").cast("string").alias(c), F.struct("*").alias(s)), c)
+    wide = F.col("x.rank") < F.col("y.rank")
+    both = pairs.withColumns({"a": F.when(wide, F.col("x")).otherwise(F.col("y")), "b": F.when(wide, F.col("y")).otherwise(F.col("x"))})
+    parent = None
+    for first, second, column in KINDS:
+        here = (F.col("a.scope") == first) & (F.col("b.scope") == second) & (F.col(f"a.{column}") == F.col(f"b.{column}"))
+        parent = F.when(here, F.col(f"a.{column}")) if parent is None else parent.when(here, F.col(f"a.{column}"))
+    meet = (F.size("a.fields") == 0) | (F.size("b.fields") == 0) | S.fields_overlap(F.col("a.fields"), F.col("b.fields"))
+    found = both.withColumn("parent_id", parent).where(F.col("parent_id").isNotNull() & meet)
+    return found.select(
+        "pair_key", F.col("a.rule_id").alias("rule_a"), F.col("a.scope").alias("a_scope"), F.col("b.rule_id").alias("rule_b"),
+        F.col("b.scope").alias("b_scope"), "parent_id", "priority_rule_id", "resolved_by", "resolved_at",
     )
 
 
+def open_conflicts(rules: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """One row per rule with conflicts: how many it has, how many of them are resolved, and how many are open."""
+    total = rule_conflicts(rules, KINDS[0])
+    for kind in KINDS[1:]:
+        total = total.unionByName(rule_conflicts(rules, kind))
+    total = total.groupBy("rule_id").agg(F.sum("conflicts").alias("conflicts"))
+    solved = resolved_conflicts(rules, resolutions).select(F.explode(F.array("rule_a", "rule_b")).alias("rule_id"))
+    solved = solved.groupBy("rule_id").agg(F.count(F.lit(1)).alias("resolved"))
+    resolved = F.coalesce("resolved", F.lit(0))
+    return total.join(solved, "rule_id", "left").select("rule_id", "conflicts", resolved.alias("resolved"), (F.col("conflicts") - resolved).alias("open"))
+
+
 def resolve_conflict(
     rules: DataFrame, rule_ids: Sequence, winner, resolved_by: str, resolved_at
 ) -> tuple[DataFrame, DataFrame]:
@@ -163,22 +275,66 @@ def active_rules(rules: DataFrame, dataset_id: str) -> DataFrame:
     return found
 
 
-def expand_rules(rules: DataFrame, tables: DataFrame, fields: DataFrame) -> DataFrame:
-    """rule_id, scope, table_id, field_id: what each rule applies to.
+def scope_labels(tables: DataFrame, fields: DataFrame) -> DataFrame:
+    """level, node_id, lo, hi: what every catalog, table and field covers in one numbering of all fields; a table has
+    the interval of its catalog, too (top_lo, top_hi).
 
-    A catalog rule applies to every field of every table in the catalog, a table rule to
-    every field of the table, a column rule to the column.
+    Fields are numbered in the order of catalog, table and field; a table's, and a catalog's, then follow one another, so a
+    scope of any size is an interval from lo to before hi. Tables without fields have no row.
     """
-    registry = fields.select("field_id", "table_id").join(tables.select("table_id", "catalog_id"), "table_id")
-    by_scope = {"catalog": "catalog_id", "table": "table_id", "column": "field_id"}
-    parts = []
-    for scope, parent in by_scope.items():
-        source = "column_id" if scope == "column" else parent
-        mine = rules.where(F.col("scope") == scope).select("rule_id", "scope", F.col(source).alias(parent))
-        # a catalog or table may hold a large share of all fields: split it over tasks
-        pairs = (
-            mine.join(registry, parent) if scope == "column"
-            else split_hot_join(registry, mine, [parent], F.col("field_id"))
-        )
-        parts.append(pairs.select("rule_id", "scope", "table_id", "field_id"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    owned = fields.select("field_id", "table_id").join(tables.select("table_id", "catalog_id"), "table_id")
+    at = with_row_index(owned, ["catalog_id", "table_id", "field_id"], "lo")
+    names = ("level", "node_id", "lo", "hi")
+    span = [F.min("lo").alias("lo"), (F.max("lo") + 1).alias("hi")]
+    column = at.select(F.lit("column"), F.col("field_id").cast("string"), "lo", F.col("lo") + 1).toDF(*names)
+    catalog = at.where("catalog_id is not null").groupBy("catalog_id").agg(*span)
+    table = at.groupBy("table_id", "catalog_id").agg(*span)
+    tops = catalog.toDF("catalog_id", "top_lo", "top_hi")
+    table = table.join(tops, "catalog_id", "left").withColumns({"level": F.lit("table"), "node_id": F.col("table_id").cast("string")})
+    catalog = catalog.select(F.lit("catalog"), F.col("catalog_id").cast("string"), "lo", "hi").toDF(*names)
+    return table.select(*names, "top_lo", "top_hi").unionByName(column.unionByName(catalog), allowMissingColumns=True)
+
+
+def rule_ranges(rules: DataFrame, labels: DataFrame) -> DataFrame:
+    """rule_id, scope, lo, hi: the interval of fields that each rule applies to; one row per rule, whatever its scope holds.
+
+    Rules of scopes without fields have no row.
+    """
+    node = F.when(F.col("scope") == "catalog", F.col("catalog_id").cast("string")).when(
+        F.col("scope") == "table", F.col("table_id").cast("string")
+    ).when(F.col("scope") == "column", F.col("column_id").cast("string"))
+    mine = rules.select("rule_id", "scope", F.col("scope").alias("level"), node.alias("node_id"))
+    return split_hot_join(mine, labels.select("level", "node_id", "lo", "hi"), ["level", "node_id"], F.col("rule_id")).select("rule_id", "scope", "lo", "hi")
+
+
+def rules_of_tables(ranges: DataFrame, labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """rule_id, scope, table_id, lo, hi: the rules that apply to some field of the asked tables (column ``table_id``), and
+    the interval of the table's fields that they apply to.
+
+    An asked table looks for the rules that start where its catalog, itself or one of its fields starts, with
+    that very extent; rules of other scopes are not met.
+    """
+    spans = labels.where("level = 'table'").select("node_id", F.col("lo").alias("from"), F.col("hi").alias("to"), "top_lo", "top_hi")
+    spans = asked.select("table_id").distinct().withColumn("node_id", F.col("table_id").cast("string")).join(spans, "node_id")
+    side = lambda scope, lo, hi: spans.select("table_id", "from", "to", F.lit(scope).alias("scope"), lo.alias("lo"), hi.alias("hi"))
+    own = side("table", F.col("from"), F.col("to"))
+    top = side("catalog", F.col("top_lo"), F.col("top_hi")).where("lo is not null")
+    fields = F.explode(F.sequence(F.col("from"), F.col("to") - 1))
+    each = side("column", fields, F.lit(None).cast("bigint")).withColumn("hi", F.col("lo") + 1)
+    wanted = own.unionByName(each).unionByName(top)
+    met = split_hot_join(ranges, wanted, ["scope", "lo", "hi"], F.col("rule_id"))
+    return met.select("rule_id", "scope", "table_id", F.greatest("lo", "from").alias("lo"), F.least("hi", "to").alias("hi"))
+
+
+def expand_rules(rules: DataFrame, tables: DataFrame, fields: DataFrame, asked: DataFrame) -> DataFrame:
+    """rule_id, scope, table_id, field_id: which fields of the asked tables each rule applies to.
+
+    A catalog rule applies to every field of every table in the catalog, a table rule to every field of the
+    table, a column rule to the column.
+    """
+    labels = checkpointed(scope_labels(tables, fields))
+    met = rules_of_tables(rule_ranges(rules, labels), labels, asked)
+    at = labels.where("level = 'column'").select(F.col("node_id").alias("__field"), F.col("lo").alias("__at"))
+    each = met.select("rule_id", "scope", "table_id", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("__at"))
+    kind = fields.schema["field_id"].dataType
+    return each.join(at, "__at").select("rule_id", "scope", "table_id", F.col("__field").cast(kind).alias("field_id"))

@@ -11,43 +11,61 @@ from tablecheck.operators.state import latest_per_key
 BLOCK = 10_000
 
 
-def forward_fill(df: DataFrame, key: str, order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """Fill nulls from the closest earlier row of the same key. ``order`` is a whole number.
+def _slim(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Without the columns to fill, but with the order number of the rows that hold a value: ``__from_`` and the name."""
+    held = {f"__from_{c}": F.when(F.col(c).isNotNull(), F.col(order)) for c in columns}
+    return df.withColumns(held).drop(*columns)
+
+
+def _carried(slim: DataFrame, key: str, order: str, columns: list[str], block: int) -> DataFrame:
+    """Every row with the number of the closest row at or before it that holds a value.
 
     Each key is cut into blocks of ``order``, so one huge key is many window groups. The last
-    known values of each block (one small row per block) are then carried to later blocks.
+    number of each block (one small row per block) is then carried to later blocks.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order) / block))
-    inside = (
-        Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    filled = blocked.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
-    ends = blocked.groupBy(key, "__block").agg(
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__{c}")
-            for c in columns
-        ]
-    )
+    numbers = [f"__from_{c}" for c in columns]
+    blocked = slim.withColumn("__block", F.floor(F.col(order) / block))
+    inside = Window.partitionBy(key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = blocked.withColumns({n: F.max(n).over(inside) for n in numbers})
+    ends = blocked.groupBy(key, "__block").agg(*[F.max(n).alias(n) for n in numbers])
     earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        key, "__block", *[F.last(f"__{c}", ignorenulls=True).over(earlier).alias(f"__{c}") for c in columns]
-    ).where(" OR ".join(f"`__{c}` IS NOT NULL" for c in columns))
-    joined = filled.join(carried, [key, "__block"], "left")
-    whole = {c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}
-    return joined.select(*[whole[c].alias(c) if c in whole else F.col(c) for c in df.columns])
+    before = ends.select(key, "__block", *[F.max(n).over(earlier).alias(f"__earlier{n}") for n in numbers])
+    joined = filled.join(before, [key, "__block"], "left")
+    latest = {n: F.coalesce(F.col(n), F.col(f"__earlier{n}")) for n in numbers}
+    return joined.withColumns(latest).drop(*[f"__earlier{n}" for n in numbers])
+
+
+def _with_values(carried: DataFrame, df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """Fetch the values from the rows that hold them, each column in one join."""
+    out = carried
+    for c in columns:
+        held = df.where(F.col(c).isNotNull()).select(key, F.col(order).alias(f"__from_{c}"), c)
+        out = out.join(held, [key, f"__from_{c}"], "left")
+    return out
+
+
+def forward_fill(df: DataFrame, key: str, order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """Fill nulls from the closest earlier row of the same key. ``order`` is a whole number, unique in its key.
+
+    Windows and aggregates carry the number of the row that holds a value, never the value.
+    """
+    carried = _carried(_slim(df, order, columns), key, order, columns, block)
+    return _with_values(carried, df, key, order, columns).select(*df.columns)
 
 
-def report_versions(versions: DataFrame, fill: list[str] | None = None) -> DataFrame:
+def report_versions(versions: DataFrame, fill: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Every version with fallback content, the report's current version and the next one."""
-    filled = forward_fill(versions, "report_id", "version", fill or ["content"])
-    blocked = filled.withColumn("__block", F.floor(F.col("version") / BLOCK))
+    fill = fill or ["content"]
+    slim = _slim(versions, "version", fill)
+    carried = _carried(slim, "report_id", "version", fill, block)
     # the current version is found per block first, and joined by block: no report is one hot key
-    tops = blocked.groupBy("report_id", "__block").agg(F.max("version").alias("top"))
+    tops = carried.groupBy("report_id", "__block").agg(F.max("version").alias("top"))
     current = tops.select(
         "report_id", "__block", F.max("top").over(Window.partitionBy("report_id")).alias("current_version")
     )
-    joined = blocked.join(current, ["report_id", "__block"]).drop("__block")
-    return joined.withColumn("next_version", F.col("current_version") + 1)
+    joined = carried.join(current, ["report_id", "__block"])
+    whole = _with_values(joined, versions, "report_id", "version", fill)
+    return whole.select(*versions.columns, "current_version", (F.col("current_version") + 1).alias("next_version"))
 
 
 def version_list(versions: DataFrame, report_id) -> DataFrame:

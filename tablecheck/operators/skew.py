@@ -52,21 +52,48 @@ def _match(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{prefix}{i}") for i, k in enumerate(keys)])
 
 
+def _pieces(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The hot keys of a frame and into how many pieces of at least PIECE_ROWS rows each is cut, at most HOT_SHARE."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    by_share = F.ceil(F.col("n") * HOT_SHARE / total.scalar())
+    pieces = F.least(by_share, F.ceil(F.col("n") / PIECE_ROWS)).cast("int")
+    return hot_keys(counts).select(*keys, pieces.alias(out))
+
+
+def _one(pieces: str) -> Column:
+    return F.coalesce(pieces, F.lit(1)).cast("bigint")
+
+
+def _every(pieces: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))
+
+
 def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: Column) -> DataFrame:
     """Inner equi-join on ``keys`` (same names on both sides) with the left's hot keys split.
 
-    A hot key is cut into pieces of at least PIECE_ROWS rows, at most HOT_SHARE of them, by the
-    hash of ``spread_by`` (a left column expression unique enough to divide the key); the
-    matching right rows are repeated once per piece.
+    A hot key is cut into pieces by the hash of ``spread_by`` (a left column expression unique enough to divide the
+    key); the matching right rows are repeated once per piece.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    by_share = F.ceil(F.col("n") * HOT_SHARE / total.scalar())
-    pieces = F.least(by_share, F.ceil(F.col("n") / PIECE_ROWS)).cast("int")
-    hot = hot_keys(counts).select(*keys, pieces.alias("__pieces"))
-    one = F.coalesce("__pieces", F.lit(1))
-    l = left.join(F.broadcast(hot), keys, "left").withColumn("__piece", F.pmod(F.xxhash64(spread_by), one))
-    r = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), (one - 1).cast("bigint")))
-    )
+    hot = F.broadcast(_pieces(left, keys, "__pieces"))
+    l = left.join(hot, keys, "left").withColumn("__piece", F.pmod(F.xxhash64(spread_by), _one("__pieces")))
+    r = right.join(hot, keys, "left").withColumn("__piece", _every(_one("__pieces")))
     return l.drop("__pieces").join(r.drop("__pieces"), [*keys, "__piece"]).drop("__piece")
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], left_by: Column, right_by: Column) -> DataFrame:
+    """Inner equi-join on ``keys`` with the hot keys of either side split.
+
+    A key with p left and q right pieces is a grid of p x q cells: a left row, in the piece of its ``left_by``, is
+    repeated along its row of cells, a right row along its column, so each pair meets in one cell.
+    """
+    cuts = [F.broadcast(_pieces(df, keys, name)) for df, name in ((left, "__p"), (right, "__q"))]
+
+    def placed(df: DataFrame, by: Column, own: str, other: str, at: tuple[str, str]) -> DataFrame:
+        cut = df.join(cuts[0], keys, "left").join(cuts[1], keys, "left")
+        cut = cut.withColumn(at[0], F.pmod(F.xxhash64(by), _one(own))).withColumn(at[1], _every(_one(other)))
+        return cut.drop("__p", "__q")
+
+    l = placed(left, left_by, "__p", "__q", ("__i", "__j"))
+    r = placed(right, right_by, "__q", "__p", ("__j", "__i"))
+    return l.join(r, [*keys, "__i", "__j"]).drop("__i", "__j")

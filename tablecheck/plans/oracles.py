@@ -60,6 +60,31 @@ _ALL_CONFLICTS = " UNION ALL ".join(
     _conflict(*k) for k in (("catalog", "table", "catalog_id"), ("table", "column", "table_id"), ("catalog", "column", "catalog_id"))
 )
 
+_KEYS = {
+    "a": "CASE WHEN len(fs) = 0 THEN ['second only', 'neither'] ELSE list_append(list_transform(fs, lambda f: 'field:' || f), 'first only') END",
+    "b": "CASE WHEN len(fs) = 0 THEN ['first only', 'neither'] ELSE list_append(list_transform(fs, lambda f: 'field:' || f), 'second only') END",
+}
+
+
+def _groups(first: str, second: str, parent: str) -> str:
+    """Each rule and match key that a rule of the other scope has, too, and by how many."""
+    side = f"(SELECT *, list_distinct({_FIELDS}) AS fs FROM {{rules}} WHERE status = 'active' AND {parent} IS NOT NULL)"
+    each = lambda s, scope: f"{s} AS (SELECT {parent} AS parent_id, unnest({_KEYS[s]}) AS match_key, scope, rule_id FROM {side} WHERE scope = '{scope}')"
+    rows = lambda own, other: f"SELECT {own}.*, n AS links FROM {own} JOIN (SELECT parent_id, match_key, count(*) AS n FROM {other} GROUP BY ALL) o USING (parent_id, match_key)"
+    return f"WITH {each('a', first)}, {each('b', second)} {rows('a', 'b')} UNION ALL {rows('b', 'a')}"
+
+
+def _per_rule(first: str, second: str, parent: str) -> str:
+    pairs = _conflict(first, second, parent)
+    one = lambda own, scope, other, facing: f"SELECT rule_{own} AS rule_id, '{scope}' AS scope, '{facing}' AS other_scope, parent_id, count(*) AS conflicts, min(rule_{other}) AS partner_id FROM ({pairs}) GROUP BY rule_{own}, parent_id"
+    return one("a", first, "b", second) + " UNION ALL " + one("b", second, "a", first)
+
+
+_LATEST_RESOLUTION = """(SELECT rule_lo, rule_hi, max_by(priority_rule_id, resolved_at) AS priority_rule_id, max_by(resolved_by, resolved_at) AS resolved_by
+  FROM {resolutions} GROUP BY rule_lo, rule_hi)"""
+_RESOLVED = f"""SELECT c.rule_a, c.rule_b, c.a_scope, c.b_scope, c.parent_id, r.priority_rule_id, r.resolved_by
+FROM ({_ALL_CONFLICTS}) c JOIN {_LATEST_RESOLUTION} r ON r.rule_lo = least(c.rule_a, c.rule_b) AND r.rule_hi = greatest(c.rule_a, c.rule_b)"""
+
 _CLEAN = "reconstruction_error IS NOT NULL AND NOT isnan(reconstruction_error)"
 _SEVERITY = f"""CASE WHEN NOT ({_CLEAN}) THEN 'normal' WHEN reconstruction_error > 1.5 THEN 'critical'
   WHEN reconstruction_error > 1.0 THEN 'high' WHEN reconstruction_error > 0.75 THEN 'medium'
@@ -201,17 +226,30 @@ SELECT count(*) AS runs, coalesce(round(avg(score), 1), 0.0) AS average_score, c
     "q16d_report_scorings": f"""WITH s AS (SELECT scoring_id, count(*) AS n, count(*) FILTER ({_ANOMALY}) AS a, max(detected_at) AS t FROM {{scored}} GROUP BY scoring_id)
 SELECT scoring_id AS id, scoring_id AS dataset_id, a AS anomaly_count, round(round(100.0 * CAST(a AS DOUBLE) / n, 2), 1) AS anomaly_percentage
 FROM s ORDER BY t DESC, scoring_id LIMIT 5""",
-    "q17_conflicts_catalog_table": _conflict("catalog", "table", "catalog_id"),
-    "q18_conflicts_table_column": _conflict("table", "column", "table_id"),
-    "q19_conflicts_catalog_column": _conflict("catalog", "column", "catalog_id"),
-    "q20_with_resolutions": f"""SELECT c.rule_a, c.rule_b, r.rule_lo IS NOT NULL AS resolved, r.priority_rule_id, r.resolved_by
-FROM ({_ALL_CONFLICTS}) c LEFT JOIN (SELECT rule_lo, rule_hi, max_by(priority_rule_id, resolved_at) AS priority_rule_id, max_by(resolved_by, resolved_at) AS resolved_by
-  FROM {{resolutions}} GROUP BY rule_lo, rule_hi) r ON r.rule_lo = least(c.rule_a, c.rule_b) AND r.rule_hi = greatest(c.rule_a, c.rule_b)""",
+    "q17_conflicts_catalog_table": _groups("catalog", "table", "catalog_id"),
+    "q18_conflicts_table_column": _groups("table", "column", "table_id"),
+    "q19_conflicts_catalog_column": _groups("catalog", "column", "catalog_id"),
+    "q19b_rule_conflicts": " UNION ALL ".join(
+        _per_rule(*k) for k in (("catalog", "table", "catalog_id"), ("table", "column", "table_id"), ("catalog", "column", "catalog_id"))
+    ),
+    "q19c_conflict_pairs": f"SELECT * FROM ({_conflict('catalog', 'table', 'catalog_id')}) WHERE parent_id = 4",
+    "q20_with_resolutions": _RESOLVED,
+    "q20c_open_conflicts": f"""WITH c AS ({_ALL_CONFLICTS}), s AS ({_RESOLVED}),
+t AS (SELECT rule_id, count(*) AS conflicts FROM (SELECT rule_a AS rule_id FROM c UNION ALL SELECT rule_b FROM c) GROUP BY rule_id),
+d AS (SELECT rule_id, count(*) AS resolved FROM (SELECT rule_a AS rule_id FROM s UNION ALL SELECT rule_b FROM s) GROUP BY rule_id)
+SELECT rule_id, conflicts, coalesce(resolved, 0) AS resolved, conflicts - coalesce(resolved, 0) AS open FROM t LEFT JOIN d USING (rule_id)""",
     "q20b_conflict_sentences": f"""SELECT 'Rules at ''' || a_scope || ''' and ''' || b_scope || ''' scope levels target overlapping fields with potentially contradictory constraints.' AS contradiction_summary,
-  count(*) AS conflicts FROM ({_ALL_CONFLICTS}) GROUP BY 1""",
+  CAST(count(*) AS BIGINT) AS conflicts FROM ({_ALL_CONFLICTS}) GROUP BY 1""",
     "q21_resolve": """SELECT rule_id, scope, CASE WHEN rule_id IN (SELECT overridden_rule_id FROM {resolutions}) THEN 'overridden' ELSE status END AS status FROM {rules}""",
     "q21b_resolve_one": "SELECT rule_id, CASE WHEN rule_id IN (3, 12) THEN 'overridden' ELSE status END AS status FROM {rules}",
-    "q22_expand_rules": """WITH reg AS (SELECT f.field_id, f.table_id, t.catalog_id FROM {registry_fields} f JOIN {registry_tables} t ON f.table_id = t.table_id),
+    "q22_expand_rules": """WITH reg AS (SELECT f.field_id, f.table_id, t.catalog_id,
+  row_number() OVER (ORDER BY t.catalog_id NULLS FIRST, f.table_id NULLS FIRST, f.field_id NULLS FIRST) - 1 AS pos
+  FROM {registry_fields} f JOIN {registry_tables} t ON f.table_id = t.table_id),
+a AS (SELECT * FROM {rules} WHERE status = 'active')
+SELECT a.rule_id, a.scope, min(pos) AS lo, max(pos) + 1 AS hi FROM a JOIN reg ON CASE a.scope WHEN 'catalog' THEN a.catalog_id = reg.catalog_id
+  WHEN 'table' THEN a.table_id = reg.table_id ELSE a.column_id = reg.field_id END GROUP BY a.rule_id, a.scope""",
+    "q22c_rules_of_tables": """WITH reg AS (SELECT f.field_id, f.table_id, t.catalog_id FROM {registry_fields} f JOIN {registry_tables} t ON f.table_id = t.table_id
+  WHERE t.catalog_id IN (1, 99)),
 a AS (SELECT * FROM {rules} WHERE status = 'active')
 SELECT a.rule_id, a.scope, reg.table_id, reg.field_id FROM a JOIN reg ON a.catalog_id = reg.catalog_id WHERE a.scope = 'catalog'
 UNION ALL SELECT a.rule_id, a.scope, reg.table_id, reg.field_id FROM a JOIN reg ON a.table_id = reg.table_id WHERE a.scope = 'table'
@@ -261,6 +299,9 @@ a AS (SELECT doc_id AS id FROM {documents})
 SELECT id, CASE WHEN id IN (SELECT id FROM a) THEN 'published' ELSE status END AS outcome FROM m
 UNION ALL SELECT a.id, CASE WHEN m.id IS NULL THEN 'not found' ELSE 'not a draft' END FROM a LEFT JOIN m ON a.id = m.id WHERE m.id IS NULL OR m.status <> 'draft'""",
     "q34_latest_state": """SELECT dataset_id, run_id, status, score FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY started_at DESC, run_id DESC) AS rn FROM {runs}) WHERE rn = 1""",
+    "q34b_latest_of_many": """SELECT 'part' AS kind, l_partkey AS key, l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line FROM (SELECT *,
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC) AS rn FROM {lineitem}) WHERE rn = 1
+UNION ALL SELECT 'customer', o_custkey, o_orderkey, 0 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS rn FROM {orders}) WHERE rn = 1""",
     "q35_scaler": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, round(avg({c}), 4) AS mean, round(CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END, 4) AS std FROM {{lineitem}}"
         for c in _LINE

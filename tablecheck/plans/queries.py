@@ -269,23 +269,35 @@ def _rules(spark, d) -> DataFrame:
     return table(spark, d, "rules").withColumn("target_fields", fields)
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select("rule_a", "rule_b", "a_scope", "b_scope", "parent_id", "pair_key")
-
-
 @query
 def q17_conflicts_catalog_table(spark, d):
-    return _pairs(conflicts.conflicts(_rules(spark, d), conflicts.KINDS[0]))
+    return conflicts.conflict_groups(_rules(spark, d), conflicts.KINDS[0])
 
 
 @query
 def q18_conflicts_table_column(spark, d):
-    return _pairs(conflicts.conflicts(_rules(spark, d), conflicts.KINDS[1]))
+    return conflicts.conflict_groups(_rules(spark, d), conflicts.KINDS[1])
 
 
 @query
 def q19_conflicts_catalog_column(spark, d):
-    return _pairs(conflicts.conflicts(_rules(spark, d), conflicts.KINDS[2]))
+    return conflicts.conflict_groups(_rules(spark, d), conflicts.KINDS[2])
+
+
+@query
+def q19b_rule_conflicts(spark, d):
+    """Exact numbers of conflicts and one partner of each rule, all kinds."""
+    rules = _rules(spark, d)
+    first, second, third = (conflicts.rule_conflicts(rules, k) for k in conflicts.KINDS)
+    return first.unionByName(second).unionByName(third)
+
+
+@query
+def q19c_conflict_pairs(spark, d):
+    """The pairs themselves, for the rules of one catalog."""
+    rules = _rules(spark, d).where(F.col("catalog_id") == 4)
+    found = conflicts.conflicts(rules, conflicts.KINDS[0])
+    return found.select("rule_a", "rule_b", "a_scope", "b_scope", "parent_id", "pair_key")
 
 
 def _resolutions(spark, d) -> DataFrame:
@@ -297,16 +309,18 @@ def _resolutions(spark, d) -> DataFrame:
 
 @query
 def q20_with_resolutions(spark, d):
-    found = conflicts.all_conflicts(_rules(spark, d))
-    return conflicts.with_resolutions(found, _resolutions(spark, d)).select(
-        "rule_a", "rule_b", "resolved", "priority_rule_id", "resolved_by"
-    )
+    found = conflicts.resolved_conflicts(_rules(spark, d), _resolutions(spark, d))
+    return found.select("rule_a", "rule_b", "a_scope", "b_scope", "parent_id", "priority_rule_id", "resolved_by")
 
 
 @query
 def q20b_conflict_sentences(spark, d):
-    found = conflicts.describe(conflicts.all_conflicts(_rules(spark, d)))
-    return found.groupBy("contradiction_summary").agg(F.count(F.lit(1)).alias("conflicts"))
+    return conflicts.describe(conflicts.conflict_totals(_rules(spark, d))).select("contradiction_summary", "conflicts")
+
+
+@query
+def q20c_open_conflicts(spark, d):
+    return conflicts.open_conflicts(_rules(spark, d), _resolutions(spark, d))
 
 
 @query
@@ -321,10 +335,23 @@ def q21b_resolve_one(spark, d):
     return updated.select("rule_id", "status")
 
 
+def _registry(spark, d) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "registry_tables"), table(spark, d, "registry_fields")
+
+
 @query
 def q22_expand_rules(spark, d):
+    """The interval of fields that each rule applies to."""
     active = _rules(spark, d).where(F.col("status") == "active")
-    return conflicts.expand_rules(active, table(spark, d, "registry_tables"), table(spark, d, "registry_fields"))
+    return conflicts.rule_ranges(active, conflicts.scope_labels(*_registry(spark, d)))
+
+
+@query
+def q22c_rules_of_tables(spark, d):
+    """The fields that each rule applies to, of the tables of one catalog and of the one without."""
+    active = _rules(spark, d).where(F.col("status") == "active")
+    tables, fields = _registry(spark, d)
+    return conflicts.expand_rules(active, tables, fields, tables.where(F.col("catalog_id").isin(1, 99)))
 
 
 @query
@@ -532,6 +559,16 @@ def q34_latest_state(spark, d):
     return latest.select("dataset_id", "run_id", "status", "score")
 
 
+@query
+def q34b_latest_of_many(spark, d):
+    """The last line of every part, and of every customer the last order of the highest price."""
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    last = latest_per_key(lines, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"])
+    dear = latest_per_key(table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderkey"), ["o_custkey"], ["o_totalprice", "o_orderkey"])
+    made = last.select(F.lit("part").alias("kind"), F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("bigint").alias("line"))
+    return made.unionByName(dear.select(F.lit("customer").alias("kind"), F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("order_key"), F.lit(0).cast("bigint").alias("line")))
+
+
 # ---- anomalies ----------------------------------------------------------------------
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
