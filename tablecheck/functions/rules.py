@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck.functions import scalars as S
+from tablecheck.functions.numberkeys import compared
 
 # ---- fixed values -------------------------------------------------------------------
 CATEGORIES = ("cross_field", "statistical_outlier", "multi_record", "temporal", "pattern", "simple")
@@ -121,17 +122,11 @@ def _operands(df: DataFrame, name: str, value: object) -> tuple[Column, Column]:
 
 
 def _ordered(df: DataFrame, name: str, value: object) -> tuple[Column, Column]:
-    """Operands for < and >: text columns compare as numbers when the bound is a number."""
+    """Operands for < and >: text columns compare as numbers, exactly, when the bound is a number."""
     number = _number(value) if _is_text(df, name) else None
     if number is None:
         return _operands(df, name, value)
-    as_double = S.to_number(df, name)
-    if EXACT_DOUBLES <= Decimal(number).copy_abs() <= WIDEST:
-        # Doubles cannot tell such numbers apart; what no decimal holds lies beyond on its side.
-        exact = F.when(as_double.isNotNull(), F.trim(f"`{name}`").try_cast("decimal(38,0)"))
-        beyond = F.when(as_double > 0, F.lit(WIDEST)).when(as_double < 0, F.lit(WIDEST.copy_negate()))
-        return F.coalesce(exact, beyond.cast("decimal(38,0)")), F.lit(Decimal(number)).cast("decimal(38,0)")
-    return as_double, F.lit(float(number))
+    return compared(F.col(f"`{name}`"), S.to_number(df, name), number), F.lit(0)
 
 
 def _bounds(value: object) -> tuple[object, object]:
@@ -179,8 +174,8 @@ def _less(df, name, value):
 def _between(df, name, value):
     low, high = _bounds(value)
     left, lo = _ordered(df, name, low)
-    _, hi = _ordered(df, name, high)
-    return left.between(lo, hi)
+    right, hi = _ordered(df, name, high)
+    return (left >= lo) & (right <= hi)
 
 
 def _contains(df, name, value):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions import scalars as S
+from tablecheck.operators.listing import AUDIT_PAGE_DEFAULT, cursor_page, page_cursors
 
 # ---- fixed values -------------------------------------------------------------------
 ACTIONS = ("create", "update", "delete")
@@ -95,3 +96,13 @@ def audit_by_time(
     if resource_type:
         found = found.where(F.col("resource_type") == resource_type)
     return _newest_first(found, ts, tie)
+
+
+def audit_page(found: DataFrame, token: str | None = None, n: object = None, ts: str = "timestamp", tie: str = "id") -> DataFrame:
+    """A page of audit rows, newest first, after a cursor; 50 rows unless asked otherwise."""
+    return cursor_page(found, [(ts, "desc"), (tie, "asc")], token, n, AUDIT_PAGE_DEFAULT)
+
+
+def audit_pages(audit: DataFrame, ts: str = "timestamp", tie: str = "id") -> DataFrame:
+    """page, rows and cursor of every page of 50 of the whole trail, newest first."""
+    return page_cursors(audit, [(ts, "desc"), (tie, "asc")], AUDIT_PAGE_DEFAULT)

@@ -27,11 +27,11 @@ def page_size(requested: object, default: int = PAGE_DEFAULT, largest: int = PAG
     return max(1, min(size, largest))
 
 
-def encode_cursor(values: dict) -> str:
+def encode_cursor(values: dict | list) -> str:
     return base64.urlsafe_b64encode(json.dumps(values, default=str).encode()).decode()
 
 
-def decode_cursor(token: str) -> dict | None:
+def decode_cursor(token: str) -> dict | list | None:
     try:
         return json.loads(base64.urlsafe_b64decode(token.encode()))
     except ValueError:
@@ -39,24 +39,70 @@ def decode_cursor(token: str) -> dict | None:
 
 
 def cursor_column(columns: Sequence[str]) -> Column:
-    """The cursor of every row, as a Column."""
-    return F.base64(F.to_json(F.struct(*columns)))
+    """The cursor of every row, as a Column: its order values as text, in a URL-safe token."""
+    values = F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    return F.translate(F.base64(values.cast("binary")), "+/\r\n", "-_")
+
+
+def cursor_values(token: Column, df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The order values that a token column holds, in the types of ``df``'s columns; nulls for what is no token."""
+    plain = F.try_to_binary(F.translate(token, "-_", "+/"), F.lit("base64")).cast("string")
+    values = F.from_json(plain, "array<string>")
+    return [F.get(values, F.lit(k)).try_cast(df.schema[c].dataType).alias(c) for k, c in enumerate(columns)]
+
+
+def read_cursor(token: str, df: DataFrame, columns: Sequence[str]) -> list | None:
+    """The order values of a token in the types of the columns, or None if it isn't one of these columns."""
+    values = decode_cursor(token)
+    if not isinstance(values, list) or len(values) != len(columns) or not all(v is None or isinstance(v, str) for v in values):
+        return None
+    typed = [F.lit(v).try_cast(df.schema[c].dataType) for v, c in zip(values, columns)]
+    found = list(df.sparkSession.range(1).select(*typed).first())
+    return None if any(v is not None and f is None for v, f in zip(values, found)) else found
 
 
 def _after(order: Sequence[tuple[str, str]], after: Sequence) -> Column:
-    """Rows strictly past ``after``: (a > x) or (a = x and b > y) ..., spelled out to push down."""
+    """Rows strictly past ``after``: (a > x) or (a = x and b > y) ..., spelled out to push down.
+
+    Nulls come first in ascending order and last in descending order.
+    """
     branches = []
     for i, ((name, direction), value) in enumerate(zip(order, after)):
-        past = F.col(name) > F.lit(value) if direction == "asc" else F.col(name) < F.lit(value)
-        same = [F.col(n) == F.lit(v) for (n, _), v in list(zip(order, after))[:i]]
+        c = F.col(name)
+        if value is None:
+            past = c.isNotNull() if direction == "asc" else F.lit(False)
+        else:
+            past = c > F.lit(value) if direction == "asc" else (c < F.lit(value)) | c.isNull()
+        same = [F.col(n).isNull() if v is None else F.col(n) == F.lit(v) for (n, _), v in list(zip(order, after))[:i]]
         branches.append(reduce(lambda a, b: a & b, [*same, past]))
-    return reduce(lambda a, b: a | b, branches)
+    return F.coalesce(reduce(lambda a, b: a | b, branches), F.lit(False))
+
+
+def cursor_page(df: DataFrame, order: Sequence[tuple[str, str]], token: str | None = None, n: object = None, default: int = PAGE_DEFAULT) -> DataFrame:
+    """The page after a token, with the ``cursor`` of each row: the last one leads to the next page.
+
+    ``order`` must be unique; its columns may be null. A token that is not one begins at the start.
+    """
+    names = [c for c, _ in order]
+    after = read_cursor(token, df, names) if token else None
+    return keyset_page(df, order, after, page_size(n, default)).withColumn("cursor", cursor_column(names))
+
+
+def page_cursors(df: DataFrame, order: Sequence[tuple[str, str]], n: int) -> DataFrame:
+    """page (from 1), rows and cursor of every page of ``n`` rows: the tokens that a reader would be given, for
+    readers that take pages side by side. Rows are numbered in a range-partitioned sort."""
+    names = [c for c, _ in order]
+    flipped = [F.col(c).asc() if d == "asc" else F.col(c).desc() for c, d in order]
+    numbered = with_row_index(df.select(*names), flipped, "__row")
+    page = (F.floor(F.col("__row") / n) + 1).alias("page")
+    last = F.max_by(cursor_column(names), "__row").alias("cursor")
+    return numbered.groupBy(page).agg(F.count(F.lit(1)).alias("rows"), last)
 
 
 def keyset_page(
     df: DataFrame, order: Sequence[tuple[str, str]], after: Sequence | None = None, n: object = None
 ) -> DataFrame:
-    """The next page after a key. ``order`` is (column, "asc" | "desc") and must be unique and not null."""
+    """The next page after a key. ``order`` is (column, "asc" | "desc") and must be unique."""
     if after is not None:
         if len(after) != len(order):
             raise ValueError("after must give one value per order column")
@@ -187,5 +233,29 @@ def list_notifications(
     return found.withColumn("retry_count", F.coalesce("retry_count", F.lit(0)))
 
 
+def list_recipients(recipients: DataFrame, event_type: str | None = None) -> DataFrame:
+    """Who is told of each kind of event: emails is empty where none are set. A kind without an entry gives no row."""
+    none = F.array().cast("array<string>")
+    found = list_by(recipients, event_type=event_type)
+    return found.select("event_type", F.coalesce("recipients", none).alias("emails"), "updated_at", "updated_by").orderBy("event_type")
+
+
+def list_tables(tables: DataFrame, catalog_id=None, key: str = "table_id") -> DataFrame:
+    """Tables, of one catalog if it is given."""
+    return list_by(tables, catalog_id=catalog_id).orderBy(key)
+
+
+def list_fields(fields: DataFrame, table_id, key: str = "field_id") -> DataFrame:
+    """Fields of a table."""
+    return lookup(fields, table_id=table_id).orderBy(key)
+
+
+def list_templates(templates: DataFrame, associations: DataFrame, catalog_id=None, key: str = "template_id") -> DataFrame:
+    """Templates, or those a catalog is associated with; associations to missing templates and repeated ones count for nothing."""
+    if catalog_id is not None:
+        templates = templates.join(lookup(associations, catalog_id=catalog_id).select(key), key, "left_semi")
+    return templates.orderBy(key)
+
+
 def anomalous(scored: DataFrame, scoring_id) -> DataFrame:
     return scored.where((F.col("scoring_id") == scoring_id) & F.col("is_anomaly"))

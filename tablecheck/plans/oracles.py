@@ -276,6 +276,9 @@ FROM (SELECT DISTINCT * FROM {{customer_dirty}}) WHERE {_BALANCE_OK} AND c_acctb
   strftime(o_orderdate, '%Y-%m') AS year_month, 'dataset#' || CAST(o_orderkey AS VARCHAR) AS resource_key FROM {orders}""",
     "q29_keyset_page": """SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_custkey < 100 OR (o_custkey = 100 AND o_orderkey > 500)
 ORDER BY o_custkey DESC, o_orderkey LIMIT 50""",
+    "q29b_audit_cursor": """SELECT page, count(*) AS rows, strftime(arg_max(ts, n), '%Y-%m-%d %H:%M:%S') AS last_ts, arg_max(audit_id, n) AS last_id
+FROM (SELECT *, (n - 1) // 50 + 1 AS page FROM (SELECT *, row_number() OVER (ORDER BY ts DESC NULLS LAST, audit_id) AS n FROM {audit})) GROUP BY page""",
+    "q29c_audit_page": "SELECT audit_id, user_id FROM {audit} ORDER BY ts DESC NULLS LAST, audit_id LIMIT 50 OFFSET 50",
     "q30_search_any": """SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM {customer} WHERE contains(lower(CAST(c_custkey AS VARCHAR)), 'furn')
   OR contains(lower(c_name), 'furn') OR contains(lower(CAST(c_nationkey AS VARCHAR)), 'furn') OR contains(lower(c_mktsegment), 'furn')""",
     "q31_offset_page": "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_custkey, o_orderkey LIMIT 25 OFFSET 150",
@@ -287,6 +290,11 @@ ORDER BY o_custkey DESC, o_orderkey LIMIT 50""",
 WHERE contains(o_orderpriority, 'HIGH') AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-01-01'""",
     "q32c_count_where": "SELECT count(*) FILTER (o_orderstatus = 'F') AS n FROM {orders}",
     "q32d_lookup": "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey = 77",
+    "q32e_tables_of_catalog": """SELECT *, CAST(NULL AS INT) AS asked FROM {registry_tables} UNION ALL SELECT *, 2 FROM {registry_tables} WHERE catalog_id = 2""",
+    "q32f_fields_of_table": "SELECT * FROM {registry_fields} WHERE table_id = 7",
+    "q32g_templates_of_catalog": """WITH t AS (SELECT n_nationkey AS template_id, n_name AS name FROM {nation}),
+a AS (SELECT DISTINCT c_custkey % 30 AS template_id, c_custkey % 11 AS catalog_id FROM {customer})
+SELECT *, CAST(NULL AS INT) AS asked FROM t UNION ALL SELECT t.*, a.catalog_id FROM t JOIN a USING (template_id) WHERE a.catalog_id IN (4, 77)""",
     "q33_versions": """SELECT report_id, version, edited_by,
   last_value(content IGNORE NULLS) OVER (PARTITION BY report_id ORDER BY version ROWS UNBOUNDED PRECEDING) AS content,
   max(version) OVER (PARTITION BY report_id) AS current_version, max(version) OVER (PARTITION BY report_id) + 1 AS next_version FROM {report_versions}""",
@@ -441,6 +449,14 @@ FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + 9007199
         f"n = 9007199254740993 AS {c}_eq, n <> 9007199254740993 AS {c}_ne, n > 9007199254740993 AS {c}_gt, "
         f"n < 9007199254740993 AS {c}_lt, n BETWEEN 9007199254740993 AND 9007199254740994 AS {c}_in" for c in "nt"
     ) + " FROM (SELECT o_orderkey, 9007199254740990 + o_orderkey % 7 AS n FROM {orders}) x",
+    "q59c_recipients": """WITH p AS (SELECT c_nationkey, min(c_name) AS first, max(c_name) AS last FROM {customer} WHERE c_acctbal > 0 GROUP BY c_nationkey),
+k AS (SELECT n_name AS event_type, CASE WHEN n_nationkey % 4 <> 0 THEN concat_ws(',', first, last) ELSE '' END AS emails, first AS updated_by
+  FROM {nation} LEFT JOIN p ON n_nationkey = c_nationkey)
+SELECT CAST(NULL AS VARCHAR) AS asked, * FROM k UNION ALL SELECT 'CHINA', * FROM k WHERE event_type = 'CHINA'""",
+    "q64c_long_numbers": """SELECT o_orderkey, CASE f WHEN 2 THEN NOT minus ELSE v > 90071992547409935 END AS above, CASE f WHEN 2 THEN minus ELSE v < 90071992547409935 END AS below,
+  f < 2 AND v BETWEEN 90071992547409930 AND 90071992547409945 AS inside, f = 2 AND NOT minus AND tail > 500 AS huge, f = 2 AND minus AND tail > 500 AS deep
+FROM (SELECT o_orderkey, o_orderkey % 3 AS f, o_orderkey % 2 = 0 AS minus, o_orderkey % 1000 AS tail,
+  CASE o_orderkey % 3 WHEN 0 THEN (9007199254740990 + o_orderkey % 7) * 10 + o_orderkey % 10 ELSE (9007199254740990 + o_orderkey % 10) * 10 END AS v FROM {orders}) x""",
     "q64_field_value_types": """SELECT event_id, user_id > 90 AS above, ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15' AS in_week,
   event_type IN ('view', 'click') AS kinds FROM {events}""",
 }

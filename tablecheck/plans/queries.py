@@ -458,6 +458,23 @@ def q29_keyset_page(spark, d):
     return listing.keyset_page(orders, order, after=[100, 500], n=50)
 
 
+@query
+def q29b_audit_cursor(spark, d):
+    """Where every page of the audit trail ends, read back from its cursor."""
+    audit = table(spark, d, "audit")
+    pages = audit_ops.audit_pages(audit, "ts", "audit_id")
+    ts, tie = listing.cursor_values(F.col("cursor"), audit, ["ts", "audit_id"])
+    return pages.select("page", "rows", F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("last_ts"), tie.alias("last_id"))
+
+
+@query
+def q29c_audit_page(spark, d):
+    """The second page of audit rows, after the cursor that the first one gives."""
+    audit = table(spark, d, "audit").select("audit_id", "ts", "user_id")
+    first = audit_ops.audit_page(audit, None, None, "ts", "audit_id").collect()
+    return audit_ops.audit_page(audit, first[-1]["cursor"], None, "ts", "audit_id").select("audit_id", "user_id")
+
+
 @query
 def q30_search_any(spark, d):
     found = listing.search_any(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "fURn")
@@ -516,6 +533,41 @@ def table_key(spark, d) -> int:
     return listing.lookup(table(spark, d, "orders"), o_orderkey=77).first()["o_custkey"]
 
 
+@query
+def q32e_tables_of_catalog(spark, d):
+    """All tables, and again those of one catalog."""
+    tables = table(spark, d, "registry_tables")
+    every = listing.list_tables(tables).withColumn("asked", F.lit(None).cast("int"))
+    return every.unionByName(listing.list_tables(tables, 2).withColumn("asked", F.lit(2)))
+
+
+@query
+def q32f_fields_of_table(spark, d):
+    return listing.list_fields(table(spark, d, "registry_fields"), 7)
+
+
+@query
+def q32g_templates_of_catalog(spark, d):
+    """All templates, those of one catalog, and of one without associations."""
+    templates = table(spark, d, "nation").select(F.col("n_nationkey").alias("template_id"), F.col("n_name").alias("name"))
+    associations = table(spark, d, "customer").select((F.col("c_custkey") % 30).alias("template_id"), (F.col("c_custkey") % 11).alias("catalog_id"))
+    asked = lambda c: listing.list_templates(templates, associations, c).withColumn("asked", F.lit(c).cast("int"))
+    return asked(None).unionByName(asked(4)).unionByName(asked(77))
+
+
+@query
+def q59c_recipients(spark, d):
+    """Who is told of each kind of event, of one kind, and of one that nobody set up."""
+    people = table(spark, d, "customer").where("c_acctbal > 0").groupBy("c_nationkey").agg(F.min("c_name").alias("first"), F.max("c_name").alias("last"))
+    kinds = table(spark, d, "nation").join(people, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
+        F.col("n_name").alias("event_type"), F.when(F.col("n_nationkey") % 4 != 0, F.array("first", "last")).alias("recipients"),
+        F.lit(None).cast("timestamp").alias("updated_at"), F.col("first").alias("updated_by"),
+    )
+    found = [listing.list_recipients(kinds, e).withColumn("asked", F.lit(e).cast("string")) for e in (None, "CHINA", "ATLANTIS")]
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.select("asked", "event_type", F.array_join("emails", ",").alias("emails"), "updated_by")
+
+
 # ---- versions and state -------------------------------------------------------------
 
 
@@ -1067,3 +1119,22 @@ def q64b_big_numbers(spark, d):
                                 ("lt", "less_than", str(BIG)), ("in", "between", f"{BIG},{BIG + 1}"))
     ]
     return ev.rule_flags(orders, rules).select("o_orderkey", *[r.id for r in rules])
+
+
+@query
+def q64c_long_numbers(spark, d):
+    """Fractions past 2**53, exponents and numbers of 40 digits, all as text, against bounds of that kind."""
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 3 == 0, F.concat((F.lit(2**53 - 2) + key % 7).cast("string"), F.lit("."), (key % 10).cast("string")))
+        .when(key % 3 == 1, F.concat(F.lit("900719925474099."), (key % 10).cast("string"), F.lit("e1")))
+        .otherwise(F.concat(F.when(key % 2 == 0, "-").otherwise(""), F.lit("1234567890123456789012345678901234567"), F.lpad((key % 1000).cast("string"), 3, "0")))
+    )
+    rules = [
+        Rule(name, "", conditions=({"field": "t", "operator": op, "value": value},))
+        for name, op, value in (("above", "greater_than", "9007199254740993.5"), ("below", "less_than", "9007199254740993.5"),
+                                ("inside", "between", "9007199254740993,9007199254740994.5"),
+                                ("huge", "greater_than", "1234567890123456789012345678901234567500"),
+                                ("deep", "less_than", "-1.2345678901234567890123456789012345675e39"))
+    ]
+    return ev.rule_flags(table(spark, d, "orders").select("o_orderkey", text.alias("t")), rules).select("o_orderkey", *[r.id for r in rules])
