@@ -48,6 +48,8 @@ TILE = 1000
 FREQUENT = 1 << 18
 COUNTED = 1 << 20
 PARITY = 8
+# Words of parity bits that tiles look at.
+LONGEST = 1024
 # Pairs of one key in a piece, for the exact comparison.
 PIECE = 256
 # Groups of a part of a list that is known to be long.
@@ -60,7 +62,7 @@ REMEMBER = 300_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Known(dict):
+class Known(dict):
     """Hashes of words, made when first asked for."""
 
     def __missing__(self, word: bytes) -> int:
@@ -68,7 +70,7 @@ class _Known(dict):
         return h
 
 
-def shingle_sets(texts: list[bytes | None], known: _Known, words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], known: Known, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out = []
     for text in texts:
@@ -136,7 +138,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 def _counts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shingle, n) of the shingles that a task met in more than one text; past COUNTED of them the rarest go."""
-        known = _Known()
+        known = Known()
         keys, n, least = np.zeros(0, np.uint64), np.zeros(0, np.int64), 1
         for batch in batches:
             for part in slices(batch.column(0)):
@@ -172,7 +174,7 @@ def sketch_column(text: Column, words: int, frequent: np.ndarray, least: Fractio
     """Struct of the set's size, hash (mark), prefix, cuts of the prefix shingles' lists, and parity bits."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _Known()
+        known = Known()
         for texts in batches:
             n, marks, prefixes, parities = [], [], [], []
             for part in slices(texts):
@@ -342,7 +344,8 @@ def _tiles(least: Fraction):
             if len(rows) > 1:
                 _, i, j, own, marks, roots, n, bits = zip(*rows)
                 own, marks, roots, n = np.array(own), np.array(marks), np.array(roots), np.array(n)
-                bits = np.array([folded(np.array(x), PARITY) for x in bits])
+                width = min(LONGEST, *map(len, bits))
+                bits = np.array([folded(np.array(x), width) for x in bits])
                 for k in range(1, len(rows)):
                     near = (roots[:k] != roots[k]) & (np.minimum(n[:k], n[k]) * q >= p * np.maximum(n[:k], n[k]))
                     if i[0] != j[0]:
@@ -365,14 +368,15 @@ def _tiles(least: Fraction):
     return run
 
 
-def _long_pairs(members: DataFrame, roots: DataFrame, least: Fraction, tile: int) -> DataFrame:
-    """Pairs of marks that may link of long lists (list, mark, n, parity) that are in different components."""
+def long_pairs(members: DataFrame, of: DataFrame, roots: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
+    """Pairs of marks that may link of lists (list, mark) whose marks (mark, n, parity) are in different components."""
     labelled = members.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     several = labelled.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("count"))
-    open_ = labelled.join(several.where("x <> y").select("list", "count"), "list")
+    open_ = labelled.join(several.where("x <> y").select("list", "count"), "list").join(of, "mark")
     # pieces by size class: two sets that link have equal or neighbouring classes
     step = max(1e-6, 1.0001 * float(np.log(float(1 / least))))
-    open_ = open_.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step)).withColumn("part", F.pmod(F.xxhash64("mark"), F.ceil(F.col("count") / tile)))
+    part = F.pmod(F.xxhash64("mark"), F.ceil(F.col("count") / tile))
+    open_ = written(open_.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step)).withColumn("part", part))
     own = F.struct("class", "part")
     pieces = open_.select("list", "class", "part").distinct()
     near = pieces.alias("x").join(pieces.alias("y"), "list").where("abs(x.class - y.class) <= 1").select(
@@ -386,7 +390,14 @@ def _long_pairs(members: DataFrame, roots: DataFrame, least: Fraction, tile: int
     )
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
-    return tiles.mapInArrow(tidy(_tiles(least)), "a long, b long").distinct()
+    pairs = tiles.mapInArrow(tidy(_tiles(least)), "a long, b long").distinct()
+    return sifted(with_sizes(pairs, of), least)
+
+
+def with_sizes(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b) of marks with what ``sifted`` looks at."""
+    by = lambda s: of.select(F.col("mark").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
+    return pairs.join(by("a"), "a").join(by("b"), "b").withColumnsRenamed({"a": "mark_a", "b": "mark_b"})
 
 
 def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_: int = LIST, tile: int = TILE) -> DataFrame:
@@ -418,46 +429,35 @@ def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_:
     apart = pairs.join(side("a"), "a").join(side("b"), "b")
     within = side("a").join(side("b"), F.col("a") == F.col("b")).where("mark_a < mark_b")
     marks = sifted(apart.unionByName(within), least)
-    found = connecting(marks, sets_of(_ends(marks)), least)
+    found = connecting(marks, sets_of(ends(marks)), least)
     long = listed.where(F.col("kind") == LONG).select(F.col("a").alias("list"), F.col("b").alias("group"))
     if long.isEmpty():
         return found
     roots = written(components(found).toDF("mark", "root"))
-    more = _long_pairs(long.join(of, "group").select("list", "mark", "n", "parity"), roots, least, tile)
-    by = lambda s: members.select(F.col("mark").alias(s), F.col("mark").alias(f"mark_{s}"), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
-    more = sifted(more.join(by("a"), "a").join(by("b"), "b"), least)
-    return found.unionByName(connecting(more, sets_of(_ends(more)), least))
+    more = long_pairs(long.join(members.select("group", "mark"), "group").select("list", "mark"), members.select("mark", "n", "parity"), roots, least, tile)
+    return found.unionByName(connecting(more, sets_of(ends(more)), least))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
+def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
 
 
-def ngram_join(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    group: int = GROUP, list_: int = LIST, tile: int = TILE, frequent: int = FREQUENT,
-) -> DataFrame:
-    """One row per document: its id, n_shingles, mark (the set's hash) and component_id."""
-    least = Fraction(str(similarity))
-    docs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranks = frequent_shingles(docs, "text", words, frequent)
-    sketch = sketch_column(F.col("text"), words, ranks, least, list_).alias("s")
-    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch).select("doc_id", "text_hash", "s.*"))
-    filled = rows.where("n > 0")
-    keys = written(filled.select("mark", "n", "prefix", "cuts", "parity").dropDuplicates(["mark"]))
+def candidate_sets(docs: DataFrame, rows: DataFrame, words: int):
+    """A function that gives a table (mark, shingles) for a table of marks, of documents (doc_id, text) with their ``rows``
+    (doc_id, text_hash, mark)."""
 
     def sets_of(marks: DataFrame) -> DataFrame:
         """The sets of the marks, made from one text of each; a filter of bits picks the texts, and the marks decide."""
         place = lambda h, id: F.pmod(F.xxhash64(h, id), F.lit(FILTER))
-        one = filled.join(marks, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("text_hash", "doc_id")).alias("r"))
+        one = rows.join(marks, "mark", "left_semi").groupBy("mark").agg(F.min(F.struct("text_hash", "doc_id")).alias("r"))
         bits = one.select(place(F.col("r.text_hash"), F.col("r.doc_id")).alias("at"))
         bits = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
-        found = bits.toArrow()  # at most FILTER / 64 rows
+        held = bits.toArrow()  # at most FILTER / 64 rows
         chosen = np.zeros(FILTER // 64, np.uint64)
-        chosen[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        chosen[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _Known()
+            known = Known()
             for batch in batches:
                 at = batch.column(1).to_numpy().astype(np.uint64)
                 picked = chosen[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
@@ -466,10 +466,26 @@ def ngram_join(
                     marks = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(sets, pa.binary())], names=["mark", "shingles"])
 
-        rows = docs.select("text", place(F.xxhash64("text"), F.col("doc_id")).alias("at")).mapInArrow(tidy(run), "mark long, shingles binary")
-        return written(rows.join(marks, "mark", "left_semi").dropDuplicates(["mark"]))
+        found = docs.select("text", place(F.xxhash64("text"), F.col("doc_id")).alias("at")).mapInArrow(tidy(run), "mark long, shingles binary")
+        return written(found.join(marks, "mark", "left_semi").dropDuplicates(["mark"]))
+
+    return sets_of
+
+
+def ngram_join(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
+    group: int = GROUP, list_: int = LIST, tile: int = TILE, frequent: int = FREQUENT,
+) -> DataFrame:
+    """One row per document: its id, n_shingles, mark (the set's hash) and component_id."""
+    least = Fraction(str(similarity))
+    docs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    ranks = frequent_shingles(docs, "text", words, frequent)
+    sketch = sketch_column(F.col("text"), words, ranks, least, list_).alias("s")
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch).select("doc_id", "text_hash", "s.*"))
+    filled = rows.where("n > 0")
+    keys = written(filled.select("mark", "n", "prefix", "cuts", "parity").dropDuplicates(["mark"]))
 
-    found = links(keys, sets_of, least, group, list_, tile)
+    found = links(keys, candidate_sets(docs, filled, words), least, group, list_, tile)
     roots = components(found).toDF("mark", "root")
     own = filled.groupBy("mark").agg(F.min("doc_id").alias("least")).join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     own = written(own)
