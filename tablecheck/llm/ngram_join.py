@@ -12,8 +12,9 @@ shingles as bits), and confirmed on the exact sets.
 
 Nothing pairs up a long list. A group of more than GROUP members enters lists member by member. A list longer than LIST is
 dealt in parts of about PART groups where its shingle is known to be frequent; all are compared with the first of their part, and those
-with the first of the list. If that leaves the list in several components, it is cut into tiles by
-size, and every two tiles whose sizes are near enough are compared by size, component and parity bits in one task.
+with the first of the list. If that leaves the list in several components, it is cut into pieces by
+size, and every two pieces whose sizes are near enough are compared by size, component, parity bits and, where these
+leave it open, exactly, in one task.
 Which shingles count as frequent (FREQUENT at most, from counts in every task) bears on the work, never on the result.
 
 Null texts and texts without words have an empty set, and link with nothing, not even one another. A very long text is a long
@@ -42,8 +43,8 @@ SIMILARITY = 0.9
 # Members of a group, and groups of a list, that are paired up directly.
 GROUP = 32
 LIST = 128
-# Keys of a tile of a long list.
-TILE = 1000
+# Bytes of sets in a piece of a long list; a tile has two pieces.
+TILE = 8 << 20
 # Frequent shingles that are told to every task, and the shingles a task counts before it drops its rarest.
 FREQUENT = 1 << 18
 COUNTED = 1 << 20
@@ -333,32 +334,46 @@ def connecting(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return written(found.unionByName(similar(written(rest), sets, least)))
 
 
-def _tiles(least: Fraction):
+def tile_links(marks: list[int], own: list[str], roots: list[int], sets: list[np.ndarray], between: bool, least: Fraction) -> list[tuple[int, int]]:
+    """Links that connect the similar ones of a tile beyond their ``roots``, the components they are in already; only
+    those of different ``own`` are compared if ``between``. Exact sets are compared where sizes and parity bits allow it."""
     p, q = least.numerator, least.denominator
+    bits = [parity_of(x) for x in sets]
+    width = min(LONGEST, *map(len, bits))
+    bits = np.array([folded(x, width) for x in bits])
+    n, root = np.array([len(x) for x in sets]), np.unique(roots, return_inverse=True)[1]
+    side = np.unique(own, return_inverse=True)[1]
+    out = []
+    for k in range(1, len(sets)):
+        near = (root[:k] != root[k]) & (np.minimum(n[:k], n[k]) * q >= p * np.maximum(n[:k], n[k]))
+        if between:
+            near &= side[:k] != side[k]
+        at = np.flatnonzero(near)
+        differ = np.bitwise_count((bits[at] ^ bits[k]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        for m in at[differ * (p + q) <= (n[at] + n[k]) * (q - p)]:
+            if root[m] != root[k]:
+                both = len(np.intersect1d(sets[m], sets[k], assume_unique=True))
+                if both * q >= p * (n[m] + n[k] - both):
+                    out.append((marks[m], marks[k]))
+                    root[root == root[k]] = root[m]
+    return out
 
+
+def _tiles(least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that may be similar of rows (list, i, j, own, mark, root, n, parity), sorted by the first three."""
+        """Links of the tiles of rows (list, i, j, own, mark, root, shingles), sorted by the first three."""
 
         def found(rows: list[tuple]) -> pa.RecordBatch:
-            pairs = []
+            links = []
             if len(rows) > 1:
-                _, i, j, own, marks, roots, n, bits = zip(*rows)
-                own, marks, roots, n = np.array(own), np.array(marks), np.array(roots), np.array(n)
-                width = min(LONGEST, *map(len, bits))
-                bits = np.array([folded(np.array(x), width) for x in bits])
-                for k in range(1, len(rows)):
-                    near = (roots[:k] != roots[k]) & (np.minimum(n[:k], n[k]) * q >= p * np.maximum(n[:k], n[k]))
-                    if i[0] != j[0]:
-                        near &= own[:k] != own[k]
-                    at = np.flatnonzero(near)
-                    differ = np.bitwise_count((bits[at] ^ bits[k]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    at = at[differ * (p + q) <= (n[at] + n[k]) * (q - p)]
-                    pairs += [(min(m, marks[k]), max(m, marks[k])) for m in marks[at]]
-            return pa.RecordBatch.from_arrays([pa.array([int(x[c]) for x in pairs], pa.int64()) for c in (0, 1)], names=["a", "b"])
+                _, i, j, own, marks, roots, sets = zip(*rows)
+                links = tile_links(marks, own, roots, sets, i[0] != j[0], least)
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(6)]
+            for row in zip(*[c.to_pylist() for c in batch.columns[:6]], sets):
                 if held and held[0][:3] != row[:3]:
                     yield found(held)
                     held = []
@@ -368,30 +383,31 @@ def _tiles(least: Fraction):
     return run
 
 
-def long_pairs(members: DataFrame, of: DataFrame, roots: DataFrame, least: Fraction, tile: int = TILE) -> DataFrame:
-    """Pairs of marks that may link of lists (list, mark) whose marks (mark, n, parity) are in different components."""
+def long_links(members: DataFrame, of: DataFrame, roots: DataFrame, sets_of, least: Fraction, tile: int = TILE) -> DataFrame:
+    """(a, b): links that connect the marks of long lists (list, mark) beyond their components; ``of`` has (mark, n).
+
+    A list in several components is cut by size class, and a class into pieces of about ``tile`` bytes of sets; two pieces of equal or
+    neighbouring classes are one tile. A tile returns a spanning forest of its links.
+    """
     labelled = members.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    several = labelled.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("count"))
-    open_ = labelled.join(several.where("x <> y").select("list", "count"), "list").join(of, "mark")
-    # pieces by size class: two sets that link have equal or neighbouring classes
+    several = labelled.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
     step = max(1e-6, 1.0001 * float(np.log(float(1 / least))))
-    part = F.pmod(F.xxhash64("mark"), F.ceil(F.col("count") / tile))
-    open_ = written(open_.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step)).withColumn("part", part))
-    own = F.struct("class", "part")
-    pieces = open_.select("list", "class", "part").distinct()
-    near = pieces.alias("x").join(pieces.alias("y"), "list").where("abs(x.class - y.class) <= 1").select(
-        "list", F.struct("x.class", "x.part").alias("own"), F.struct("y.class", "y.part").alias("other")
-    )
-    tiles = open_.withColumn("own", own).join(near, ["list", "own"])
-    text = lambda c: F.concat_ws(":", c["class"], c["part"])
-    tiles = tiles.select(
-        "list", text(F.least("own", "other")).alias("i"), text(F.greatest("own", "other")).alias("j"), text(F.col("own")).alias("own"),
-        "mark", "root", "n", "parity",
-    )
+    open_ = labelled.join(several, "list").join(of, "mark").withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / step))
+    open_ = written(open_.select("list", "mark", "root", "n", "class"))
+    cuts = open_.groupBy("list", "class").agg(F.ceil((F.sum("n") * 8 + 1) / tile).alias("cuts"))
+    # two sets that link have equal or neighbouring classes
+    near = cuts.alias("x").join(cuts.alias("y"), "list").where("abs(x.class - y.class) <= 1")
+    piece = lambda s: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{s}.cuts") - 1))
+    near = near.select("list", F.col("x.class").alias("class"), F.col("y.class").alias("other"), F.col("x.cuts").alias("cuts"), piece("y").alias("part"))
+    own = F.pmod(F.xxhash64("mark"), F.col("cuts"))
+    tiles = open_.join(near, ["list", "class"]).withColumns({
+        "x": F.concat_ws(":", F.col("class"), own), "y": F.concat_ws(":", F.col("other"), F.col("part"))
+    })
+    tiles = tiles.select("list", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("x").alias("own"), "mark", "root")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = tiles.join(sets_of(open_.select("mark").distinct()), "mark").select("list", "i", "j", "own", "mark", "root", "shingles")
     tiles = tiles.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
-    pairs = tiles.mapInArrow(tidy(_tiles(least)), "a long, b long").distinct()
-    return sifted(with_sizes(pairs, of), least)
+    return written(tiles.mapInArrow(tidy(_tiles(least)), "a long, b long"))
 
 
 def with_sizes(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -434,8 +450,8 @@ def links(keys: DataFrame, sets_of, least: Fraction, group: int = GROUP, list_:
     if long.isEmpty():
         return found
     roots = written(components(found).toDF("mark", "root"))
-    more = long_pairs(long.join(members.select("group", "mark"), "group").select("list", "mark"), members.select("mark", "n", "parity"), roots, least, tile)
-    return found.unionByName(connecting(more, sets_of(ends(more)), least))
+    in_long = long.join(members.select("group", "mark"), "group").select("list", "mark")
+    return found.unionByName(long_links(in_long, members.select("mark", "n"), roots, sets_of, least, tile))
 
 
 def ends(pairs: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def test_stage_near_dedup_matches_brute_force_jaccard(spark):
     assert len(set(want)) < len(set(by_pairs(set(marks)).values()))  # three bits leave links out
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert got == dict(enumerate(want))
-    cut = near_copies.near_copies(docs, tile=2)  # bands of many, in many tiles
+    cut = near_copies.near_copies(docs, tile=4000)  # bands of many, in many tiles
     assert {r.doc_id: r.component_id for r in cut.collect()} == dict(enumerate(want))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(want))
     assert near_copies.keep_one_copy(docs.limit(0)).count() == 0

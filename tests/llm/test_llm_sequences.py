@@ -262,7 +262,7 @@ def copies(rng, n=120):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"group": 1, "list_": 2, "tile": 2}, {"group": 2, "list_": 5, "tile": 4, "frequent": 20}])
+@pytest.mark.parametrize("limits", [{}, {"group": 1, "list_": 2, "tile": 700}, {"group": 2, "list_": 5, "tile": 3000, "frequent": 20}])
 def test_join_matches_all_pairs(spark, limits):
     docs = copies(random.Random(17))
     found = ngram_join.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), **limits)
