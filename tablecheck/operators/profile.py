@@ -87,35 +87,38 @@ def infer_column_types(df: DataFrame, columns: Sequence[str], scope: str = "full
     Blank values are ignored; no values gives string. In order: all boolean words or 0/1 ->
     boolean, all integers -> integer, all numbers -> float, at least 80 % dates -> date, else
     string. ``scope="preview"`` tests dates on the first 20 values of a preview frame.
+
+    Columns become rows (place, value), so one classifier serves any number of columns, and what is
+    shuffled is a row of counts for each task and column.
     """
-    values = df.select(*[S.strip(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)])
-    classes = values.select(*[_value_class(F.col(f"v{i}")).alias(f"c{i}") for i in range(len(columns))])
-    aggs = []
-    for i in range(len(columns)):
-        cls = F.col(f"c{i}")
-        aggs.append(F.count(cls).alias(f"n{i}"))
-        aggs += [F.count_if(cls == k).alias(f"{k}{i}") for k in "BDIFT"]
-        if scope == "preview":
-            first = F.slice(F.collect_list(cls), 1, DATE_SAMPLE)
-            aggs.append(F.size(first).alias(f"sn{i}"))
-            aggs.append(F.size(F.filter(first, lambda x: x == "T")).alias(f"st{i}"))
+    values = df.select(*[S.strip(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns)])
     if scope == "preview":
-        classes = classes.coalesce(1)  # a preview frame is as small as its caller asked, and in order
-    one = classes.agg(*aggs)
-    rows = []
-    for i, name in enumerate(columns):
-        n, b, d, k, f, t = (F.col(f"{x}{i}") for x in "nBDIFT")
-        dates, sampled = (F.col(f"st{i}"), F.col(f"sn{i}")) if scope == "preview" else (t, n)
-        kind = (
-            F.when(n == 0, "string")
-            .when(b + d == n, "boolean")
-            .when(d + k == n, "integer")
-            .when(d + k + f == n, "float")
-            .when(dates >= sampled * DATE_SHARE, "date")
-            .otherwise("string")
-        )
-        rows.append(F.struct(F.lit(name).alias("column_name"), kind.alias("inferred_type")))
-    return one.select(F.inline(F.array(*rows)))
+        values = values.coalesce(1)  # a preview frame is as small as its caller asked, and in order
+    values = values.withColumn("row", F.monotonically_increasing_id())
+    long = values.unpivot(["row"], [str(i) for i in range(len(columns))], "place", "value")
+    # one empty value of each column, for frames without rows
+    empty = df.sparkSession.range(0, 1, 1, 1).select(F.lit(0).cast("bigint"), F.explode(F.array(*[F.lit(str(i)) for i in range(len(columns))])), F.lit(""))
+    classes = long.union(empty).select("row", "place", _value_class(F.col("value")).alias("cls"))
+    cls = F.col("cls")
+    aggs = [F.count(cls).alias("n"), *[F.count_if(cls == k).alias(k) for k in "BDIFT"]]
+    if scope == "preview":
+        seen = F.sort_array(F.collect_list(F.when(cls.isNotNull(), F.struct("row", "cls"))))
+        aggs.append(F.slice(seen, 1, DATE_SAMPLE).alias("first"))
+    one = classes.groupBy("place").agg(*aggs)
+    n, b, d, k, f, t = (F.col(x) for x in "nBDIFT")
+    dates, sampled = t, n
+    if scope == "preview":
+        dates, sampled = F.size(F.filter("first", lambda x: x["cls"] == "T")), F.size("first")
+    kind = (
+        F.when(n == 0, "string")
+        .when(b + d == n, "boolean")
+        .when(d + k == n, "integer")
+        .when(d + k + f == n, "float")
+        .when(dates >= sampled * DATE_SHARE, "date")
+        .otherwise("string")
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    return one.select(F.element_at(names, F.col("place").cast("int") + 1).alias("column_name"), kind.alias("inferred_type"))
 
 
 def check_schema(df: DataFrame, template: Sequence[dict]) -> DataFrame:

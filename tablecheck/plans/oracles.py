@@ -345,6 +345,8 @@ h0 AS MATERIALIZED (SELECT l_linenumber, x, x AS h FROM (
 SELECT l_linenumber, count(*) AS rows, round(avg(list_sum(list_transform(range(1, 5), lambda i: (h[i] - x[i]) ** 2)) / 4), 3) AS mean_error
 FROM h6 GROUP BY l_linenumber""",
     "q42_export_rows": f"""SELECT record_id, reconstruction_error, {_SEVERITY} AS severity, field, CAST(scoring_id AS VARCHAR) AS scoring_id FROM {{scored}} WHERE {_ANOMALY}""",
+    "q42b_export_long": f"""SELECT record_id, reconstruction_error, {_SEVERITY} AS severity, 'field' AS field, field AS value FROM {{scored}} WHERE {_ANOMALY}
+UNION ALL SELECT record_id, reconstruction_error, {_SEVERITY} AS severity, 'scoring_id', CAST(scoring_id AS VARCHAR) FROM {{scored}} WHERE {_ANOMALY}""",
     "q43_split_ordered": """WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, count(*) OVER () AS total FROM {lineitem})
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM i WHERE n < floor(total * 0.8)""",

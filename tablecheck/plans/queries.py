@@ -30,7 +30,7 @@ from tablecheck.operators.scale import scaled, scaler_stats
 from tablecheck.operators.state import delete_keys, latest_per_key, update_columns, upsert
 from tablecheck.plans.views import table
 from tablecheck.sources.readers import check_files
-from tablecheck.sources.writers import anomaly_fields, export_rows
+from tablecheck.sources.writers import anomaly_fields, export_long, export_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -762,6 +762,12 @@ def q42_export_rows(spark, d):
     return export_rows(rows, anomaly_fields(rows))
 
 
+@query
+def q42b_export_long(spark, d):
+    scored = classify(table(spark, d, "scored"), 0.5).where("is_anomaly")
+    return export_long(scored.withColumn("field_values", S.field_values(["field", "scoring_id"])))
+
+
 @query
 def q43_split_ordered(spark, d):
     first, _ = split_ordered(table(spark, d, "lineitem").select(*LINE_ORDER), LINE_ORDER, 0.8)

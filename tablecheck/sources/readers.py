@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecheck import schemas
 from tablecheck.functions.rules import Rule
+from tablecheck.sources.folders import list_files
 
 # ---- fixed values -------------------------------------------------------------------
 MAX_FILE_BYTES = 500 * 1024 * 1024
@@ -114,12 +112,5 @@ def check_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
 
 
 def admit_files(spark: SparkSession, glob: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Landed files with a verdict each. Only names and sizes are read, never the content.
-
-    The file source skips empty files, so the names it listed are joined back: a name without
-    a size is an empty file.
-    """
-    sized = spark.read.format("binaryFile").load(glob).select("path", "length")
-    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in sized.inputFiles()]
-    named = spark.createDataFrame(listed, "path string").join(sized, "path", "left")
-    return check_files(named.select("path", F.coalesce("length", F.lit(0)).alias("length")), max_bytes)
+    """Landed files with a verdict each, empty files too. Only names and sizes are read, never the content."""
+    return check_files(list_files(spark, glob), max_bytes)

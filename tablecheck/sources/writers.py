@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tablecheck.sources.readers import CSV
 
+# Columns an export may have for fields; more fields make long rows.
+WIDEST = 10_000
 
 
 def write_results(results: DataFrame, path: str, run_id: str) -> None:
@@ -87,23 +89,33 @@ def append_run_state(state: DataFrame, path: str) -> None:
     state.write.mode("append").parquet(path)
 
 
-def export_anomalies(classified: DataFrame, out: str, fields: list[str] | None = None) -> list[str] | None:
+def export_anomalies(classified: DataFrame, out: str, fields: list[str] | None = None, widest: int = WIDEST) -> list[str] | None:
     """Anomalous records as CSV: record_id, reconstruction_error, severity and one column per
     field. Fields default to every key that occurs, in order; a field a record lacks is empty.
+    Records with more than ``widest`` different fields are written in long rows instead, one for each field.
     Nothing is written when there is no anomaly. Returns the field columns.
     """
     rows = classified.where("is_anomaly")
     if rows.isEmpty():
         return None
-    names = fields if fields is not None else anomaly_fields(rows)
-    export_rows(rows, names).write.mode("overwrite").options(**CSV).csv(out)
-    return names
+    names = fields if fields is not None else anomaly_fields(rows, widest)
+    wide = names is not None
+    (export_rows(rows, names) if wide else export_long(rows)).write.mode("overwrite").options(**CSV).csv(out)
+    return names if wide else ["field", "value"]
 
 
-def anomaly_fields(rows: DataFrame) -> list[str]:
-    """Keys that occur in field_values: as many as the dataset has columns."""
-    keys = rows.select(F.explode(F.map_keys("field_values")).alias("k")).distinct().collect()
-    return sorted(r["k"] for r in keys)
+def anomaly_fields(rows: DataFrame, widest: int = WIDEST) -> list[str] | None:
+    """Keys that occur in field_values, in order; None if there are more than ``widest``.
+
+    Tasks keep different keys only, and no more than ``widest`` and one reach the driver, however many rows or keys there are.
+    """
+    keys = rows.select(F.explode(F.map_keys("field_values")).alias("k")).distinct().limit(widest + 1).collect()
+    return sorted(r["k"] for r in keys) if len(keys) <= widest else None
+
+
+def export_long(rows: DataFrame) -> DataFrame:
+    """A row for each field of a record; a record without fields has one row, with neither field nor value."""
+    return rows.select("record_id", "reconstruction_error", "severity", F.explode_outer("field_values").alias("field", "value"))
 
 
 def export_rows(rows: DataFrame, names: list[str]) -> DataFrame:

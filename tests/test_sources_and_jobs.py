@@ -1,6 +1,7 @@
 import glob
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tablecheck.operators.model import Model
 from tablecheck.operators.session import use_checkpoints
 from tablecheck.plans import jobs
 from tablecheck.sources import readers, writers
+from tablecheck.sources.folders import alternatives, list_files, name_pattern
 
 
 @pytest.fixture
@@ -73,8 +75,28 @@ def test_file_admission(spark, tmp_path):
         "a.csv": (True, "", "text/csv"), "b.PARQUET": (True, "", binary), "c.txt": (False, "file type not allowed", binary),
         "d.csv": (False, "file is empty", "text/csv"), "e.csv": (False, "file too large", "text/csv"), "f": (False, "file type not allowed", binary),
     }
-    plan = files._jdf.queryExecution().executedPlan().toString()
-    assert "path#" in plan and "content#" not in plan
+
+
+def test_listing_of_folders(spark, tmp_path):
+    tree = {"2024/01/a.csv": 3, "2024/01/b c%20.csv": 0, "2024/02/deep/x/c.parquet": 7, "2024/02/_hidden": 1, "2023/01/d.csv": 1, "top.csv": 2}
+    for name, size in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * size)
+
+    def found(glob):
+        return sorted((r["path"].removeprefix(f"file:{tmp_path}/"), r["length"]) for r in list_files(spark, f"{tmp_path}/{glob}").collect())
+
+    shown = sorted((k, v) for k, v in tree.items() if "_hidden" not in k)
+    assert found("*") == found("") == found("{*,top.csv}") == shown
+    assert found("2024") == found("2024/") == found("202[4-9]/*") == [x for x in shown if x[0].startswith("2024")]
+    assert found("20??/01/*.csv") == [("2023/01/d.csv", 1), ("2024/01/a.csv", 3), ("2024/01/b c%20.csv", 0)]
+    assert found("{2023,2024}/0[^1]") == [("2024/02/deep/x/c.parquet", 7)]
+    assert found("top.csv") == [("top.csv", 2)] and found("none/*") == found("*/01/z*") == []
+
+
+def test_names_of_globs():
+    assert set(alternatives("a{b,c{d,}}e")) == {"abe", "acde", "ace"}
+    assert re.fullmatch(name_pattern("a.*[0-9]?"), "a.x7z") and not re.fullmatch(name_pattern("a.*"), "ab")
 
 
 @pytest.mark.parametrize("name", ["d.parquet", "d.csv"])
@@ -104,6 +126,12 @@ def test_anomaly_export(spark, tmp_path):
     nothing = str(tmp_path / "none")
     assert writers.export_anomalies(scored.where("record_id = 2"), nothing) is None and not os.path.exists(nothing)
     assert writers.export_anomalies(scored, out, fields=["b"]) == ["b"]
+    # more fields than an export may have columns
+    more = scored.unionByName(classify(spark.createDataFrame([(4, 9.0, {})], "record_id int, reconstruction_error double, field_values map<string,string>")))
+    assert writers.export_anomalies(more, out, widest=2) == ["field", "value"]
+    back = spark.read.csv(out, header=True, escape='"').collect()
+    assert {(r["record_id"], r["field"], r["value"]) for r in back} == {("1", "a", "1"), ("1", "b", "x"), ("3", "c", 'q,"r"'), ("4", None, None)}
+    assert writers.anomaly_fields(more, 3) is None and writers.anomaly_fields(more, 4) == ["a", "b", "c", "z"]
 
 
 # ---- jobs ---------------------------------------------------------------------------
