@@ -10,7 +10,8 @@ on ``min_pages`` pages or more are dropped from all its pages. Everything is a D
 * pages join their host's array; adaptive execution splits a host with very many pages.
 
 A line counts once per page. Null text has no lines, and a page without a host (null or malformed url)
-belongs to no site and keeps all its lines. Repeated rows are pages of their own. No column of the input
+belongs to no site and keeps all its lines. Very long pages take time in proportion to their length, whatever is left unclosed in
+them. Repeated rows are pages of their own. No column of the input
 is lost or replaced: results get a free name.
 """
 
@@ -24,18 +25,19 @@ from tablecheck.llm.common import free_name, table, written
 RATIO = 0.3
 MIN_PAGES = 3
 
-# Applied in this order to turn HTML into text with one line per block.
+# Applied in this order to turn HTML into text with one line per block. A script, style or comment that is not closed ends with
+# the page, and a tag ends before the next "<": no pattern reads a stretch again, so a page takes time in proportion to its length.
 HTML_STEPS = (
-    (r"(?is)<script\b.*?</script[^>]*>", " "),
-    (r"(?is)<style\b.*?</style[^>]*>", " "),
-    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<script\b.*?(?:</script[^>]*(?:>|\z)|\z)", " "),
+    (r"(?is)<style\b.*?(?:</style[^>]*(?:>|\z)|\z)", " "),
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
     (r"[ \t\n\r\x0B\f]+", " "),
     (
         r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|"
-        r"ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>",
+        r"ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^<>]*>",
         "\n",
     ),
-    (r"<[^>]*>", ""),
+    (r"<[^<>]*>", ""),
     (r"&nbsp;", " "),
     (r"&lt;", "<"),
     (r"&gt;", ">"),

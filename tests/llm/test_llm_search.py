@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import corpus_pipeline
 from tablecheck.llm import near_copies, simhash
 from tablecheck.llm.components import components
 from tablecheck.llm.decontaminate import OP5_SQL, FMIndex, Windows, find_hits, op5_decontaminate, remove_hits
-from tablecheck.llm.line_dedup import OP1_SQL, drop_boilerplate, host_of, html_lines, lines_of, op1_line_dedup
+from tablecheck.llm.line_dedup import OP1_SQL, _sql_lines, drop_boilerplate, host_of, html_lines, lines_of, op1_line_dedup
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
@@ -217,6 +218,23 @@ def test_op1_matches_sql(spark):
     assert rows(op1_line_dedup(spark, SF)) == sql(OP1_SQL)
 
 
+def test_unclosed_html_takes_linear_time_and_means_the_same_in_sql(spark):
+    pages = ["<!--" * 40_000, "<script>" * 20_000, "<style a" * 20_000, "<script></script" * 10_000, "<p " * 50_000, "<" * 100_000, "x</p" * 50_000]
+    pages += ["a<br>b<!-- c<br>d", "a<p>b<script>c<p>d", "a<STYLE>b</style >c", "a<script>b</script", "1 < 2 <b>x</b>", "<p <p>y", "a--><p>b"]
+    frame = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string").coalesce(1)
+    start = time.time()
+    got = {r.k: r.x for r in frame.select("k", html_lines(F.col("html")).alias("x")).collect()}
+    assert time.time() - start < 20
+    # an end tag reaches to the next ">", here that of the next start tag, so every second end tag is left over, as text
+    ends = [" ".join(["</script"] * 5_000)]
+    assert [got[k] for k in range(7)] == [[], [], [], ends, ["<p " * 49_999 + "<p"], ["<" * 100_000], ["x</p" * 50_000]]
+    assert [got[k] for k in range(7, 14)] == [["a", "b"], ["a", "b"], ["a c"], ["a"], ["1 < 2 x"], ["<p", "y"], ["a-->", "b"]]
+    held = duckdb.connect()
+    held.execute("CREATE TABLE h (k INT, html VARCHAR)")
+    held.executemany("INSERT INTO h VALUES (?, ?)", list(enumerate(pages)))
+    assert dict(held.execute(f"SELECT k, {_sql_lines()} FROM h").fetchall()) == got
+
+
 def test_lines_hosts_and_boilerplate(spark):
     html = "<html><head><title>T &amp; t</title><script>a\nb</script></head><body><p>One<b> two</b></p><!-- no\n --><p> </p>a &lt; b<br>end"
     one = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(html_lines(F.col("h")).alias("x")).collect()
