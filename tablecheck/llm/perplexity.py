@@ -13,9 +13,9 @@ all of a corpus in every language, and their counts are summed in each task befo
   shard adds the log-probabilities of its grams to each document's sum, so what a task holds is bounded
   and any number of grams is scored exactly.
 
-Null and empty texts have no characters: their perplexity is null and they do not stay. A null language,
-or one with less than MIN_SHARE of the trusted documents, takes the threshold of all trusted documents.
-Texts below MIN_CHARS characters are too short to condemn and stay. Without trusted documents all
+Null and empty texts have no characters: their perplexity is null and they do not stay. A language with
+fewer than MIN_DOCS trusted documents (of MIN_CHARS characters or more) has no threshold, and its texts stay: what the other
+languages have bears on no language's threshold. A null language takes the threshold of all trusted documents. Texts below MIN_CHARS characters are too short to condemn and stay. Without trusted documents all
 perplexities are the alphabet's size and all texts stay. Labels of repeated rows: trusted if any row says
 so; repeated documents count as often as they occur. Other columns are not looked at.
 """
@@ -36,12 +36,13 @@ ORDER = 5
 QUANTILE = 0.99
 MARGIN = 1.05
 MIN_CHARS = 200
-MIN_SHARE = 0.001
+MIN_DOCS = 20
 SHARD_GRAMS = 4_000_000
 # A task hands on its grams when it holds this many.
 FLUSH_GRAMS = 1_500_000
-# Ids of trusted documents are broadcast up to this many, and joined by key beyond.
+# Ids of trusted documents, and languages, are broadcast up to so many, and joined by key beyond.
 BROADCAST_IDS = 2_000_000
+BROADCAST_LANGS = 10_000
 PAD = "\x02"
 
 
@@ -198,16 +199,18 @@ def add_log_likelihood(docs: DataFrame, probabilities: DataFrame, text: str, out
     return docs
 
 
-def judge(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, min_chars: int = MIN_CHARS) -> DataFrame:
+def judge(
+    scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+    broadcast_langs: int = BROADCAST_LANGS,
+) -> DataFrame:
     """Adds threshold and kept to a table with columns lang, trusted, n_chars and perplexity."""
     fair = scored.where(F.col("trusted") & (F.col("n_chars") >= min_chars))
     at = F.percentile_approx("perplexity", quantile, 10000)
-    overall = fair.agg(at.alias("limit"), F.count(F.lit(1)).alias("n")).first()
-    share = F.count(F.lit(1)) >= max(overall["n"] * MIN_SHARE, 1.0)
-    # Fewer than 1 / MIN_SHARE languages hold that share, so this table is small whatever the input.
-    by_lang = fair.groupBy("lang").agg(at.alias("of_lang"), share.alias("enough")).where("enough and lang is not null").drop("enough")
-    rows = scored.join(F.broadcast(by_lang), "lang", "left")
-    limit = F.coalesce(F.col("of_lang"), F.lit(overall["limit"]).cast("double")) * margin
+    overall = fair.agg(at.alias("limit")).first()["limit"]
+    by_lang = fair.where("lang is not null").groupBy("lang").agg(at.alias("of_lang"), F.count(F.lit(1)).alias("docs"))
+    by_lang = written(by_lang.where(F.col("docs") >= min_docs).drop("docs"))
+    rows = scored.join(F.broadcast(by_lang) if by_lang.count() <= broadcast_langs else by_lang, "lang", "left")
+    limit = F.when(F.col("lang").isNull(), F.lit(overall).cast("double")).otherwise(F.col("of_lang")) * margin
     rows = rows.withColumn("threshold", limit).drop("of_lang")
     fits = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("threshold").isNull())
     return rows.withColumn("kept", (F.col("n_chars") > 0) & ((F.col("n_chars") < min_chars) | fits))

@@ -222,6 +222,24 @@ def test_perplexity_odd_rows(spark):
     assert {r.kept for r in free.collect()} == {True} and perplexity.classify(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_langs", [0, 10])
+def test_thresholds_of_a_language_are_its_own(spark, broadcast_langs):
+    def kept(others):
+        own = [("xx", True, 300, 9.0 + k / 100) for k in range(20)] + [("xx", False, 300, 9.5), ("xx", False, 300, 30.0), ("xx", False, 30, 30.0)]
+        few = [("yy", True, 300, 8.0)] * 19 + [("yy", True, 100, 1.0), ("yy", False, 300, 90.0), (None, False, 300, 90.0), ("xx", False, 0, None)]
+        rows = spark.createDataFrame(own + few, "lang string, trusted boolean, n_chars long, perplexity double")
+        en = spark.range(others).selectExpr("'en' AS lang", "true AS trusted", "300L AS n_chars", "5.0D AS perplexity")
+        got = perplexity.judge(rows.unionByName(en), broadcast_langs=broadcast_langs).where("lang is null or lang <> 'en'").collect()
+        return sorted((str(r.lang), r.n_chars, r.perplexity or 0, r.threshold or 0, r.kept) for r in got if r.lang), [r.kept for r in got if not r.lang]
+
+    first, nulls = kept(10)
+    assert kept(30_000)[0] == first and nulls == [False]
+    limit = 9.19 * perplexity.MARGIN
+    assert all(abs(t - limit) < 1e-9 for lang, _, _, t, _ in first if lang == "xx") and {t for lang, _, _, t, _ in first if lang == "yy"} == {0}
+    # brute force: own limit, short texts stay, empty ones go, and no verdict for a language of 19
+    assert all(k == (n > 0 and (n < 200 or lang == "yy" or p <= limit)) for lang, n, p, _, k in first)
+
+
 def brute_counts(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
