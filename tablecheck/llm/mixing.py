@@ -44,18 +44,15 @@ def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, share: float
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     want = share * sum(sizes.values())
-    out = dict.fromkeys(order, 0.0)
-    open_ = [s for s in order]
-    while open_:
-        left = want - sum(out[s] for s in order if s not in set(open_))
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
-        if not full:
-            out |= {s: unit * weight[s] for s in open_}
+    # sources that reach their limit first come first, so one pass finds all that do
+    left, units, full = want, sum(weight.values()), set()
+    for s in sorted(order, key=lambda s: sizes[s] / weight[s]):
+        if left / units * weight[s] <= most * sizes[s]:
             break
-        out |= {s: float(most * sizes[s]) for s in full}
-        open_ = [s for s in open_ if s not in set(full)]
-    return out
+        full.add(s)
+        left, units = left - most * sizes[s], units - weight[s]
+    held = want - sum(float(most * sizes[s]) for s in order if s in full)
+    return {s: float(most * sizes[s]) if s in full else held / units * weight[s] for s in order}
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:

@@ -1,5 +1,6 @@
 """Mixing, token files and the pipeline against brute force, round trips and odd rows."""
 
+import time
 import itertools
 import os
 import zlib
@@ -24,6 +25,13 @@ def test_targets_reshare_the_excess():
     # b weighs 2 and null, last of four, weighs 5 again; null stops at three times its size.
     assert got[None] == 270 and got["b"] == 1100 - 30 - 270
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+    # as many rounds as sources: each target stops and raises the next
+    many = {f"s{k:06d}": k * k + 1 for k in range(100_000)}
+    start = time.time()
+    out = mixing.targets(many, weights=(1,), most=1.5)
+    assert time.time() - start < 5 and abs(sum(out.values()) / sum(many.values()) - 1) < 1e-9
+    level = max(out.values())
+    assert all(abs(out[s] - min(1.5 * n, level)) <= 1e-6 * level for s, n in many.items())
     even = mixing.targets({"a": 100, "b": 100, "c": 100}, weights=(1,))
     assert set(even.values()) == {100.0}
 
