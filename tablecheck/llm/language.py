@@ -96,18 +96,25 @@ def spans(words: list[str]) -> list[list[str]]:
 
 
 def sample(docs: DataFrame, id: str, text: str, lang: str, n: int) -> list[tuple[str, list[str]]]:
-    """(language, span) of at most ``n`` documents."""
+    """(language, span) of at most ``n`` documents, as evenly from the languages as they have documents.
+
+    Different ids are put in the order of a hash, whose rank in the language follows from the language's number of ids; those of
+    the lowest ranks are the sample. An id counts once in a language, with its smallest text, however many rows it has.
+    """
     rows = docs.select(F.col(id).alias("k"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(~held_out("k") & F.col("k").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = rows.select("k").orderBy(F.xxhash64("k"), "k").limit(n).distinct()
+    ids = rows.select("k", "lang").distinct()
+    rank = F.pmod(F.xxhash64("k"), F.lit(1 << 52)) / float(1 << 52) * F.col("ids")
+    ids = ids.join(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("ids")), "lang").withColumn("rank", rank)
+    # of no language are more than about n wanted, so little is left to sort
+    ids = ids.where(F.col("rank") <= n + 1).orderBy("rank", F.xxhash64("k"), "k", "lang").limit(n).select("k", "lang")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(lg, " ".join(s)) for t, lg in zip(*map(pa.Array.to_pylist, batch.columns)) for s in spans(words_of(t))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["lang", "span"])
 
-    # A third of all rows may share one id, so the sample is cut by rows as well.
-    chosen = rows.join(F.broadcast(ids), "k").select("text", "lang").limit(n)
+    chosen = rows.join(F.broadcast(ids), ["k", "lang"]).groupBy("k", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     found = chosen.mapInArrow(tidy(take), "lang string, span string").collect()
     return sorted((r["lang"], r["span"].split(" ")) for r in found)
 

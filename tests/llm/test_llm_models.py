@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.llm import language, perplexity, pii, quality_rules, toxicity
+from tablecheck.llm.common import held_out
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -222,6 +223,21 @@ def test_perplexity_odd_rows(spark):
     assert {r.kept for r in free.collect()} == {True} and perplexity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_language_sample_is_even_and_takes_an_id_once(spark):
+    def docs(first, n, lang, text):
+        return spark.range(first, first + n).selectExpr("id AS doc_id", f"concat('{text} ', id) AS text", f"'{lang}' AS lang")
+
+    many = spark.range(3_000).selectExpr("0L AS doc_id", "concat('zz copy ', id) AS text", "'en' AS lang")  # one id of very many rows
+    rows = docs(0, 20_000, "en", "aa bb").unionByName(docs(50_000, 900, "fr", "cc dd")).unionByName(docs(60_000, 12, "xx", "ee")).unionByName(many)
+    got = language.sample(rows, "doc_id", "text", "lang", 200)
+    assert language.sample(rows.repartition(7), "doc_id", "text", "lang", 200) == got and len(got) == 200
+    found = Counter(lang for lang, _ in got)
+    learned = {r.doc_id for r in rows.where(~held_out("doc_id") & (F.col("lang") == "xx")).collect()}
+    assert found["xx"] == len(learned) > 4 and abs(found["en"] - found["fr"]) < 50
+    assert sum(s == ["zz", "copy"] for _, s in got) <= 1
+    assert len(language.sample(rows.where("lang = 'xx'"), "doc_id", "text", "lang", 200)) == len(learned)
+
+
 @pytest.mark.parametrize("broadcast_langs", [0, 10])
 def test_thresholds_of_a_language_are_its_own(spark, broadcast_langs):
     def kept(others):
