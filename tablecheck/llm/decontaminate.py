@@ -211,7 +211,7 @@ def find_hits(
     """The documents with a struct of RESULT beside their columns, and that column's name."""
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).cast("string").alias("text")
-    ).where("text is not null")
+    ).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     name = free_name(docs, "hits")

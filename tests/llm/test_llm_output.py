@@ -1,8 +1,8 @@
 """Mixing, token files and the pipeline against brute force, round trips and odd rows."""
 
-import time
 import itertools
 import os
+import time
 import zlib
 
 import numpy as np

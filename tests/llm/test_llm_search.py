@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablecheck.llm import near_copies, simhash
+from tablecheck.llm import decontaminate, near_copies, simhash
 from tablecheck.llm.components import components
 from tablecheck.llm.decontaminate import OP5_SQL, FMIndex, Windows, find_hits, op5_decontaminate, remove_hits
 from tablecheck.llm.line_dedup import OP1_SQL, _sql_lines, drop_boilerplate, host_of, html_lines, lines_of, op1_line_dedup
@@ -206,6 +206,19 @@ def test_short_items_overlaps_and_blocks(spark, block_bytes):
     assert clean[2].text is None and clean[9].text == "é " and clean[0].hits == 1
 
 
+def test_equal_items_of_a_benchmark_are_one(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(decontaminate, "Windows", lambda items, width: sizes.append(sum(len(t) for _, t in items)) or Windows(items, width))
+    items = [("same", "one two three four five")] * 500 + [(f"i{k}", f"w{k} x{k} y{k} z{k}") for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "a ONE two three four five b"), (2, "w7 x7 y7 z7")], "doc_id long, text string")
+    for block in (1 << 20, 300):
+        sizes.clear()
+        out, h = find_hits(docs, bench, block_bytes=block)
+        assert {r.doc_id: (r[h].n_hit, list(r[h]["items"])) for r in out.collect()} == {1: (5, ["same"]), 2: (4, ["i7"])}
+        assert sum(sizes) < 1_200 and max(sizes) <= 3 * block
+
+
 def test_no_benchmark_no_documents(spark):
     docs, bench, got = hits(spark, ["a b"], [(1, None)])
     assert got[0].n_hit == 0 and got[0].n_words == 2
