@@ -11,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tablecheck.llm import components as component_module
 from tablecheck.llm import decontaminate, near_copies, simhash
 from tablecheck.llm.components import components
 from tablecheck.llm.decontaminate import OP5_SQL, FMIndex, Windows, find_hits, op5_decontaminate, remove_hits
 from tablecheck.llm.line_dedup import OP1_SQL, _sql_lines, drop_boilerplate, host_of, html_lines, lines_of, op1_line_dedup
+from tablecheck.operators import skew
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
@@ -90,6 +92,34 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def by_union(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = sorted((find(x), find(y)))
+        root[y] = x
+    return sorted((x, find(x)) for x in root if find(x) != x)
+
+
+@pytest.mark.parametrize("piece", [100_000, 5])
+@pytest.mark.parametrize("forest", [1 << 20, 3])
+def test_components_match_union_find(spark, forest, piece, monkeypatch):
+    monkeypatch.setattr(component_module, "PIECE_ROWS", piece)
+    monkeypatch.setattr(skew, "PIECE_ROWS", piece)
+    rng = random.Random(forest + piece)
+    pairs = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(260)]
+    pairs += [(1000, k) for k in range(1001, 1060)] + [(k, 1200) for k in range(1150, 1180)]  # hubs at either end
+    pairs += [(2000 + k, 2001 + k) for k in range(40)] + pairs[:50] + [(7, 7), (-(1 << 63), (1 << 63) - 1)]
+    rows = spark.createDataFrame(pairs + [(None, 3), (4, None), (None, None)], "p long, q long").repartition(6)
+    want = by_union([p for p in pairs if p[0] != p[1]])
+    assert sorted(tuple(r) for r in components(rows, forest).collect()) == want
+
+
 def test_simhash_odd_rows(spark):
     data = [
         (5, None, "en", "a", 1), (3, "", None, "a", 1), (None, "x y z w", "en", None, 1), (9, "x y z w", "en", "b", 1),
