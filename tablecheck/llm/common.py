@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -30,11 +31,13 @@ def small_batches(spark: SparkSession) -> None:
 
 def tidy(run: Callable) -> Callable:
     """A function over batches that gives freed memory back when it ends: Python workers are used again,
-    and the memory of idle ones counts against the executor."""
+    and the memory of idle ones counts against the executor. Objects in reference cycles go, too: a few large
+    ones never reach the number at which Python looks for cycles by itself."""
 
     @functools.wraps(run)
     def inner(batches):
         yield from run(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
         libc = ctypes.CDLL(None)
         if hasattr(libc, "malloc_trim"):

@@ -161,16 +161,17 @@ class PieceEncoder:
     tokenizers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer):
+        """``tokenizer``: a Tokenizer or the path of its file."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        before = spec["pre_tokenizer"] or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.by_piece = bool(plain) and not spec["normalizer"] and spec["model"]["type"] == "BPE"
+        self.tokenizer = Tokenizer.from_file(tokenizer) if isinstance(tokenizer, str) else tokenizer
+        before = self.tokenizer.pre_tokenizer
+        plain = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        self.by_piece = plain and self.tokenizer.normalizer is None and isinstance(self.tokenizer.model, BPE)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s \s", *map(re.escape, special)]))
         self.known = Pieces(self.tokenizer)
@@ -178,7 +179,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBER:
-            self.known = Pieces(self.tokenizer)
+            self.known.clear()
         known, out = self.known, []
         for t in texts:
             if not self.by_piece or self.whole.search(t):
@@ -189,14 +190,16 @@ class PieceEncoder:
         return out
 
 
-def _write(folder: str, tokenizer: str, end_id: int, width: int):
+def _write(folder: str, tokenizer, end_id: int, width: int):
+    """``tokenizer`` is a broadcast one: a worker makes it once, and its memory does not grow from task to task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.eft"
         out, path = place(folder)
-        encoder, end = PieceEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = PieceEncoder(tokenizer.value), np.array([end_id], "<u4").tobytes()
         lengths: list[np.ndarray] = []
         ids: list[pa.Array] = []
         file = None
@@ -243,14 +246,14 @@ def write_corpus(
 
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
-    width = 2 if max(known - 1, end_id) < 1 << 16 else 4
+    model = Tokenizer.from_file(tokenizer)
+    width = 2 if max(model.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("tie"))
     order = [F.col("id").asc_nulls_first(), F.col("tie").asc()]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
     out, path = place(folder)
     out.create_dir(path, recursive=True)
-    written = dealt.mapInArrow(tidy(_write(folder, tokenizer, end_id, width)), "shard int, file string, docs long, tokens long")
+    written = dealt.mapInArrow(tidy(_write(folder, spark.sparkContext.broadcast(model), end_id, width)), "shard int, file string, docs long, tokens long")
     # One row for each shard, so what reaches the driver is bounded by the number of partitions.
     listed, start = [], 0
     for r in sorted(written.collect(), key=lambda r: r["shard"]):
