@@ -208,3 +208,46 @@ def test_version_content_stays_out_of_windows_and_aggregates(spark):
 def test_pair_key_is_what_resolutions_are_looked_up_by(spark):
     row = spark.range(1).select(S.pair_key(F.lit(10), F.lit(9)).alias("k")).first()
     assert row["k"] == "10|9"
+
+
+def test_pairs_are_dealt_over_tasks_and_whole(spark, monkeypatch):
+    """Few rows that make many pairs were one task: adaptive execution joined their small partitions."""
+    monkeypatch.setattr(skew, "GRID_ROWS", 3)
+    data = some_rules(6, 150)
+    rules = spark.createDataFrame(data, RULES)
+    busy = 0
+    for kind in conflicts.KINDS:
+        found = conflicts.conflicts(rules, kind)
+        got = [(r["rule_a"], r["rule_b"]) for r in found.select("rule_a", "rule_b").collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs_of(data, kind)
+        busy = max(busy, found.select(F.spark_partition_id()).distinct().count())
+    assert busy > 2
+
+
+def test_every_conflict_is_listed_with_its_resolution(spark, monkeypatch):
+    monkeypatch.setattr(skew, "GRID_ROWS", 3)
+    data = some_rules(7, 120)
+    rules = spark.createDataFrame(data, RULES)
+    pairs = sorted(p for kind in conflicts.KINDS for p in pairs_of(data, kind))
+    solved = pairs[::3]
+    key = lambda a, b: "|".join(sorted((str(a), str(b))))
+    made = [(key(*p), str(p[0]), "me", n) for n, p in enumerate(solved)] + [("no|rule", "no", "me", 1)]
+    resolutions = spark.createDataFrame(made, "pair_key string, priority_rule_id string, resolved_by string, resolved_at int")
+    got = conflicts.conflicts_with_resolutions(rules, resolutions).collect()
+    assert sorted((r["rule_a"], r["rule_b"]) for r in got) == pairs
+    assert {(r["rule_a"], r["rule_b"]) for r in got if r["resolved"]} == set(solved)
+    assert all((r["resolved_by"] == "me") == r["resolved"] and r["pair_key"] == key(r["rule_a"], r["rule_b"]) for r in got)
+
+
+def test_rules_are_expanded_for_all_tables(spark, monkeypatch):
+    monkeypatch.setattr(skew, "GRID_ROWS", 3)
+    tables, fields, t, f = some_registry(spark)
+    owner, data = dict(tables), some_rules(8, 100)
+    data = [(*r[:3], r[0] % 14, r[0] % 210, *r[5:]) for r in data]
+    got = conflicts.expand_rules(spark.createDataFrame(data, RULES), t, f)
+    want = {
+        (rule, scope, y, x) for rule, scope, c, table, column, *_ in data for x, y in fields
+        if y in owner and {"catalog": c is not None and owner[y] == c, "table": y == table, "column": x == column}[scope]
+    }
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert got.select(F.spark_partition_id()).distinct().count() > 2
