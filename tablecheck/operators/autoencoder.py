@@ -142,12 +142,11 @@ def train_autoencoder(
     stats = scaler_stats(df, columns).collect()
     needed = df.select(*dict.fromkeys([*(order or split_on), *columns]))
     first, rest = split_ordered(needed, order, TRAIN_SHARE) if order else split_by_hash(needed, split_on)
-    features = scale_clip(first, stats, clip)
+    # A file's splits without a row group are empty, and an ordered split leaves whole partitions to one side: the rows
+    # are dealt evenly once, so that every core takes part in every epoch.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if features.rdd.getNumPartitions() < cores:  # a small input: still train on every core
-        features = features.repartition(cores)
-    train = features.persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = scale_clip(rest, stats, clip).persist(StorageLevel.MEMORY_AND_DISK)
+    train = scale_clip(first, stats, clip).repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    held_out = scale_clip(rest, stats, clip).repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit(train, held_out, stats, learning_rate, epochs, batch_size, encoding_dim, clip, patience, seed)
     finally:

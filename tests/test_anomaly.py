@@ -115,3 +115,19 @@ def test_scorable(spark):
     ok, bad = ae.scorable(asked, models)
     assert [r["scoring_id"] for r in ok.collect()] == ["s1"]
     assert {r["scoring_id"]: r["reason"] for r in bad.collect()} == {"s2": "model not ready", "s3": "model not found"}
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """Splits that hold no rows, or an ordered split, left training to few tasks."""
+    sizes, fit = [], ae._fit
+
+    def seen(train, *args):
+        sizes.append(train.groupBy(F.spark_partition_id()).count().toPandas()["count"].tolist())
+        return fit(train, *args)
+
+    monkeypatch.setattr(ae, "_fit", seen)
+    rows = spark.range(0, 4000, 1, 16).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    rows = rows.where("id < 1000")  # 12 of 16 partitions are empty
+    model = ae.train_autoencoder(rows, order=["id"], columns=["x", "y"], epochs=1)
+    assert model.training_samples == 800
+    assert len(sizes[0]) == spark.sparkContext.defaultParallelism and max(sizes[0]) <= 2 * min(sizes[0])
