@@ -291,3 +291,17 @@ def test_lines_hosts_and_boilerplate(spark):
     got = sorted((r.host or "", r[kept] or []) for r in out.collect())
     assert got == sorted([("a", [f"own {k}"]) for k in range(9)] + [("a", [])] + [("b", ["menu", "x"]), ("b", ["menu", "y"])] + 3 * [("", ["menu"])])
     assert drop_boilerplate(pages.limit(0), "lines", "host")[0].count() == 0
+
+
+def test_near_copies_asks_the_trees(spark, monkeypatch):
+    """Candidates come from fingerprints in BK-trees too: without any band, copies that differ little are linked."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 10_000, 600)]
+    far = [f"v{k}" for k in rng.integers(0, 10_000, 600)]
+    texts = [" ".join(base), " ".join([*base, "one", "more"]), " ".join(far), " ".join(far[:-1]), " ".join(base[:40] + far[:40])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = [near_copies.set_fingerprint(near_copies.shingle_set(t.encode())) for t in texts]
+    assert (marks[0] ^ marks[1]).bit_count() <= simhash.RADIUS and (marks[2] ^ marks[3]).bit_count() <= simhash.RADIUS
+    monkeypatch.setattr(near_copies, "band_keys", lambda found: np.array([hash(found.tobytes()) % (1 << 62) + k for k in range(near_copies.BANDS)], np.uint64))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
