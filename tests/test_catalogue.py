@@ -72,3 +72,28 @@ def test_filters_reach_the_scan(spark):
     for name, column in (("q28_audit_months", "o_orderdate"), ("q55_retention", "ts"), ("q29_keyset_page", "o_custkey")):
         plan = plan_of(driver.queries()[name](spark, SF))
         assert column in plan.split("PushedFilters: [")[1][:100], name
+
+
+def test_table_and_column_conflicts_are_all_pairs_in_code_and_sql(spark, tmp_path):
+    """A row for each pair, not for each group of rules that stands for many pairs."""
+    name, columns = "q18_conflicts_table_column", ["rule_a", "rule_b", "a_scope", "b_scope", "parent_id", "pair_key"]
+    parts = [(i, [7, 7, 7, 8, 9, None][i // 3 % 6], f"part {i}", "kind") for i in range(400)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_size int, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    sides = {
+        scope: [
+            (i, size, set() if i % 53 == 0 else {f"f{i % 7}"} | ({f"f{i % 5}"} if i % 2 else set()))
+            for i, size, *_ in parts if i % 3 == rest and i % 5 and size is not None
+        ]
+        for scope, rest in (("table", 1), ("column", 2))
+    }
+    want = sorted(
+        (a, b, "table", "column", size, "|".join(sorted((str(a), str(b)))))
+        for a, size, x in sides["table"] for b, other, y in sides["column"] if size == other and (not x or not y or x & y)
+    )
+    found = driver.queries()[name](spark, str(tmp_path))
+    assert found.columns == columns and sorted(map(tuple, found.collect())) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    stated = con.execute(driver.oracle_sql()[name])
+    assert [c[0] for c in stated.description] == columns and sorted(stated.fetchall()) == want
+    assert len(want) > driver.queries()["q18b_groups_table_column"](spark, str(tmp_path)).count()
