@@ -17,7 +17,7 @@ def stages_of_explosions(df):
 
 
 
-@pytest.mark.parametrize("asked", [False])
+@pytest.mark.parametrize("asked", [False, True])
 def test_expanded_rules_are_not_held_for_a_pair_of_packs(spark, asked):
     """Whole-stage code with both explosions held all rows of a pair of packs before it gave out the first."""
     _, _, t, f = some_registry(spark)
