@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.operators import conflicts, skew
-from tests.test_scale_forms import RULES, some_registry, some_rules
+from tests.test_scale_forms import RULES, pairs_of, some_registry, some_rules
 
 
 def stages_of_explosions(df):
@@ -38,3 +38,30 @@ def test_packs_have_a_bound(spark, monkeypatch):
     assert sorted(i for p in packs for i in p["id"]) == list(range(400)) and max(len(p["id"]) for p in packs) < 20
     none = df.limit(0)
     assert skew.packed(none, ["k"], "id", skew.pack_rows(none, df, ["k"])).collect() == []
+
+
+def few_sets(n, more=()):
+    """Rules of two parents and few sets of fields."""
+    fields = [["a"], ["b"], ["a", "b"], None]
+    rows = [(i, ("catalog", "table", "column")[i % 3], i // 3 % 2, i // 3 % 2, None, "active", fields[i // 6 % 4]) for i in range(n)]
+    return rows + list(more)
+
+
+def sent(cells):
+    """How many ids the pairs of packs hold."""
+    return cells.agg(F.sum(F.size("a") + F.size("b"))).first()[0]
+
+
+@pytest.mark.parametrize("kind", conflicts.KINDS[2:], ids=lambda k: "-".join(k[:2]))
+def test_packs_grow_with_the_pairs(spark, monkeypatch, kind):
+    """Packs of one size were sent to a number of others that grows with the rules."""
+    monkeypatch.setattr(skew, "GRID_ROWS", 3)
+    monkeypatch.setattr(skew, "TASK_CELLS", 1, raising=False)
+    ids = []
+    for n in (480, 1920):
+        data = few_sets(n)
+        rules = spark.createDataFrame(data, RULES)
+        cells = conflicts._cells(rules, kind)
+        ids.append(sent(cells))
+        assert cells.agg(F.sum(F.size("a") * F.size("b"))).first()[0] == len(pairs_of(data, kind))
+    assert ids[1] < 7 * ids[0]  # four times the rules, sixteen times the pairs
