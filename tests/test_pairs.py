@@ -1,6 +1,7 @@
 """Pairs of rules, and of rules and fields: listed without holding them, and sent about as rows that grow with the rules."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,30 @@ def test_packs_grow_with_the_pairs(spark, monkeypatch, kind):
         ids.append(sent(cells))
         assert cells.agg(F.sum(F.size("a") * F.size("b"))).first()[0] == len(pairs_of(data, kind))
     assert ids[1] < 7 * ids[0]  # four times the rules, sixteen times the pairs
+
+
+def test_open_conflicts_of_large_packs_and_odd_rules(spark, monkeypatch):
+    """Resolved pairs are taken out of the pairs of packs; rules that come twice or have no id stay."""
+    monkeypatch.setattr(skew, "GRID_ROWS", 3)
+    monkeypatch.setattr(skew, "TASK_CELLS", 1, raising=False)
+    data = few_sets(240, [(None, "column", 1, 1, None, "active", ["a"]), (None, "column", 1, 1, None, "active", None), (500, "table", 1, 1, None, "active", ["b"])])
+    twice = [(600, "column", 0, 0, None, "active", ["b"])] * 2
+    rules = spark.createDataFrame(data + twice, RULES)
+    key = lambda a, b: "|".join(sorted((str(a), str(b))))
+    known = [(a, b) for kind in conflicts.KINDS for a, b in pairs_of(data, kind)]
+    solved = sorted((a, b) for a, b in known if None not in (a, b) and (b == 1 or a % 9 == 0))
+    resolutions = spark.createDataFrame(
+        [(key(*p), str(p[0]), "me", datetime(2024, 1, 1)) for p in solved], "pair_key string, priority_rule_id string, resolved_by string, resolved_at timestamp")
+    found = conflicts.conflicts_with_resolutions(rules, resolutions)
+    rows = found.collect()
+    got = sorted(((r["rule_a"], r["rule_b"], r["resolved"]) for r in rows), key=repr)
+    want = []
+    for kind in conflicts.KINDS:
+        once = pairs_of(data, kind)
+        copies = [p for p in pairs_of(data + twice, kind) if p[1] == 600] * 2
+        # the two rules without an id have different fields, so a set of pairs names those who meet both only once
+        nameless = [p for r in data if r[0] is None for p in pairs_of([x for x in data if x[0] is not None] + [r], kind) if p[1] is None]
+        want += [(a, b, (a, b) in set(solved)) for a, b in [p for p in once if None not in p] + nameless + copies]
+    assert got == sorted(want, key=repr)
+    stages = [stage for stage, column in stages_of_explosions(found.select("rule_a", "rule_b")) if column == "b"]
+    assert stages and all(stages)  # the filter of a pack kept its explosion out of whole-stage code
